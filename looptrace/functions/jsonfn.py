@@ -18,7 +18,10 @@ def is_json_container(text: Column) -> Column:
 
 
 def json_scalar(text: Column, path: str) -> Column:
-    """The value at ``path`` as text; NULL for a missing one, an object or an array."""
+    """The value at ``path`` as text; NULL for a missing one, an object or an array.
+
+    Numbers come without the zeros that end a fraction, as Spark writes them.
+    """
     found = F.try_variant_get(F.try_parse_json(text), path, "variant")
     kind = F.schema_of_variant(found)
     return F.when(

@@ -37,21 +37,22 @@ def hot_groups(df: DataFrame, key: str, at: str, rows: int = HOT_ROWS) -> DataFr
         .select(
             key,
             "first",
-            F.greatest(
-                F.lit(1), F.ceil((F.col("last") - F.col("first") + 1) * rows / F.col("n"))
-            ).alias("width"),
+            F.ceil((F.col("last") - F.col("first") + 1) * rows / F.col("n")).alias("width"),
         )
     )
 
 
-def sliced(df: DataFrame, key: str, at: str, rows: int) -> DataFrame:
-    """``df`` + ``slice``: NULL for an ordinary group, else the number of the time slice."""
-    hot = F.broadcast(hot_groups(df, key, at, rows))
-    return (
-        df.join(hot, key, "left")
-        .withColumn("slice", F.floor((micros(F.col(at)) - F.col("first")) / F.col("width")))
-        .drop("first", "width")
-    )
+def sliced(
+    df: DataFrame, key: str, at: str, rows: int, sizes: DataFrame | None = None
+) -> DataFrame:
+    """``df`` + ``slice``: NULL for an ordinary group, else the number of the time slice.
+
+    ``sizes`` may name a cheaper source of (key, at) to find the oversized groups in.
+    """
+    hot = F.broadcast(hot_groups(df if sizes is None else sizes, key, at, rows))
+    passed = micros(F.col(at)) - F.col("first")
+    number = passed - F.pmod(passed, F.col("width"))  # the slice's start, also before `first`
+    return df.join(hot, key, "left").withColumn("slice", number).drop("first", "width")
 
 
 def _carried(df: DataFrame, key: str, per_slice, over_slices) -> DataFrame:
@@ -69,10 +70,16 @@ def _with_carry(df: DataFrame, key: str, carry: DataFrame) -> DataFrame:
 
 
 def running_sum(
-    df: DataFrame, key: str, order: list[str], value: str, out: str, rows: int = HOT_ROWS
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    value: str,
+    out: str,
+    rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` + ``out``: sum of ``value`` up to and with the row, in ``order`` within ``key``."""
-    cut = sliced(df, key, order[0], rows)
+    cut = sliced(df, key, order[0], rows, sizes)
     upto = Window.partitionBy(key, "slice").orderBy(*order)
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carry = _carried(
@@ -89,10 +96,15 @@ def running_sum(
 
 
 def previous(
-    df: DataFrame, key: str, order: list[str], keep: list[str], rows: int = HOT_ROWS
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    keep: list[str],
+    rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` + struct ``prev``: the ``keep`` columns of the row before, NULL for the first."""
-    cut = sliced(df, key, order[0], rows)
+    cut = sliced(df, key, order[0], rows, sizes)
     row, place = F.struct(*keep), F.struct(*order)
     within = Window.partitionBy(key, "slice").orderBy(*order)
     carry = _carried(

@@ -27,7 +27,18 @@ def _event(df: DataFrame, step: int, event: str, ref: str, at: str, place=None)
     )
 
 
-def instance_events(
+def _washes(inspections: DataFrame, wash_cycles: DataFrame, hubs: DataFrame) -> DataFrame:
+    """A wash is known to an item through its inspections."""
+    return (
+        inspections.filter("wash_id IS NOT NULL")
+        .select("instance_id", "wash_id")
+        .distinct()
+        .join(wash_cycles.select("wash_id", "hub_id", "start_time"), "wash_id")
+        .join(hubs.select("hub_id", "location_id"), "hub_id", "left")
+    )
+
+
+def instance_timeline(
     packaging_instances: DataFrame,
     checkouts: DataFrame,
     retailers: DataFrame,
@@ -37,32 +48,27 @@ def instance_events(
     hubs: DataFrame,
     contamination_incidents: DataFrame,
     movements: DataFrame,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """All that happened to each item in one shape; a wash is known through its inspections."""
-    washes = (
-        inspections.filter("wash_id IS NOT NULL")
-        .select("instance_id", "wash_id")
-        .distinct()
-        .join(wash_cycles.select("wash_id", "hub_id", "start_time"), "wash_id")
-        .join(hubs.select("hub_id", "location_id"), "hub_id", "left")
-    )
+    """All that happened to each item in one shape, with the hours since its event before."""
     loans = checkouts.join(retailers.select("retailer_id", "location_id"), "retailer_id", "left")
-    events = [
+    washes = _washes(inspections, wash_cycles, hubs)
+    logged = [
         _event(packaging_instances, 0, "birth", "instance_id", "birthed_at"),
         _event(loans, 1, "checkout", "checkout_id", "checkout_time", "location_id"),
         _event(returns, 2, "return", "return_id", "return_time", "location_id"),
-        _event(washes, 3, "wash", "wash_id", "start_time", "location_id"),
         _event(inspections, 4, "inspection", "inspection_id", "inspected_at"),
         _event(contamination_incidents, 5, "incident", "incident_id", "detected_at"),
         _event(movements, 6, "movement", "mv_id", "moved_at", "to_loc_id"),
     ]
-    return reduce(DataFrame.unionByName, events)
-
-
-def instance_timeline(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each event of ``instance_events`` with the hours since the item's event before it."""
-    order = ["ts", "step", "ref_id"]
-    return previous(events, "instance_id", order, ["ts"], hot_rows).select(
+    washed = _event(washes, 3, "wash", "wash_id", "start_time", "location_id")
+    logs = reduce(DataFrame.unionByName, logged)
+    # an item has no more washes than inspections, so the logs alone show which items are large
+    events = previous(
+        logs.unionByName(washed), "instance_id", ["ts", "step", "ref_id"], ["ts"], hot_rows,
+        sizes=logs,
+    )
+    return events.select(
         "instance_id", "ts", "event", "ref_id", "location_id",
         hours_between(F.col("prev.ts"), F.col("ts")).alias("hours_since_prev"),
     )

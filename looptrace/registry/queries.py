@@ -105,9 +105,8 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
             t.customers, t.deposit_accounts, t.deposit_transactions),
         # tracing
         "instance_timeline": lambda t: trace.instance_timeline(
-            trace.instance_events(
-                t.packaging_instances, t.checkouts, t.retailers, t.returns, t.inspections,
-                t.wash_cycles, t.hubs, t.contamination_incidents, t.movements)),
+            t.packaging_instances, t.checkouts, t.retailers, t.returns, t.inspections,
+            t.wash_cycles, t.hubs, t.contamination_incidents, t.movements),
         "turnaround_by_retailer": lambda t: cycles.turnaround_by_retailer(
             t.checkouts, t.returns, t.packaging_instances, t.packaging_catalog,
             t.retailers, t.locations),
