@@ -3,70 +3,79 @@
 A window over a key sorts the whole group in one task.  Groups above ``HOT_ROWS`` rows are
 therefore cut into time slices: the window runs inside (key, slice), and what crosses a
 slice border, a running total or the previous row, comes from one aggregated row per slice.
-All other groups form a single slice and take the plain window.
-
-The list of hot groups is bounded twice: a group needs ``HOT_ROWS`` rows to be on it, and it
-holds the ``HOT_KEYS`` largest at most, so it is safe to broadcast whatever the data size.
-A group beyond the list is smaller than 1/HOT_KEYS of the table and stays one slice; results
-do not depend on which groups are cut.
+All other groups form a single slice and take the plain window.  Where no group is large,
+adaptive execution finds the list of them empty and drops everything that depends on it.
+
+The cuts of a large group are approximate quantiles of its times, so slices hold about as
+many rows each however unevenly the rows lie.  Results depend neither on which groups are
+cut nor on where.  What is broadcast is bounded: a group needs ``HOT_ROWS`` rows to be listed
+and the ``HOT_KEYS`` largest are listed at most, with ``GRID`` squared cuts each, 8 MB in
+all.  A group beyond the list holds less than 1/HOT_KEYS of all rows and stays whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from looptrace.functions.timefn import micros
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
+HOT_KEYS = 1_000
+GRID = 32
 
 
-def hot_groups(df: DataFrame, key: str, at: str, rows: int = HOT_ROWS) -> DataFrame:
-    """(key, first, width): start and slice width in microseconds of each oversized group."""
-    return (
-        df.groupBy(key)
-        .agg(
-            F.count("*").alias("n"),
-            F.min(micros(F.col(at))).alias("first"),
-            F.max(micros(F.col(at))).alias("last"),
-        )
-        .filter(F.col("n") >= rows)
-        .orderBy(F.desc("n"), key)
-        .limit(HOT_KEYS)
-        .select(
-            key,
-            "first",
-            F.ceil((F.col("last") - F.col("first") + 1) * rows / F.col("n")).alias("width"),
-        )
+def hot_groups(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """The keys of oversized groups, largest first."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= rows)
+    return sizes.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key)
+
+
+def _cuts(df: DataFrame, key: str, at: str, rows: int) -> DataFrame:
+    """(key, _coarse, _fine): every GRID-th cut, and the cuts between those."""
+    shares = [i / GRID**2 for i in range(1, GRID**2)]
+    cuts = (
+        df.join(F.broadcast(hot_groups(df, key, rows)), key)
+        .groupBy(key)
+        .agg(F.percentile_approx(micros(F.col(at)), shares, 4 * GRID**2).alias("_cut"))
     )
+    coarse = [F.col("_cut")[GRID * i - 1] for i in range(1, GRID)]
+    fine = [F.slice("_cut", GRID * i + 1, GRID - 1) for i in range(GRID)]
+    return cuts.select(key, F.array(*coarse).alias("_coarse"), F.array(*fine).alias("_fine"))
+
+
+def _below(cuts: Column, at: Column) -> Column:
+    return F.size(F.filter(cuts, lambda cut: cut < at))
 
 
 def sliced(
-    df: DataFrame, key: str, at: str, rows: int, sizes: DataFrame | None = None
+    df: DataFrame, key: str, at: str, rows: int = HOT_ROWS, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """``df`` + ``slice``: NULL for an ordinary group, else the number of the time slice.
+    """``df`` + ``_slice``: NULL for an ordinary group, else the number of cuts below the row.
 
-    ``sizes`` may name a cheaper source of (key, at) to find the oversized groups in.
+    ``sizes`` may name a cheaper source of (key, at) to take the cuts from.
     """
-    hot = F.broadcast(hot_groups(df if sizes is None else sizes, key, at, rows))
-    passed = micros(F.col(at)) - F.col("first")
-    number = passed - F.pmod(passed, F.col("width"))  # the slice's start, also before `first`
-    return df.join(hot, key, "left").withColumn("slice", number).drop("first", "width")
-
-
-def _carried(df: DataFrame, key: str, per_slice, over_slices) -> DataFrame:
-    """One row per (key, slice) with what the slices before it hand on."""
-    slices = df.filter(F.col("slice").isNotNull()).groupBy(key, "slice").agg(per_slice)
-    before = Window.partitionBy(key).orderBy("slice")
-    return slices.select(
-        F.col(key).alias("_key"), F.col("slice").alias("_slice"), over_slices(before).alias("_carry")
+    known = (df if sizes is None else sizes).select(key, at)
+    time = micros(F.col(at))
+    first = _below(F.col("_coarse"), time)
+    number = first * GRID + _below(F.col("_fine")[first], time)
+    return (
+        df.join(F.broadcast(_cuts(known, key, at, rows)), key, "left")
+        .withColumn("_slice", F.when(F.col("_coarse").isNotNull(), number))
+        .drop("_coarse", "_fine")
     )
 
 
-def _with_carry(df: DataFrame, key: str, carry: DataFrame) -> DataFrame:
-    same = (F.col(key) == F.col("_key")) & (F.col("slice") == F.col("_slice"))
-    return df.join(carry, same, "left").drop("_key", "_slice", "slice")
+def _with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices) -> DataFrame:
+    """``out`` + ``_carry``, what the slices of ``cut`` before the row's slice hand on."""
+    slices = cut.filter("_slice IS NOT NULL").groupBy(key, "_slice").agg(per_slice)
+    carry = slices.select(
+        F.col(key).alias("_key"),
+        F.col("_slice").alias("_to"),
+        over_slices(Window.partitionBy(key).orderBy("_slice")).alias("_carry"),
+    )
+    same = (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_to"))
+    return out.join(carry, same, "left").drop("_key", "_to", "_slice")
 
 
 def running_sum(
@@ -80,19 +89,16 @@ def running_sum(
 ) -> DataFrame:
     """``df`` + ``out``: sum of ``value`` up to and with the row, in ``order`` within ``key``."""
     cut = sliced(df, key, order[0], rows, sizes)
-    upto = Window.partitionBy(key, "slice").orderBy(*order)
+    upto = Window.partitionBy(key, "_slice").orderBy(*order)
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carry = _carried(
+    summed = _with_carry(
         cut,
+        cut.withColumn(out, F.sum(value).over(upto)),
         key,
         F.sum(value).alias("_sum"),
         lambda w: F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)),
     )
-    return (
-        _with_carry(cut.withColumn(out, F.sum(value).over(upto)), key, carry)
-        .withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0)))
-        .drop("_carry")
-    )
+    return summed.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_carry")
 
 
 def previous(
@@ -105,16 +111,13 @@ def previous(
 ) -> DataFrame:
     """``df`` + struct ``prev``: the ``keep`` columns of the row before, NULL for the first."""
     cut = sliced(df, key, order[0], rows, sizes)
-    row, place = F.struct(*keep), F.struct(*order)
-    within = Window.partitionBy(key, "slice").orderBy(*order)
-    carry = _carried(
+    row = F.struct(*keep)
+    within = Window.partitionBy(key, "_slice").orderBy(*order)
+    found = _with_carry(
         cut,
+        cut.withColumn("prev", F.lag(row).over(within)),
         key,
-        F.max_by(row, place).alias("_last"),
-        lambda w: F.lag("_last").over(w),
-    )
-    return (
-        _with_carry(cut.withColumn("prev", F.lag(row).over(within)), key, carry)
-        .withColumn("prev", F.coalesce("prev", "_carry"))
-        .drop("_carry")
+        F.max_by(row, F.struct(*order)).alias("_row"),
+        lambda w: F.lag("_row").over(w),
     )
+    return found.withColumn("prev", F.coalesce("prev", "_carry")).drop("_carry")

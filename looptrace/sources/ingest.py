@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from looptrace.functions.timefn import AsOf
-from looptrace.schemas import NOW, TABLES
+from looptrace.schemas import NOW, TABLES, Column
 
 
 def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
@@ -19,15 +19,23 @@ def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> Da
     return reader.format(fmt).load(path)
 
 
+def _value(c: Column):
+    """The typed value, NULL where the text does not fit.
+
+    A failed cast to a whole number costs Spark an exception, so a pattern goes first.
+    """
+    cast = F.col(c.name).try_cast(c.type)
+    if isinstance(c.type, T.IntegralType):
+        return F.when(F.col(c.name).rlike(r"^\s*[+-]?\d+\s*$"), cast)
+    return cast
+
+
 def _cast(raw: DataFrame, table: str) -> DataFrame:
     """Raw columns + ``typed`` struct + ``faults``, the columns whose text does not fit."""
     columns = [c for c in TABLES[table].columns if c.name in raw.columns]
-    typed = F.struct(*(F.col(c.name).try_cast(c.type).alias(c.name) for c in columns))
+    typed = F.struct(*(_value(c).alias(c.name) for c in columns))
     unfit = [
-        F.when(
-            F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.type).isNull(), F.lit(c.name)
-        )
-        for c in columns
+        F.when(F.col(c.name).isNotNull() & _value(c).isNull(), F.lit(c.name)) for c in columns
     ]
     return raw.select(
         "*", typed.alias("typed"), F.array_compact(F.array(*unfit)).alias("faults")

@@ -14,7 +14,7 @@ from looptrace.operators import quality
 from looptrace.operators.anonymize import anonymize, anonymized_export
 from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import DeleteBlocked, apply_delete, ref_delete
-from looptrace.operators.slices import hot_groups, previous, running_sum
+from looptrace.operators.slices import hot_groups, previous, running_sum, sliced
 from looptrace.plans import customers, trace
 from looptrace.schemas import TABLES
 from looptrace.sources.files import read_log, read_table, write_log, write_table
@@ -58,17 +58,27 @@ def test_slices_change_no_result(spark, rows):
 
 def test_hot_groups_are_the_large_ones(spark):
     log = skewed_log(spark)
-    assert tuples(hot_groups(log, "k", "ts", 500), "k") == [(0,)]
-    assert hot_groups(log, "k", "ts", 5000).isEmpty()
+    assert tuples(hot_groups(log, "k", 500)) == [(0,)]
+    assert hot_groups(log, "k", 5000).isEmpty()
 
 
-def test_slices_cut_a_hot_group(spark):
-    from looptrace.operators.slices import sliced
+def test_slices_cut_a_hot_group_with_a_burst(spark):
+    # nine of ten rows lie in one hour, the others are spread over years
+    log = spark.range(10_000).selectExpr(
+        "0L AS k", "id",
+        "timestamp_seconds(CASE WHEN id % 10 = 0 THEN id * 20000 ELSE 1e8 + id * 0.3 END) AS ts")
+    sizes = [n for (n,) in tuples(sliced(log, "k", "ts", 500).groupBy("_slice").count(), "count")]
+    assert len(sizes) > 900 and max(sizes) <= 60
 
-    log = spark.range(1000).selectExpr(
-        "0L AS k", "timestamp_seconds(id * 60) AS ts", "id")
-    sizes = [n for (n,) in tuples(sliced(log, "k", "ts", 100).groupBy("slice").count(), "count")]
-    assert len(sizes) >= 10 and max(sizes) <= 101
+
+def test_slices_from_another_source_stay_in_order(spark):
+    log = skewed_log(spark)
+    for sizes in (log.filter("id % 5 = 0"), log.filter("ts > '2025-01-05'")):
+        cut = sliced(log, "k", "ts", 20, sizes).filter("_slice IS NOT NULL")
+        spans = cut.groupBy("k", "_slice").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+        order = Window.partitionBy("k").orderBy("_slice")
+        assert spans.count() > 5
+        assert spans.withColumn("before", F.lag("b").over(order)).filter("before >= a").isEmpty()
 
 
 def test_reports_agree_when_groups_are_cut(spark):
