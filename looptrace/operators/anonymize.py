@@ -34,15 +34,14 @@ def pseudonym(domain: str, salt: str, value: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{salt}|{domain}|"), value.cast("string")), 256)
 
 
-def _anonymous_column(table: str, column: str, kind: T.DataType, salt: str, unit: str) -> Column:
+def _id_domains(table: str) -> dict[str, str]:
+    """Id column -> the domain its pseudonyms belong to, that of the table it points to."""
     spec = TABLES[table]
-    parents = {ref.column: ref.parent for ref in spec.refs}
-    if column == spec.key:
-        return pseudonym(table, salt, F.col(column))
-    if column in parents:
-        return pseudonym(parents[column], salt, F.col(column))
-    if column in ("entity_id", "ref_id"):
-        return pseudonym(column, salt, F.col(column))
+    domains = {spec.key: table, "entity_id": "entity_id", "ref_id": "ref_id"}
+    return domains | {ref.column: ref.parent for ref in spec.refs}
+
+
+def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
     if column in ("lat", "lng"):
         return F.round(F.col(column).cast("double"), 2)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -53,21 +52,23 @@ def _anonymous_column(table: str, column: str, kind: T.DataType, salt: str, unit
 def anonymize(table: str, df: DataFrame, salt: str, k: int = 5, unit: str = "day") -> DataFrame:
     """One table for export.  Rows of groups below ``k`` are left out."""
     dropped = DROPPED.get(table, ())
-    out = df.select(
+    fields = [f for f in df.schema.fields if f.name not in dropped]
+    out = df.select(*(_coarse(f.name, f.dataType, unit).alias(f.name) for f in fields))
+    group = [c for c in SINGLED_OUT_BY.get(table, ()) if c in out.columns]
+    if group:
+        # few rows are in small groups, so those are listed and not the large ones
+        small = out.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") < k)
+        small = small.select(*(F.col(c).alias(f"_{c}") for c in group))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+        out = out.join(small, same, "left_anti")
+    # pseudonyms come last: the join above moves short ids, not long digests
+    domains = _id_domains(table)
+    return out.select(
         *(
-            _anonymous_column(table, f.name, f.dataType, salt, unit).alias(f.name)
-            for f in df.schema.fields
-            if f.name not in dropped
+            pseudonym(domains[c], salt, F.col(c)).alias(c) if c in domains else F.col(c)
+            for c in out.columns
         )
     )
-    group = [c for c in SINGLED_OUT_BY.get(table, ()) if c in out.columns]
-    if not group:
-        return out
-    # few rows are in small groups, so those are listed and not the large ones
-    small = out.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") < k)
-    small = small.select(*(F.col(c).alias(f"_{c}") for c in group))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
-    return out.join(small, same, "left_anti")
 
 
 def anonymized_export(

@@ -1,11 +1,12 @@
 """Integrity rules as checks on data at rest: each returns the violations it finds.
 
-All rules come from ``schemas.TABLES``; every check takes a dict of DataFrames by table
+All rules come from ``schemas.TABLES``; every check takes a mapping of DataFrames by table
 name, skips tables that are not given, and returns (rule, table, key, detail).
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from looptrace.functions.timefn import micros
 from looptrace.schemas import TABLES, Table
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def _text(value: Column | str) -> Column:

@@ -6,6 +6,8 @@ effects are a report, and ``apply_delete`` returns rewritten tables.
 
 from __future__ import annotations
 
+from collections import ChainMap
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from looptrace.schemas import TABLES, Ref, Table
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 class DeleteBlocked(Exception):
@@ -96,7 +98,7 @@ def apply_delete(tables: Tables, root: str, keys: DataFrame) -> Tables:
     for child, ref, rows in blocked:
         if not rows.isEmpty():
             raise DeleteBlocked(f"{child.name}.{ref.column} still refers to {ref.parent}")
-    after = dict(tables)
+    after = ChainMap({}, tables)
     for child, ref, _ in nulled:
         parents = doomed[ref.parent].select(F.col("key").alias("_parent"), F.lit(True).alias("_gone"))
         df = after[child.name]

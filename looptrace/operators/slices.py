@@ -1,16 +1,17 @@
 """Ordered computations inside groups, safe for groups of any size.
 
-A window over a key sorts the whole group in one task.  Groups above ``HOT_ROWS`` rows are
-therefore cut into time slices: the window runs inside (key, slice), and what crosses a
+A window over a key sorts the whole group in one task.  So groups above ``HOT_ROWS`` rows
+are looked for first.  Where there is none, the plain window runs.  Otherwise the large
+groups are cut into time slices: the window runs inside (key, slice), and what crosses a
 slice border, a running total or the previous row, comes from one aggregated row per slice.
-All other groups form a single slice and take the plain window.  Where no group is large,
-adaptive execution finds the list of them empty and drops everything that depends on it.
 
 The cuts of a large group are approximate quantiles of its times, so slices hold about as
-many rows each however unevenly the rows lie.  Results depend neither on which groups are
-cut nor on where.  What is broadcast is bounded: a group needs ``HOT_ROWS`` rows to be listed
-and the ``HOT_KEYS`` largest are listed at most, with ``GRID`` squared cuts each, 8 MB in
-all.  A group beyond the list holds less than 1/HOT_KEYS of all rows and stays whole.
+many rows each however unevenly the rows lie; results depend neither on which groups are
+cut nor on where.  The cuts are fetched once and put into the plan as constants: the same
+rows then fall into the same slices wherever and however often a task runs.  Their size is
+bounded: a group needs ``HOT_ROWS`` rows to be listed and the ``HOT_KEYS`` largest are listed
+at most, with ``GRID`` squared cuts each, 8 MB in all.  A group beyond the list holds less
+than 1/HOT_KEYS of all rows and stays whole.
 """
 
 from __future__ import annotations
@@ -31,36 +32,38 @@ def hot_groups(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
     return sizes.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key)
 
 
-def _cuts(df: DataFrame, key: str, at: str, rows: int) -> DataFrame:
-    """(key, _coarse, _fine): every GRID-th cut, and the cuts between those."""
+def _constant(df: DataFrame) -> DataFrame | None:
+    """A bounded result fetched now; None when it has no rows."""
+    rows = df.collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows else None
+
+
+def cuts(df: DataFrame, key: str, at: str, rows: int = HOT_ROWS) -> DataFrame | None:
+    """(key, _coarse, _fine): every GRID-th cut of a large group, and the cuts between those."""
+    hot = _constant(hot_groups(df, key, rows))
+    if hot is None:
+        return None
     shares = [i / GRID**2 for i in range(1, GRID**2)]
-    cuts = (
-        df.join(F.broadcast(hot_groups(df, key, rows)), key)
-        .groupBy(key)
-        .agg(F.percentile_approx(micros(F.col(at)), shares, 4 * GRID**2).alias("_cut"))
-    )
+    times = F.percentile_approx(micros(F.col(at)), shares, 4 * GRID**2).alias("_cut")
+    found = df.join(F.broadcast(hot), key).groupBy(key).agg(times)
     coarse = [F.col("_cut")[GRID * i - 1] for i in range(1, GRID)]
     fine = [F.slice("_cut", GRID * i + 1, GRID - 1) for i in range(GRID)]
-    return cuts.select(key, F.array(*coarse).alias("_coarse"), F.array(*fine).alias("_fine"))
+    return _constant(
+        found.select(key, F.array(*coarse).alias("_coarse"), F.array(*fine).alias("_fine"))
+    )
 
 
 def _below(cuts: Column, at: Column) -> Column:
     return F.size(F.filter(cuts, lambda cut: cut < at))
 
 
-def sliced(
-    df: DataFrame, key: str, at: str, rows: int = HOT_ROWS, sizes: DataFrame | None = None
-) -> DataFrame:
-    """``df`` + ``_slice``: NULL for an ordinary group, else the number of cuts below the row.
-
-    ``sizes`` may name a cheaper source of (key, at) to take the cuts from.
-    """
-    known = (df if sizes is None else sizes).select(key, at)
+def sliced(df: DataFrame, key: str, at: str, cuts: DataFrame) -> DataFrame:
+    """``df`` + ``_slice``: NULL for an ordinary group, else the number of cuts below the row."""
     time = micros(F.col(at))
     first = _below(F.col("_coarse"), time)
     number = first * GRID + _below(F.col("_fine")[first], time)
     return (
-        df.join(F.broadcast(_cuts(known, key, at, rows)), key, "left")
+        df.join(F.broadcast(cuts), key, "left")
         .withColumn("_slice", F.when(F.col("_coarse").isNotNull(), number))
         .drop("_coarse", "_fine")
     )
@@ -79,21 +82,19 @@ def _with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices
 
 
 def running_sum(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    value: str,
-    out: str,
-    rows: int = HOT_ROWS,
-    sizes: DataFrame | None = None,
+    df: DataFrame, key: str, order: list[str], value: str, out: str, rows: int = HOT_ROWS
 ) -> DataFrame:
     """``df`` + ``out``: sum of ``value`` up to and with the row, in ``order`` within ``key``."""
-    cut = sliced(df, key, order[0], rows, sizes)
-    upto = Window.partitionBy(key, "_slice").orderBy(*order)
-    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    at = cuts(df, key, order[0], rows)
+    if at is None:
+        whole = Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)
+        return df.withColumn(out, F.sum(value).over(whole))
+    cut = sliced(df, key, order[0], at)
+    within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*upto)
     summed = _with_carry(
         cut,
-        cut.withColumn(out, F.sum(value).over(upto)),
+        cut.withColumn(out, F.sum(value).over(within)),
         key,
         F.sum(value).alias("_sum"),
         lambda w: F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -109,9 +110,16 @@ def previous(
     rows: int = HOT_ROWS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """``df`` + struct ``prev``: the ``keep`` columns of the row before, NULL for the first."""
-    cut = sliced(df, key, order[0], rows, sizes)
+    """``df`` + struct ``prev``: the ``keep`` columns of the row before, NULL for the first.
+
+    ``sizes`` may name a cheaper source of (key, time) to find large groups and cuts in.
+    """
     row = F.struct(*keep)
+    known = df if sizes is None else sizes
+    at = cuts(known.select(key, order[0]), key, order[0], rows)
+    if at is None:
+        return df.withColumn("prev", F.lag(row).over(Window.partitionBy(key).orderBy(*order)))
+    cut = sliced(df, key, order[0], at)
     within = Window.partitionBy(key, "_slice").orderBy(*order)
     found = _with_carry(
         cut,

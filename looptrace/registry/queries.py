@@ -131,13 +131,13 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
             "returns", t.returns, SALT, k=3, unit="year"),
         # deletes
         "ref_delete": lambda t: ref_delete(
-            t.all(), "customers",
+            t, "customers",
             customers.cus_without_checkouts(t.customers, t.checkouts).select("customer_id")),
         "ref_delete_blocked": lambda t: ref_delete(
-            t.all(), "customers",
+            t, "customers",
             t.deposit_accounts.filter("balance_cents < 0").select("customer_id")),
         "ref_delete_inspections": lambda t: apply_delete(
-            t.all(), "wash_cycles",
+            t, "wash_cycles",
             t.wash_cycles.filter("end_time IS NULL").select("wash_id"))["inspections"],
         # loading
         "ing_typed_load": lambda t: typed_rows(t.query(RAW_READINGS), "sensor_readings"),
@@ -150,13 +150,13 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
 
 def _checks() -> dict[str, Callable[[Loop], DataFrame]]:
     return {
-        "dq_not_null": lambda t: quality.dq_not_null(t.all()),
-        "dq_primary_key": lambda t: quality.dq_primary_key(t.all()),
-        "dq_unique": lambda t: quality.dq_unique(t.all()),
-        "dq_check": lambda t: quality.dq_check(t.all()),
-        "dq_foreign_key": lambda t: quality.dq_foreign_key(t.all()),
-        "dq_role_kind": lambda t: quality.dq_role_kind(t.all()),
-        "dq_temporal": lambda t: quality.dq_temporal(t.all()),
+        "dq_not_null": lambda t: quality.dq_not_null(t),
+        "dq_primary_key": lambda t: quality.dq_primary_key(t),
+        "dq_unique": lambda t: quality.dq_unique(t),
+        "dq_check": lambda t: quality.dq_check(t),
+        "dq_foreign_key": lambda t: quality.dq_foreign_key(t),
+        "dq_role_kind": lambda t: quality.dq_role_kind(t),
+        "dq_temporal": lambda t: quality.dq_temporal(t),
     }
 
 

@@ -7,6 +7,7 @@ check SQL as a list of common table expressions.  They are test data, not featur
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -302,9 +303,11 @@ FROM events
 """
 
 
-class Loop:
+class Loop(Mapping):
     """The sixteen tables over one folder of test files, each built when first used.
 
+    ``loop.movements`` and ``loop["movements"]`` are the same.
+
     ``streamed`` names source files to read as streams, ``dirty`` adds faults to the tables.
     """
 
@@ -338,5 +341,17 @@ class Loop:
         self.__dict__[table] = frame
         return frame
 
-    def all(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in PROJECTIONS}
+    def __getitem__(self, table: str) -> DataFrame:
+        try:
+            return getattr(self, table)
+        except AttributeError:
+            raise KeyError(table) from None
+
+    def __contains__(self, table: object) -> bool:
+        return table in PROJECTIONS
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(PROJECTIONS)
+
+    def __len__(self) -> int:
+        return len(PROJECTIONS)

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from looptrace.schemas import TABLES
 from looptrace.session import scratch_dir
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_log(spark: SparkSession, path: str, table: str, files_per_batch: int | None = None):
     reader = spark.readStream.schema(TABLES[table].struct)
@@ -17,6 +20,8 @@ def stream_log(spark: SparkSession, path: str, table: str, files_per_batch: int
 
 def run_to_files(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
     """Runs an append stream over all input present; result and progress go to shared files."""
+    if spark.conf.get(STATE_STORE, None) is None:  # the default keeps all state on the heap
+        spark.conf.set(STATE_STORE, ROCKS_DB)
     folder = scratch_dir(spark, purpose)
     query = (
         stream.writeStream.outputMode("append")

@@ -14,7 +14,7 @@ from looptrace.operators import quality
 from looptrace.operators.anonymize import anonymize, anonymized_export
 from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import DeleteBlocked, apply_delete, ref_delete
-from looptrace.operators.slices import hot_groups, previous, running_sum, sliced
+from looptrace.operators.slices import cuts, hot_groups, previous, running_sum, sliced
 from looptrace.plans import customers, trace
 from looptrace.schemas import TABLES
 from looptrace.sources.files import read_log, read_table, write_log, write_table
@@ -67,14 +67,14 @@ def test_slices_cut_a_hot_group_with_a_burst(spark):
     log = spark.range(10_000).selectExpr(
         "0L AS k", "id",
         "timestamp_seconds(CASE WHEN id % 10 = 0 THEN id * 20000 ELSE 1e8 + id * 0.3 END) AS ts")
-    sizes = [n for (n,) in tuples(sliced(log, "k", "ts", 500).groupBy("_slice").count(), "count")]
+    sizes = [n for (n,) in tuples(sliced(log, "k", "ts", cuts(log, "k", "ts", 500)).groupBy("_slice").count(), "count")]
     assert len(sizes) > 900 and max(sizes) <= 60
 
 
 def test_slices_from_another_source_stay_in_order(spark):
     log = skewed_log(spark)
     for sizes in (log.filter("id % 5 = 0"), log.filter("ts > '2025-01-05'")):
-        cut = sliced(log, "k", "ts", 20, sizes).filter("_slice IS NOT NULL")
+        cut = sliced(log, "k", "ts", cuts(sizes, "k", "ts", 20)).filter("_slice IS NOT NULL")
         spans = cut.groupBy("k", "_slice").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
         order = Window.partitionBy("k").orderBy("_slice")
         assert spans.count() > 5
