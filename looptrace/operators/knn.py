@@ -16,37 +16,25 @@ from pyspark.sql import functions as F
 from looptrace.functions.geofn import haversine_km, sphere_xyz
 
 LEVELS = 10
+CUBE = ["level", "cx", "cy", "cz"]
 
 
-def _cube_size(max_km: float, level: int) -> float:
-    return max_km / 2**level
+def _each_level(df: DataFrame) -> DataFrame:
+    return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
 
 
-def _cubes(df: DataFrame, max_km: float, levels: range) -> DataFrame:
-    """A row per level with the cube (cx, cy, cz) that holds the position."""
-    xyz = sphere_xyz(F.col("lat"), F.col("lng"))
-    at = [
-        F.struct(
-            F.lit(level).alias("level"),
-            *(
-                F.floor(v / _cube_size(max_km, level)).alias(c)
-                for c, v in zip(("cx", "cy", "cz"), xyz)
-            ),
-        )
-        for level in levels
-    ]
-    return df.select("*", F.explode(F.array(*at)).alias("cube")).select("*", "cube.*").drop("cube")
+def _cube(df: DataFrame, lat: str, lng: str, max_km: float) -> DataFrame:
+    """``df`` + (cx, cy, cz), the cube of the row's ``level`` that holds the position."""
+    per_km = F.pow(F.lit(2.0), F.col("level")) / max_km
+    xyz = sphere_xyz(F.col(lat), F.col(lng))
+    return df.withColumns({c: F.floor(v * per_km) for c, v in zip(CUBE[1:], xyz)})
 
 
 def _spread(df: DataFrame) -> DataFrame:
     """A row for each of the 27 cubes around and including (cx, cy, cz)."""
-    for axis in ("cx", "cy", "cz"):
-        step = F.explode(F.array(*(F.lit(s) for s in (-1, 0, 1))))
-        df = df.withColumn("_step", step).withColumn(axis, F.col(axis) + F.col("_step"))
-    return df.drop("_step")
-
-
-CUBE = ["level", "cx", "cy", "cz"]
+    for axis in CUBE[1:]:
+        df = df.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
+    return df
 
 
 def _search_level(spots: DataFrame, sites: DataFrame, k: int, max_km: float) -> DataFrame:
@@ -55,12 +43,12 @@ def _search_level(spots: DataFrame, sites: DataFrame, k: int, max_km: float) ->
     27 cubes of size s with k sites put the k-th within 2 * sqrt(3) * s < 4 s, which the 27
     cubes of size 4 s, two levels up, cover.
     """
-    held = _cubes(sites, max_km, range(LEVELS)).groupBy(*CUBE).agg(F.count("*").alias("n"))
-    around = _spread(held).groupBy(*CUBE).agg(F.sum("n").alias("n"))
-    enough = around.filter(F.col("n") >= k).drop("n")
+    held = _cube(_each_level(sites), "lat", "lng", max_km)
+    held = held.groupBy(*CUBE).agg(F.count("*").alias("n"))
+    enough = _spread(held).groupBy(*CUBE).agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
     finest = (
-        _cubes(spots, max_km, range(LEVELS))
-        .join(enough, CUBE)
+        _cube(_each_level(spots), "lat", "lng", max_km)
+        .join(enough, CUBE, "left_semi")
         .groupBy("lat", "lng")
         .agg(F.max("level").alias("finest"))
     )
@@ -83,14 +71,9 @@ def knn_places(points: DataFrame, places: DataFrame, k: int, max_km: float) -> D
         .drop("nth")
     )
     spots = _search_level(points.select("lat", "lng").distinct(), sites, k, max_km)
-    search = _spread(_cubes(spots.withColumnRenamed("level", "at"), max_km, range(LEVELS))
-                     .filter("level = at").drop("at"))
-    targets = _cubes(
-        sites.withColumnsRenamed({"lat": "to_lat", "lng": "to_lng"})
-        .withColumns({"lat": F.col("to_lat"), "lng": F.col("to_lng")}),
-        max_km,
-        range(LEVELS),
-    ).drop("lat", "lng")
+    search = _spread(_cube(spots, "lat", "lng", max_km))
+    targets = sites.withColumnsRenamed({"lat": "to_lat", "lng": "to_lng"})
+    targets = _cube(_each_level(targets), "to_lat", "to_lng", max_km)
     near = (
         search.join(targets, CUBE)
         .withColumn(

@@ -9,25 +9,19 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from looptrace.functions.timefn import micros
 from looptrace.schemas import TABLES, Table
 
 Tables = Mapping[str, DataFrame]
 
 
-def _text(value: Column | str) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast("string")
-
-
-def _report(df: DataFrame, rule: Column | str, table: str, key: Column, detail: Column) -> DataFrame:
-    return df.select(
-        (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"),
-        F.lit(table).alias("table"),
-        _text(key).alias("key"),
-        _text(detail).alias("detail"),
+def _report(df: DataFrame, rule: str, table: str, key: str, detail: str) -> DataFrame:
+    """``rule``, ``key`` and ``detail`` are SQL expressions over ``df``."""
+    return df.selectExpr(
+        f"{rule} AS rule", f"'{table}' AS table", f"CAST({key} AS STRING) AS key",
+        f"{detail} AS detail",
     )
 
 
@@ -36,20 +30,22 @@ def _given(tables: Tables) -> list[tuple[Table, DataFrame]]:
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
-def _broken(df: DataFrame, rules: dict[str, Column], rule: str | None, table: Table) -> DataFrame:
+def _broken(df: DataFrame, rule: str, conditions: dict[str, str], table: Table) -> DataFrame:
     """One pass over a table: a violation per row and named condition that holds."""
-    broken = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
-    found = df.select(F.col(table.key).alias("_key"), F.explode(broken).alias("_name"))
-    return _report(found, rule or F.col("_name"), table.name, F.col("_key"), F.col("_name"))
+    tests = ", ".join(f"IF({bad}, '{name}', NULL)" for name, bad in conditions.items())
+    found = df.selectExpr(
+        f"{table.key} AS _key", f"explode(array_compact(array({tests}))) AS _name"
+    )
+    return _report(found, f"'{rule}'", table.name, "_key", "_name")
 
 
 def dq_not_null(tables: Tables) -> DataFrame:
     return _all(
         [
-            _broken(df, {c: F.col(c).isNull() for c in t.required}, "not_null", t)
+            _broken(df, "not_null", {c: f"{c} IS NULL" for c in t.required}, t)
             for t, df in _given(tables)
         ]
     )
@@ -64,8 +60,8 @@ def dq_primary_key(tables: Tables) -> DataFrame:
     return _all(
         [
             _report(
-                _repeated(df.filter(F.col(t.key).isNotNull()), t.key),
-                "primary_key", t.name, F.col(t.key), F.concat(_text("n"), F.lit(" rows")),
+                _repeated(df.filter(f"{t.key} IS NOT NULL"), t.key),
+                "'primary_key'", t.name, t.key, "concat(n, ' rows')",
             )
             for t, df in _given(tables)
         ]
@@ -78,8 +74,7 @@ def dq_unique(tables: Tables) -> DataFrame:
         [
             _report(
                 _repeated(df, column),
-                "unique", t.name, F.col(column),
-                F.concat(F.lit(f"{column}: "), _text("n"), F.lit(" rows")),
+                "'unique'", t.name, column, f"concat('{column}: ', n, ' rows')",
             )
             for t, df in _given(tables)
             for column in t.unique
@@ -89,18 +84,13 @@ def dq_unique(tables: Tables) -> DataFrame:
 
 def dq_check(tables: Tables) -> DataFrame:
     """Allowed values, ranges and text lengths; a rule with an unknown result passes."""
-
-    def fails(predicate: Column) -> Column:
-        return ~F.coalesce(predicate, F.lit(True))
-
     parts = []
     for t, df in _given(tables):
-        rules = {c.name: fails(F.expr(c.predicate)) for c in t.checks}
-        for c in t.columns:
-            if c.size:
-                rules[f"{c.name}_length"] = fails(F.length(c.name) <= c.size)
+        rules = {c.name: c.predicate for c in t.checks}
+        rules |= {f"{c.name}_length": f"length({c.name}) <= {c.size}" for c in t.columns if c.size}
         if rules:
-            parts.append(_broken(df, rules, "check", t))
+            broken = {name: f"NOT coalesce({rule}, true)" for name, rule in rules.items()}
+            parts.append(_broken(df, "check", broken, t))
     return _all(parts)
 
 
@@ -111,13 +101,11 @@ def dq_foreign_key(tables: Tables) -> DataFrame:
         for ref in t.refs:
             if ref.parent not in tables:
                 continue
-            parent = tables[ref.parent].select(F.col(TABLES[ref.parent].key).alias("_parent"))
-            child = df.select(F.col(t.key).alias("_key"), F.col(ref.column).alias("_value"))
-            orphans = child.filter("_value IS NOT NULL").join(
-                parent, F.col("_value") == F.col("_parent"), "left_anti"
-            )
-            detail = F.concat(F.lit(f"{ref.column} -> {ref.parent}: "), _text("_value"))
-            parts.append(_report(orphans, "foreign_key", t.name, F.col("_key"), detail))
+            parent = tables[ref.parent].selectExpr(f"{TABLES[ref.parent].key} AS _value")
+            child = df.selectExpr(f"{t.key} AS _key", f"{ref.column} AS _value")
+            orphans = child.filter("_value IS NOT NULL").join(parent, "_value", "left_anti")
+            detail = f"concat('{ref.column} -> {ref.parent}: ', _value)"
+            parts.append(_report(orphans, "'foreign_key'", t.name, "_key", detail))
     return _all(parts)
 
 
@@ -131,47 +119,37 @@ ROLE_KINDS = {
 
 def dq_role_kind(tables: Tables) -> DataFrame:
     """Retailers, hubs and returns at a place of the wrong kind."""
-    places = tables["locations"].select("location_id", F.col("kind").alias("_kind"))
-    return _all(
-        [
-            _report(
-                tables[name]
-                .join(places, "location_id")
-                .filter(~F.coalesce(F.col("_kind").isin(*kinds), F.lit(True))),
-                "role_kind", name, F.col(TABLES[name].key),
-                F.concat(F.lit("at a "), F.col("_kind")),
-            )
-            for name, kinds in ROLE_KINDS.items()
-            if name in tables
-        ]
-    )
+    places = tables["locations"].selectExpr("location_id", "kind AS _kind")
+    parts = []
+    for name, kinds in ROLE_KINDS.items():
+        if name in tables:
+            wrong = F.col("_kind").isNotNull() & ~F.col("_kind").isin(*kinds)
+            misplaced = tables[name].join(places.filter(wrong), "location_id")
+            key = TABLES[name].key
+            parts.append(_report(misplaced, "'role_kind'", name, key, "concat('at a ', _kind)"))
+    return _all(parts)
 
 
 def dq_temporal(tables: Tables) -> DataFrame:
     """Ends before starts: returns, washes and retirements."""
-
-    def before(first: str, second: str) -> Column:
-        return micros(F.col(first)) < micros(F.col(second))
-
     loans = tables["checkouts"].select("checkout_id", "checkout_time")
     backs = tables["returns"].filter("checkout_id IS NOT NULL")
+    backs = backs.select("return_id", "checkout_id", "return_time").join(loans, "checkout_id")
     washes, items = tables["wash_cycles"], tables["packaging_instances"]
     return _all(
         [
             _report(
-                backs.select("return_id", "checkout_id", "return_time")
-                .join(loans, "checkout_id")
-                .filter(before("return_time", "checkout_time")),
-                "temporal", "returns", F.col("return_id"), F.lit("returned before its checkout"),
+                backs.filter("return_time < checkout_time"),
+                "'temporal'", "returns", "return_id", "'returned before its checkout'",
             ),
             _report(
-                washes.filter(before("end_time", "start_time")),
-                "temporal", "wash_cycles", F.col("wash_id"), F.lit("ended before its start"),
+                washes.filter("end_time < start_time"),
+                "'temporal'", "wash_cycles", "wash_id", "'ended before its start'",
             ),
             _report(
-                items.filter(before("retired_at", "birthed_at")),
-                "temporal", "packaging_instances", F.col("instance_id"),
-                F.lit("retired before its birth"),
+                items.filter("retired_at < birthed_at"),
+                "'temporal'", "packaging_instances", "instance_id",
+                "'retired before its birth'",
             ),
         ]
     )

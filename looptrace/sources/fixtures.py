@@ -319,8 +319,14 @@ class Loop(Mapping):
         self.folder = folder.rstrip("/")
         self.streamed = streamed
         self.dirty = dirty
+        self.sources: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
+        if name not in self.sources:
+            self.sources[name] = self._read(name)
+        return self.sources[name]
+
+    def _read(self, name: str) -> DataFrame:
         reader = self.spark.readStream if name in self.streamed else self.spark.read
         # a stream takes one file only by a pattern; this one matches a single name
         path = f"{self.folder}/{{{name}}}.parquet" if name in self.streamed else (
