@@ -23,7 +23,7 @@ from looptrace.streaming.telemetry import latest_of_feed, st_latest_reading, st_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Reports with a row per item, customer or log entry are registered unordered: their order
+# Reports with a row per item, customer, place or log entry are registered unordered: their order
 # is presentation, and a global sort of a large result would run its input twice.
 BULK = {"ordered": False}
 
@@ -69,12 +69,12 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
         "cyc_duration_percentiles": lambda t: cycles.cyc_duration_percentiles(
             t.checkouts, t.returns, t.packaging_instances, t.packaging_catalog),
         "cyc_return_rate": lambda t: cycles.cyc_return_rate(
-            t.checkouts, t.retailers, t.locations, t.returns),
+            t.checkouts, t.retailers, t.locations, t.returns, **bulk),
         "cyc_return_status": lambda t: cycles.cyc_return_status(t.checkouts, t.returns),
         # washing
         "wsh_cycle_stats": lambda t: washing.wsh_cycle_stats(t.wash_cycles),
         "wsh_pass_rate_by_hub": lambda t: washing.wsh_pass_rate_by_hub(
-            t.inspections, t.wash_cycles, t.hubs, t.locations),
+            t.inspections, t.wash_cycles, t.hubs, t.locations, **bulk),
         "wsh_latest_failures": lambda t: washing.wsh_latest_failures(t.inspections, **bulk),
         # incidents
         "inc_recent_by_kind_severity": lambda t: incidents.inc_recent_by_kind_severity(
@@ -97,7 +97,7 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
         "kpi_daily": lambda t: cycles.kpi_daily(t.checkouts, t.returns),
         "kpi_state_rollup": lambda t: cycles.kpi_state_rollup(t.packaging_instances),
         "kpi_retailer_dashboard": lambda t: cycles.kpi_retailer_dashboard(
-            t.checkouts, t.retailers, t.locations, t.returns),
+            t.checkouts, t.retailers, t.locations, t.returns, **bulk),
         "vw_checkout_enriched": lambda t: packaging.vw_checkout_enriched(
             t.checkouts, t.customers, t.packaging_instances, t.packaging_catalog,
             t.retailers, t.locations),
@@ -109,9 +109,9 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
             t.wash_cycles, t.hubs, t.contamination_incidents, t.movements),
         "turnaround_by_retailer": lambda t: cycles.turnaround_by_retailer(
             t.checkouts, t.returns, t.packaging_instances, t.packaging_catalog,
-            t.retailers, t.locations),
+            t.retailers, t.locations, **bulk),
         "ontime_by_retailer": lambda t: cycles.ontime_by_retailer(
-            t.checkouts, t.returns, t.retailers, t.locations),
+            t.checkouts, t.returns, t.retailers, t.locations, **bulk),
         "dwell_current": lambda t: movements.dwell_current(t.movements, t.locations, now, **bulk),
         "loss_hotspots": lambda t: trace.loss_hotspots(
             t.packaging_instances, t.movements, t.checkouts, t.returns,

@@ -8,15 +8,34 @@ from pyspark.sql import types as T
 
 from looptrace.functions.timefn import AsOf
 from looptrace.schemas import NOW, TABLES, Column
+from looptrace.sources.files import LOG_ORDER, write_log, write_table
 
 
-def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
-    """A csv or json file with the table's columns as text; absent columns read as NULL."""
-    text = T.StructType([T.StructField(c.name, T.StringType()) for c in TABLES[table].columns])
-    reader = spark.read.schema(text)
+def read_raw(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    fmt: str = "csv",
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """A csv (with header) or json file as text: those of the table's columns that it has.
+
+    The names come from the header of a csv file, which all its parts must share.  A json
+    file is read once more to find them, unless ``columns`` names them.
+    """
+    wanted = [c.name for c in TABLES[table].columns]
+    reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
-    return reader.format(fmt).load(path)
+        return _known(reader.load(path), columns or wanted)
+    if columns is None:
+        columns = _known(reader.option("primitivesAsString", True).load(path), wanted).columns
+    text = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    return spark.read.format(fmt).schema(text).load(path)
+
+
+def _known(df: DataFrame, wanted: list[str]) -> DataFrame:
+    return df.select(*(name for name in wanted if name in df.columns))
 
 
 def _value(c: Column):
@@ -71,3 +90,25 @@ def with_defaults(
         else:
             out.append(value.alias(c.name))
     return df.select(*out)
+
+
+def load_file(
+    spark: SparkSession,
+    raw_path: str,
+    table: str,
+    path: str,
+    rejects_path: str,
+    as_of: AsOf,
+    fmt: str = "csv",
+) -> None:
+    """Raw file -> typed table with defaults at ``path``, and what does not fit, as text, apart.
+
+    Logs are laid out by day.  A column that is absent from the whole file gets its default.
+    """
+    raw = read_raw(spark, raw_path, table, fmt)
+    rejected_rows(raw, table).write.json(rejects_path)
+    good = with_defaults(typed_rows(raw, table), table, as_of)
+    if table in LOG_ORDER:
+        write_log(good, path, table)
+    else:
+        write_table(good, path)

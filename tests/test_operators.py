@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -16,10 +17,11 @@ from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import DeleteBlocked, apply_delete, ref_delete
 from looptrace.operators.slices import cuts, hot_groups, previous, running_sum, sliced
 from looptrace.plans import customers, trace
+from looptrace.plans.views import register_views
 from looptrace.schemas import TABLES
 from looptrace.sources.files import read_log, read_table, write_log, write_table
 from looptrace.sources.fixtures import Loop
-from looptrace.sources.ingest import read_raw, rejected_rows, typed_rows, with_defaults
+from looptrace.sources.ingest import load_file, read_raw, rejected_rows, typed_rows, with_defaults
 
 from .conftest import at, tuples
 
@@ -246,7 +248,26 @@ def test_load_from_files(spark, tmp_path):
         ("3", "measured_at"), ("x", "reading_id,value")]
     (tmp_path / "r.json").write_text('{"reading_id": 5, "value": 1.25}\n')
     raw = read_raw(spark, str(tmp_path / "r.json"), "sensor_readings", "json")
-    assert tuples(typed_rows(raw, "sensor_readings"), "reading_id", "sensor_type") == [(5, None)]
+    assert tuples(typed_rows(raw, "sensor_readings")) == [(5, Decimal("1.250"))]
+
+
+def test_load_file(spark, tmp_path):
+    raw, out, bad = (str(tmp_path / name) for name in ("m.csv", "out", "bad"))
+    (tmp_path / "m.csv").write_text("mv_id,instance_id,to_loc_id\n1,7,3\n2,?,3\n")
+    load_file(spark, raw, "movements", out, bad, as_of="2025-01-01 06:00:00")
+    assert tuples(read_log(spark, out, "movements")) == [
+        (1, 7, None, 3, at("2025-01-01 06:00:00"), None)]
+    assert tuples(spark.read.json(bad), "mv_id", "faults") == [("2", "instance_id")]
+
+
+def test_views(spark):
+    names = register_views(Loop(spark, FOLDER))
+    assert len(names) == 19
+    (total,), = tuples(spark.sql("SELECT count(*) FROM v_checkout_enriched JOIN"
+                                 " v_customer_balances USING (customer_id)"))
+    assert total > 0
+    assert register_views({"movements": spark.table("movements")}) == [
+        "movements", "v_instance_last_location"]
 
 
 def test_defaults(spark):
