@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from looptrace.schemas import TABLES
 from looptrace.session import scratch_dir
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Large state belongs on disk, not on the heap, and only its changes are saved per batch.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def stream_log(spark: SparkSession, path: str, table: str, files_per_batch: int | None = None):
@@ -20,8 +24,9 @@ def stream_log(spark: SparkSession, path: str, table: str, files_per_batch: int
 
 def run_to_files(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
     """Runs an append stream over all input present; result and progress go to shared files."""
-    if spark.conf.get(STATE_STORE, None) is None:  # the default keeps all state on the heap
-        spark.conf.set(STATE_STORE, ROCKS_DB)
+    for key, value in STATE_SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     folder = scratch_dir(spark, purpose)
     query = (
         stream.writeStream.outputMode("append")
