@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from looptrace.functions.numfn import ratio
-from looptrace.functions.timefn import AsOf, clock, hours_between
+from looptrace.functions.timefn import AsOf, hours_between
 from looptrace.operators.slices import HOT_ROWS, previous
 from looptrace.plans.cycles import linked
 from looptrace.plans.packaging import open_overdue, pkg_last_location
@@ -110,6 +110,16 @@ def match_returns(
     )
 
 
+def with_matches(returns: DataFrame, matched: DataFrame) -> DataFrame:
+    """Returns whose links include those that ``match_returns`` found, for any loan report."""
+    links = matched.select("return_id", "matched_checkout_id")
+    return (
+        returns.join(links, "return_id", "left")
+        .withColumn("checkout_id", F.coalesce("checkout_id", "matched_checkout_id"))
+        .select(returns.columns)
+    )
+
+
 def _rewash(
     inspections: DataFrame, contamination_incidents: DataFrame, min_severity: int
 ) -> DataFrame:

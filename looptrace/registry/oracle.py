@@ -426,7 +426,7 @@ REPORTS: dict[str, tuple[str, str]] = {
         "locations retailers",
         f"""
         SELECT point_id, location_id, round(km, 6) AS distance_km,
-               row_number() OVER point AS rank
+               row_number() OVER point ::INTEGER AS rank
         FROM (
           SELECT p.location_id AS point_id, q.location_id,
                  2 * 6371.0 * asin(least(1.0, sqrt(

@@ -328,9 +328,9 @@ class Loop(Mapping):
 
     def _read(self, name: str) -> DataFrame:
         reader = self.spark.readStream if name in self.streamed else self.spark.read
-        # a stream takes one file only by a pattern; this one matches a single name
-        path = f"{self.folder}/{{{name}}}.parquet" if name in self.streamed else (
-            f"{self.folder}/{name}.parquet")
+        # a stream takes a single file only by a pattern, here one that fits no other name
+        file = f"{{{name}}}.parquet" if name in self.streamed else f"{name}.parquet"
+        path = f"{self.folder}/{file}"
         return reader.schema(SOURCE_SCHEMAS[name]).parquet(path)
 
     def query(self, text: str, *tables: str) -> DataFrame:

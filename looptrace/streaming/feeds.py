@@ -15,11 +15,14 @@ STATE_SETTINGS = {
 }
 
 
-def stream_log(spark: SparkSession, path: str, table: str, files_per_batch: int | None = None):
-    reader = spark.readStream.schema(TABLES[table].struct)
+def stream_log(
+    spark: SparkSession, path: str, table: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """A log folder, by day as ``write_log`` lays it out or flat, as a stream."""
+    reader = spark.readStream.schema(TABLES[table].struct.add("event_date", "date"))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(path).drop("event_date")
 
 
 def run_to_files(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:

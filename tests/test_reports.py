@@ -316,6 +316,16 @@ def test_match_returns(table):
         (None,), (1,), (None,), (2,), (3,), (None,), (4,)]
 
 
+def test_found_links_close_loans(table):
+    log = loans(table)
+    items = table("packaging_instances", *((i, 7, f"u{i}", "lost", AS_OF, None)
+                                           for i in range(100, 105)))
+    found = trace.with_matches(log["returns"], trace.match_returns(**log))
+    assert found.columns == log["returns"].columns and found.count() == 5
+    late = packaging.pkg_overdue(log["checkouts"], items, found, AS_OF)
+    assert tuples(late) == []
+
+
 def test_alerts(table):
     found = trace.alerts(
         sensor_readings=readings(table),

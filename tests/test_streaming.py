@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from looptrace.plans import sensors
+from looptrace.sources.files import write_log
 from looptrace.streaming.feeds import run_to_files, stream_log
 from looptrace.streaming.loans import st_overdue
 from looptrace.streaming.telemetry import latest_of_feed, st_latest_reading, st_temp_breaches
@@ -65,6 +66,15 @@ def test_overdue(spark, table, tmp_path):
         (2, 101, at("2025-01-08"), at("2025-01-12")), (3, 102, at("2025-01-08"), None)]
 
 
+def test_a_log_by_day_is_streamed(spark, table, tmp_path):
+    path = str(tmp_path / "log")
+    log = table("movements", (1, 7, None, 3, "2025-01-01 05:00:00", None),
+                (2, 7, None, 3, "2025-01-02 05:00:00", None))
+    write_log(log, path, "movements")
+    copied = run_to_files(spark, stream_log(spark, path, "movements"), "copy")
+    assert sorted(tuples(copied)) == sorted(tuples(log))
+
+
 def test_results_go_to_the_shared_folder(spark, table, tmp_path):
     stream = feed(spark, table, tmp_path, "sensor_readings", [reading(1, 7, 36, "2025-01-01")])
     found = run_to_files(spark, st_latest_reading(stream), "place")
