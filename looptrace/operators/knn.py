@@ -1,33 +1,43 @@
 """The k nearest places for each of many points, within a distance, exactly.
 
 Points and places are put on cubes in space, at several sizes that halve from level to
-level.  Per point the smallest size is taken at which the cubes around it surely hold k
-places; only places from cubes within the distance this implies are compared.  So the work
-per point follows k, not the density of places.  Before that, equal coordinates are folded:
-points with one position share an answer, and of the places at one position only the k
-lowest ids can be in any answer.  Space cubes have no trouble with poles or the date line.
+level, down to half a metre.  Per point the smallest size is taken at which its own cube
+holds k places; only places from cubes within the distance this implies are compared, and
+only those within it are ranked.  So the work per point follows k, not the density of places.  Before that, equal coordinates are folded: points with one position
+share an answer, and of the places at one position only the k lowest ids can be in any
+answer.  Space cubes have no trouble with poles or the date line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from looptrace.functions.geofn import haversine_km, sphere_xyz
+from looptrace.functions.geofn import EARTH_KM, sphere_xyz
 
-LEVELS = 10
+FINEST_KM = 0.0005
+TIE_KM = 1e-6  # distances are ranked to the millimetre
+AXES = ["x", "y", "z"]
 CUBE = ["level", "cx", "cy", "cz"]
 
 
-def _each_level(df: DataFrame) -> DataFrame:
-    return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+def _in_space(df: DataFrame) -> DataFrame:
+    """``df`` + (x, y, z) in km; rows without a position are left out."""
+    df = df.filter("lat IS NOT NULL AND lng IS NOT NULL")
+    return df.withColumns(dict(zip(AXES, sphere_xyz(F.col("lat"), F.col("lng")))))
+
+
+def _each_level(df: DataFrame, max_km: float) -> DataFrame:
+    last = max(0, math.ceil(math.log2(max_km / FINEST_KM)))
+    return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
 
 
-def _cube(df: DataFrame, lat: str, lng: str, max_km: float) -> DataFrame:
+def _cube(df: DataFrame, max_km: float) -> DataFrame:
     """``df`` + (cx, cy, cz), the cube of the row's ``level`` that holds the position."""
     per_km = F.pow(F.lit(2.0), F.col("level")) / max_km
-    xyz = sphere_xyz(F.col(lat), F.col(lng))
-    return df.withColumns({c: F.floor(v * per_km) for c, v in zip(CUBE[1:], xyz)})
+    return df.withColumns({c: F.floor(F.col(v) * per_km) for c, v in zip(CUBE[1:], AXES)})
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -37,23 +47,37 @@ def _spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def _search_level(spots: DataFrame, sites: DataFrame, k: int, max_km: float) -> DataFrame:
-    """Positions + the level whose 27 cubes contain the k nearest sites, if max_km does.
+def _searches(spots: DataFrame, sites: DataFrame, k: int, max_km: float) -> DataFrame:
+    """Spots + the level whose 27 cubes hold the k nearest sites, and how far those can be.
 
-    27 cubes of size s with k sites put the k-th within 2 * sqrt(3) * s < 4 s, which the 27
-    cubes of size 4 s, two levels up, cover.
+    A cube of size s with k sites puts the k-th within sqrt(3) * s < 2 s, which the 27 cubes
+    of size 2 s, one level up, cover.  Without such a cube max_km is the only bound.
     """
-    held = _cube(_each_level(sites), "lat", "lng", max_km)
-    held = held.groupBy(*CUBE).agg(F.count("*").alias("n"))
-    enough = _spread(held).groupBy(*CUBE).agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
+    held = _cube(_each_level(sites, max_km), max_km)
+    full = held.groupBy(*CUBE).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     finest = (
-        _cube(_each_level(spots), "lat", "lng", max_km)
-        .join(enough, CUBE, "left_semi")
+        _cube(_each_level(spots, max_km), max_km)
+        .join(full, CUBE, "left_semi")
         .groupBy("lat", "lng")
         .agg(F.max("level").alias("finest"))
     )
-    level = F.greatest(F.coalesce("finest", F.lit(0)) - 2, F.lit(0))
-    return spots.join(finest, ["lat", "lng"], "left").select("lat", "lng", level.alias("level"))
+    diagonal = math.sqrt(3) * max_km / F.pow(F.lit(2.0), F.col("finest"))
+    return spots.join(finest, ["lat", "lng"], "left").select(
+        "lat",
+        "lng",
+        *AXES,
+        F.greatest(F.col("finest") - 1, F.lit(0)).alias("level"),
+        (F.least(diagonal, F.lit(max_km)) + 2 * TIE_KM).alias("reach"),
+    )
+
+
+def _straight_km() -> Column:
+    x, y, z = (F.col(f"to_{axis}") - F.col(axis) for axis in AXES)
+    return F.sqrt(x * x + y * y + z * z)
+
+
+def _arc(straight_km: Column) -> Column:
+    return F.asin(F.least(F.lit(1.0), straight_km / (2 * EARTH_KM))) * (2 * EARTH_KM)
 
 
 def knn_places(points: DataFrame, places: DataFrame, k: int, max_km: float) -> DataFrame:
@@ -61,33 +85,26 @@ def knn_places(points: DataFrame, places: DataFrame, k: int, max_km: float) -> D
 
     Equal distances, to the millimetre, go by the lower ``location_id``.
     """
-    points = points.filter("lat IS NOT NULL AND lng IS NOT NULL")
     same_spot = Window.partitionBy("lat", "lng").orderBy("location_id")
     sites = (
-        places.filter("lat IS NOT NULL AND lng IS NOT NULL")
-        .select("location_id", "lat", "lng")
+        _in_space(places.select("location_id", "lat", "lng"))
         .withColumn("nth", F.row_number().over(same_spot))
         .filter(F.col("nth") <= k)
         .drop("nth")
     )
-    spots = _search_level(points.select("lat", "lng").distinct(), sites, k, max_km)
-    search = _spread(_cube(spots, "lat", "lng", max_km))
-    targets = sites.withColumnsRenamed({"lat": "to_lat", "lng": "to_lng"})
-    targets = _cube(_each_level(targets), "to_lat", "to_lng", max_km)
+    spots = _in_space(points.select("lat", "lng").distinct())
+    searches = _spread(_cube(_searches(spots, sites, k, max_km), max_km))
+    targets = _cube(_each_level(sites, max_km), max_km)
+    targets = targets.select("location_id", *CUBE, *(F.col(a).alias(f"to_{a}") for a in AXES))
+    # the straight line is cheap and never longer than the arc, so it goes first
     near = (
-        search.join(targets, CUBE)
-        .withColumn(
-            "distance_km",
-            haversine_km(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")),
-        )
+        searches.join(targets, CUBE)
+        .filter(_straight_km() <= F.col("reach"))
+        .select("lat", "lng", "location_id", _arc(_straight_km()).alias("distance_km"))
         .filter(F.col("distance_km") <= max_km)
     )
     by = Window.partitionBy("lat", "lng").orderBy(F.round("distance_km", 6), "location_id")
-    best = (
-        near.select("lat", "lng", "location_id", "distance_km")
-        .withColumn("rank", F.row_number().over(by))
-        .filter(F.col("rank") <= k)
-    )
+    best = near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return points.join(best, ["lat", "lng"]).select(
         "point_id", "location_id", F.round("distance_km", 6).alias("distance_km"), "rank"
     )

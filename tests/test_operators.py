@@ -132,6 +132,8 @@ def clustered(rng, n, centre, spread):
     ((41.385, 2.17), 0.02, 10, 5.0),
     ((0.0, 180.0), 0.5, 4, 60.0),
     ((89.9, 10.0), 0.1, 2, 15.0),
+    ((41.385, 2.17), 0.2, 300, 30.0),
+    ((10.0, 10.0), 40.0, 5, 9000.0),
 ])
 def test_knn_equals_brute_force(spark, centre, spread, k, max_km):
     rng = random.Random(7)
