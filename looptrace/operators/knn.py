@@ -3,9 +3,12 @@
 Points and places are put on cubes in space, at several sizes that halve from level to
 level, down to half a metre.  Per point the smallest size is taken at which its own cube
 holds k places; only places from cubes within the distance this implies are compared, and
-only those within it are ranked.  So the work per point follows k, not the density of places.  Before that, equal coordinates are folded: points with one position
-share an answer, and of the places at one position only the k lowest ids can be in any
-answer.  Space cubes have no trouble with poles or the date line.
+only those within it are ranked.  So where places lie evenly, the work per point follows k
+and not their density; a point beside a dense cluster still meets much of the cluster.
+
+Before that, equal coordinates are folded: points with one position share an answer, and of
+the places at one position only the k lowest ids can be in any answer.  Space cubes have no
+trouble with poles or the date line.
 """
 
 from __future__ import annotations
