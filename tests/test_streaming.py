@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pytest
+
 from looptrace.plans import sensors
+from looptrace.session import scratch_dir
 from looptrace.sources.files import write_log
 from looptrace.streaming.feeds import run_to_files, stream_log
 from looptrace.streaming.loans import st_overdue
@@ -80,3 +85,14 @@ def test_results_go_to_the_shared_folder(spark, table, tmp_path):
     found = run_to_files(spark, st_latest_reading(stream), "place")
     shared = spark.conf.get("spark.checkpoint.dir")
     assert all(shared in f for f in found.inputFiles())
+
+
+def test_only_a_local_session_may_use_a_local_folder():
+    def session_on(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    assert "looptrace-" in scratch_dir(session_on("local[8]"), "x")
+    with pytest.raises(RuntimeError):
+        scratch_dir(session_on("yarn"), "x")
