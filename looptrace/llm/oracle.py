@@ -41,5 +41,53 @@ FROM rated
 """
 
 
+OP4 = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM rows
+), windows AS (
+  SELECT r, i, words[i : i + 7] AS eight
+  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM cut)
+), twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, eight) > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + j) AS n
+  FROM twice, (SELECT unnest(range(8)) AS j) GROUP BY r
+), measured AS (
+  SELECT doc_id, len(words) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words,
+         length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS n_letters,
+         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper,
+         length(regexp_replace(text, '[^!]+', '', 'g')) AS n_exclaim,
+         len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered,
+         len(list_filter(range(2, len(words) + 1), lambda x: words[x] = words[x - 1])) AS n_same
+  FROM cut LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
+         + 4 * (100 * n_symbols > 30 * n_words)::BIGINT
+         + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
+         + 16 * (100 * n_upper > 60 * n_letters)::BIGINT
+         + 32 * (100 * n_exclaim > 50 * n_words)::BIGINT
+         + 64 * (100 * n_lettered < 50 * n_words)::BIGINT
+         + 128 * (100 * n_same > 30 * n_words)::BIGINT
+         + 256 * (word_chars > 20 * n_words)::BIGINT
+         + 512 * (2 * word_chars < 4 * n_words)::BIGINT AS failed
+  FROM measured
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+       n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed,
+       failed = 0 AS kept, failed::BIGINT AS failed
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6}
+    return {"op4_quality_rules": OP4, "op6_mixing": OP6}
