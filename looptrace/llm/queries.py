@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from looptrace.llm import mixing, packing, pii, quality, token_counts
+from looptrace.llm import langid, mixing, packing, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "text", "lang", F.coalesce(part == 2, F.lit(True)).alias("held_out")
+    )
+    model = langid.train(docs.where("NOT held_out").select("text", "lang"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(documents(spark, sf_dir).select("doc_id", "text"))
     return quality.verdicts(rows).select(
@@ -44,4 +54,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op4_quality_rules, op6_mixing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op6_mixing, op9_token_counts)}
