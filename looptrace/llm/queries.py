@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looptrace.llm import langid, mixing, packing, pii, quality, token_counts
+from looptrace.llm import langid, minhash, mixing, packing, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_minhash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_tokens", "over_limit"
@@ -54,4 +60,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op6_mixing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op6_mixing, op7_minhash_dups, op9_token_counts)}
