@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looptrace.llm import langid, minhash, mixing, packing, pii, quality, token_counts
+from looptrace.llm import embed_dups, langid, minhash, mixing, packing, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dups.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_counts(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -60,4 +64,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op6_mixing, op7_minhash_dups, op9_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op5_embedding_dups, op6_mixing, op7_minhash_dups, op9_token_counts)}
