@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looptrace.llm import embed_dups, langid, minhash, mixing, packing, pii, quality, suffixes, token_counts
+from looptrace.llm import embed_dups, langid, licences, minhash, mixing, packing, pii, quality, suffixes, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +67,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op5_embedding_dups, op6_mixing, op7_minhash_dups, op8_suffix_dedup, op9_token_counts)}
+    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op5_embedding_dups, op6_mixing, op7_minhash_dups, op8_suffix_dedup, op9_token_counts, op10_license_scan)}
