@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from looptrace.llm import mixing, packing
+from looptrace.llm import langid, minhash, mixing, packing, pii
 from looptrace.session import scratch_dir
 
 
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the labelled languages; those that the models reject go. A missing label
+    becomes the predicted one."""
+    model = langid.train(docs.select("text", "lang"))
+    judged = langid.predict(docs, model).where("NOT rejected")
+    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, at a similarity of 0.8 or more."""
+    return minhash.keep_one(docs, link=80)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the name of its kind in place of each find."""
+    found = pii.find(docs).withColumn("text", F.col("redacted"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks."""
     return mixing.mix(docs)
@@ -18,7 +38,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("mixing", mixed), ("packing", packed)]
+STAGES = [
+    ("language", in_known_language),
+    ("near_copies", without_near_copies),
+    ("personal_data", without_personal_data),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 ORACLE_SQL = None  # SQL has neither the language models nor the tokenizer
 
