@@ -155,9 +155,9 @@ def meets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
 
 
-def bucket_links(part: dict, dtype, link: float) -> list[tuple[bytes, bytes, int]]:
+def bucket_links(part: dict, dtype, link: float, across: bool) -> list[tuple[bytes, bytes, int]]:
     """(class, smallest class it is joined to here, members of the classes it is linked with) for
-    one bucket or two blocks of one; only pairs that first meet here count."""
+    one bucket, or across two blocks of one; only pairs that first meet here count."""
     label = np.array(part["label_key"])
     side = np.array(part["side"])
     found = []
@@ -166,11 +166,11 @@ def bucket_links(part: dict, dtype, link: float) -> list[tuple[bytes, bytes, int
             own = [i for i in np.flatnonzero(label == one) if len(part["raw"][i]) == length]
             if len(own) > 1:
                 found += _links({k: [v[i] for i in own] for k, v in part.items()},
-                                side[own], dtype, link)
+                                side[own], dtype, link, across)
     return found
 
 
-def _links(part: dict, side: np.ndarray, dtype, link: float) -> list[tuple[bytes, bytes, int]]:
+def _links(part: dict, side: np.ndarray, dtype, link: float, across: bool) -> list[tuple[bytes, bytes, int]]:
     n = len(side)
     vectors = unit_rows(np.frombuffer(b"".join(part["raw"]), dtype).reshape(n, -1))
     coded = np.frombuffer(b"".join(part["codes"]), np.int64).reshape(n, TABLES, PROBES)
@@ -178,7 +178,7 @@ def _links(part: dict, side: np.ndarray, dtype, link: float) -> list[tuple[bytes
     table = part["table"][0]
     near = vectors @ vectors.T >= link
     near &= own[:, None] | own
-    if len(np.unique(side)) > 1:
+    if across:
         near &= side[:, None] != side
     a, b = np.nonzero(np.triu(near, 1))
     keep = np.zeros(len(a), bool)
@@ -233,9 +233,10 @@ def class_links(classes: DataFrame, dtype: str, link: float = LINK, block: int =
         columns = {c: group[c].take(pa.array(order)).to_pylist()
                    for c in ("table", "own", "key", "raw", "codes", "label_key", "m", "side")}
         cuts = np.flatnonzero(np.diff(buckets[order])) + 1
+        across = group["lo"][0].as_py() < group["hi"][0].as_py()
         found = []
         for s, e in zip([0, *cuts], [*cuts, len(order)]):
-            found += bucket_links({c: v[s:e] for c, v in columns.items()}, dtype, link)
+            found += bucket_links({c: v[s:e] for c, v in columns.items()}, dtype, link, across)
         return pa.table({
             "key": pa.array([f[0] for f in found], pa.binary()),
             "other": pa.array([f[1] for f in found], pa.binary()),

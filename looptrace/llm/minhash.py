@@ -149,13 +149,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return (out + out.T).astype(np.int64)
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, link: int) -> list[tuple[int, int]]:
-    """Edges that join the sets linked among each other; with two sides, links across only."""
+def linked(sets: list[np.ndarray], sides: np.ndarray, across: bool, link: int) -> list[tuple[int, int]]:
+    """Edges that join the sets linked among each other, or only those linked across two sides."""
     sizes = np.array([len(s) for s in sets], np.int64)
     common = overlaps(sets)
     joined = 100 * common >= link * (sizes[:, None] + sizes - common)
     np.fill_diagonal(joined, False)
-    if len(np.unique(sides)) > 1:
+    if across:
         joined &= sides[:, None] != sides
     lowest = np.arange(len(sets))
     while True:
@@ -169,6 +169,7 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, link: int) -> list[tuple[i
 def verify(table: pa.Table, link: int = LINK) -> pa.Table:
     """Edges between the keys of the classes that a task holds, group by group."""
     rows: dict[int, dict[bytes, tuple[int, bytes]]] = {}
+    across = table["lo"][0].as_py() < table["hi"][0].as_py()
     for group, side, key, text in zip(
         table["grp"].to_pylist(), table["side"].to_pylist(), table["key"].to_pylist(),
         table["text"].cast(pa.binary()).to_pylist(),
@@ -180,7 +181,7 @@ def verify(table: pa.Table, link: int = LINK) -> pa.Table:
             keys = list(members)
             sets = [shingles(members[k][1].lower().split()) for k in keys]
             sides = np.array([members[k][0] for k in keys])
-            for i, j in linked(sets, sides, link):
+            for i, j in linked(sets, sides, across, link):
                 a.append(keys[i])
                 b.append(keys[j])
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
