@@ -96,17 +96,30 @@ def dq_check(tables: Tables) -> DataFrame:
 
 def dq_foreign_key(tables: Tables) -> DataFrame:
     """Rows that point to a parent which does not exist."""
-    parts = []
+    links, parents = [], {}
     for t, df in _given(tables):
-        for ref in t.refs:
-            if ref.parent not in tables:
-                continue
-            parent = tables[ref.parent].selectExpr(f"{TABLES[ref.parent].key} AS _value")
-            child = df.selectExpr(f"{t.key} AS _key", f"{ref.column} AS _value")
-            orphans = child.filter("_value IS NOT NULL").join(parent, "_value", "left_anti")
-            detail = f"concat('{ref.column} -> {ref.parent}: ', _value)"
-            parts.append(_report(orphans, "'foreign_key'", t.name, "_key", detail))
-    return _all(parts)
+        refs = [ref for ref in t.refs if ref.parent in tables]
+        if refs:
+            each = ", ".join(
+                f"named_struct('column', '{r.column}', 'parent', '{r.parent}',"
+                f" 'value', CAST({r.column} AS BIGINT))"
+                for r in refs
+            )
+            found = df.selectExpr(f"CAST({t.key} AS STRING) AS key", f"inline(array({each}))")
+            links.append(found.withColumn("table", F.lit(t.name)).filter("value IS NOT NULL"))
+        for ref in refs:
+            parents[ref.parent] = tables[ref.parent].selectExpr(
+                f"'{ref.parent}' AS parent", f"CAST({TABLES[ref.parent].key} AS BIGINT) AS value"
+            )
+    # the values that no parent has are few; only they meet the rows again
+    named = reduce(DataFrame.unionByName, links)
+    known = reduce(DataFrame.unionByName, parents.values())
+    values = named.select("parent", "value").distinct()
+    orphans = values.join(known, ["parent", "value"], "left_anti")
+    detail = F.concat("column", F.lit(" -> "), "parent", F.lit(": "), F.col("value").cast("string"))
+    return named.join(orphans, ["parent", "value"]).select(
+        F.lit("foreign_key").alias("rule"), "table", "key", detail.alias("detail")
+    )
 
 
 # Kinds of place each role may use.

@@ -95,18 +95,25 @@ def ref_delete(tables: Tables, root: str, keys: DataFrame) -> DataFrame:
 def apply_delete(tables: Tables, root: str, keys: DataFrame) -> Tables:
     """The tables after the delete; raises ``DeleteBlocked`` and changes nothing if forbidden."""
     doomed, nulled, blocked = _walk(tables, root, keys)
-    for child, ref, rows in blocked:
-        if not rows.isEmpty():
-            raise DeleteBlocked(f"{child.name}.{ref.column} still refers to {ref.parent}")
+    if blocked:
+        named = [
+            rows.select(F.lit(f"{c.name}.{r.column} still refers to {r.parent}").alias("why"))
+            for c, r, rows in blocked
+        ]
+        found = reduce(DataFrame.union, named).first()
+        if found:
+            raise DeleteBlocked(found.why)
     after = ChainMap({}, tables)
     for child, ref, _ in nulled:
         parents = doomed[ref.parent].select(F.col("key").alias("_parent"), F.lit(True).alias("_gone"))
         df = after[child.name]
-        after[child.name] = (
-            df.join(parents, F.col(ref.column) == F.col("_parent"), "left")
+        pointing = (
+            df.filter(F.col(ref.column).isNotNull())
+            .join(parents, F.col(ref.column) == F.col("_parent"), "left")
             .withColumn(ref.column, F.when(F.col("_gone").isNull(), F.col(ref.column)))
             .select(df.columns)
         )
+        after[child.name] = pointing.union(df.filter(F.col(ref.column).isNull()))
     for name, rows in doomed.items():
         key = TABLES[name].key
         gone = rows.withColumnRenamed("key", "_key")

@@ -1,125 +1,73 @@
 """Ordered computations inside groups, safe for groups of any size.
 
-A window over a key sorts the whole group in one task.  So groups above ``HOT_ROWS`` rows
-are looked for first.  Where there is none, the plain window runs.  Otherwise the large
-groups are cut into time slices: the window runs inside (key, slice), and what crosses a
-slice border, a running total or the previous row, comes from one aggregated row per slice.
-
-The cuts of a large group are approximate quantiles of its times, so slices hold about as
-many rows each however unevenly the rows lie; results depend neither on which groups are
-cut nor on where.  The cuts are fetched once and put into the plan as constants: the same
-rows then fall into the same slices wherever and however often a task runs.  Their size is
-bounded: a group needs ``HOT_ROWS`` rows to be listed and the ``HOT_KEYS`` largest are listed
-at most, with ``GRID`` squared cuts each, 8 MB in all.  A group beyond the list holds less
-than 1/HOT_KEYS of all rows and stays whole.
+A window over a key sorts the whole group in one task.  So rows are dealt out by ranges of
+(key, order) first, in which any group, and any single instant of one, may be cut; the
+range a row falls into is its slice.  The window runs inside (key, slice), and what crosses
+a slice border, a running total or the previous row, comes from one aggregated row per key
+and slice.
+
+The dealt rows are written to the shared folder before they are used, so every later step and
+every repeated task sees the same slices.  A border lies inside one key at most, so there
+are fewer rows to carry than slices; that is the proven bound of the only broadcast here.
+The plan is the same for any data; a NULL key is a group like others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from looptrace.functions.timefn import micros
-
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-GRID = 32
-
-
-def hot_groups(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
-    """The keys of oversized groups, largest first."""
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= rows)
-    return sizes.orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key)
+from looptrace.session import stored
 
 
-def _constant(df: DataFrame) -> DataFrame | None:
-    """A bounded result fetched now; None when it has no rows."""
-    rows = df.collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if rows else None
-
-
-def cuts(df: DataFrame, key: str, at: str, rows: int = HOT_ROWS) -> DataFrame | None:
-    """(key, _coarse, _fine): every GRID-th cut of a large group, and the cuts between those."""
-    hot = _constant(hot_groups(df, key, rows))
-    if hot is None:
-        return None
-    shares = [i / GRID**2 for i in range(1, GRID**2)]
-    times = F.percentile_approx(micros(F.col(at)), shares, 4 * GRID**2).alias("_cut")
-    found = df.join(F.broadcast(hot), key).groupBy(key).agg(times)
-    coarse = [F.col("_cut")[GRID * i - 1] for i in range(1, GRID)]
-    fine = [F.slice("_cut", GRID * i + 1, GRID - 1) for i in range(GRID)]
-    return _constant(
-        found.select(key, F.array(*coarse).alias("_coarse"), F.array(*fine).alias("_fine"))
-    )
-
-
-def _below(cuts: Column, at: Column) -> Column:
-    return F.size(F.filter(cuts, lambda cut: cut < at))
-
-
-def sliced(df: DataFrame, key: str, at: str, cuts: DataFrame) -> DataFrame:
-    """``df`` + ``_slice``: NULL for an ordinary group, else the number of cuts below the row."""
-    time = micros(F.col(at))
-    first = _below(F.col("_coarse"), time)
-    number = first * GRID + _below(F.col("_fine")[first], time)
-    return (
-        df.join(F.broadcast(cuts), key, "left")
-        .withColumn("_slice", F.when(F.col("_coarse").isNotNull(), number))
-        .drop("_coarse", "_fine")
-    )
+def sliced(df: DataFrame, key: str, order: list[str], slices: int | None = None) -> DataFrame:
+    """``df`` + ``_slice``: ranges of (key, order), ascending, as many as shuffles have by default."""
+    by = [key, *order]
+    dealt = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    return stored(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def _with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices) -> DataFrame:
     """``out`` + ``_carry``, what the slices of ``cut`` before the row's slice hand on."""
-    slices = cut.filter("_slice IS NOT NULL").groupBy(key, "_slice").agg(per_slice)
-    carry = slices.select(
-        F.col(key).alias("_key"),
-        F.col("_slice").alias("_to"),
-        over_slices(Window.partitionBy(key).orderBy("_slice")).alias("_carry"),
+    carry = (
+        cut.groupBy(key, "_slice")
+        .agg(per_slice)
+        .select(
+            F.col(key).alias("_key"),
+            F.col("_slice").alias("_to"),
+            over_slices(Window.partitionBy(key).orderBy("_slice")).alias("_carry"),
+        )
+        .filter("_carry IS NOT NULL")
     )
-    same = (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_to"))
-    return out.join(carry, same, "left").drop("_key", "_to", "_slice")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_to"))
+    return out.join(F.broadcast(carry), same, "left").drop("_key", "_to", "_slice")
 
 
 def running_sum(
-    df: DataFrame, key: str, order: list[str], value: str, out: str, rows: int = HOT_ROWS
+    df: DataFrame, key: str, order: list[str], value: str, out: str, slices: int | None = None
 ) -> DataFrame:
     """``df`` + ``out``: sum of ``value`` up to and with the row, in ``order`` within ``key``."""
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    at = cuts(df, key, order[0], rows)
-    if at is None:
-        whole = Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)
-        return df.withColumn(out, F.sum(value).over(whole))
-    cut = sliced(df, key, order[0], at)
-    within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*upto)
+    cut = sliced(df, key, order, slices)
+    within = Window.partitionBy(key, "_slice").orderBy(*order)
     summed = _with_carry(
         cut,
-        cut.withColumn(out, F.sum(value).over(within)),
+        cut.withColumn(out, F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))),
         key,
         F.sum(value).alias("_sum"),
         lambda w: F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)),
     )
-    return summed.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_carry")
+    total = F.when(F.col("_carry").isNull(), F.col(out)).otherwise(
+        F.coalesce(F.col(out), F.lit(0)) + F.col("_carry")
+    )
+    return summed.withColumn(out, total).drop("_carry")
 
 
 def previous(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    keep: list[str],
-    rows: int = HOT_ROWS,
-    sizes: DataFrame | None = None,
+    df: DataFrame, key: str, order: list[str], keep: list[str], slices: int | None = None
 ) -> DataFrame:
-    """``df`` + struct ``prev``: the ``keep`` columns of the row before, NULL for the first.
-
-    ``sizes`` may name a cheaper source of (key, time) to find large groups and cuts in.
-    """
+    """``df`` + struct ``prev``: the ``keep`` columns of the row before, NULL for the first."""
     row = F.struct(*keep)
-    known = df if sizes is None else sizes
-    at = cuts(known.select(key, order[0]), key, order[0], rows)
-    if at is None:
-        return df.withColumn("prev", F.lag(row).over(Window.partitionBy(key).orderBy(*order)))
-    cut = sliced(df, key, order[0], at)
+    cut = sliced(df, key, order, slices)
     within = Window.partitionBy(key, "_slice").orderBy(*order)
     found = _with_carry(
         cut,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from looptrace.functions.timefn import AsOf, since
-from looptrace.operators.slices import HOT_ROWS, running_sum
+from looptrace.operators.slices import running_sum
 
 
 def cus_recent(
@@ -38,13 +38,13 @@ def cus_running_balance(
     customers: DataFrame,
     deposit_transactions: DataFrame,
     ordered: bool = True,
-    hot_rows: int = HOT_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """Balance after every ledger row; rows of one account at one time go by ``tx_id``."""
     ledger = deposit_transactions.select("account_id", "created_at", "tx_id", "delta_cents")
     ledger = running_sum(
         ledger, "account_id", ["created_at", "tx_id"], "delta_cents", "running_balance_cents",
-        hot_rows,
+        slices,
     )
     owners = deposit_accounts.join(customers.select("customer_id", "name"), "customer_id")
     out = ledger.join(owners, "account_id").select(

@@ -47,18 +47,34 @@ def return_counts(checkouts: DataFrame, returns: DataFrame) -> DataFrame:
     return checkouts.join(per_checkout, "checkout_id", "left")
 
 
-def return_labels(checkouts: DataFrame, returns: DataFrame) -> DataFrame:
-    """(retailer_id, return_status): a row per linked return, and one per open checkout."""
-    back = linked(returns).select("checkout_id", "return_time")
+def status_counts(checkouts: DataFrame, returns: DataFrame) -> DataFrame:
+    """(retailer_id, on_time, late, open): linked returns by their due date, and loans without any.
+
+    One join labels the returns and shows which loans have one; open loans are the others, by
+    count.
+    """
+    loans = checkouts.select("checkout_id", "retailer_id", "checkout_time", "due_back_days")
     timely = F.col("return_time") <= due_date()
-    closed = (
-        back.join(checkouts.drop("return_time"), "checkout_id")
-        .select("retailer_id", F.when(timely, "on_time").otherwise("late").alias("return_status"))
+    per_loan = (
+        linked(returns)
+        .select("checkout_id", "return_time")
+        .join(loans, "checkout_id")
+        .groupBy("retailer_id", "checkout_id")
+        .agg(F.count_if(timely).alias("on_time"), F.count("*").alias("n"))
+    )
+    closed = per_loan.groupBy("retailer_id").agg(
+        F.sum("on_time").alias("on_time"),
+        F.sum(F.col("n") - F.col("on_time")).alias("late"),
+        F.count("*").alias("closed"),
+    )
+    known = checkouts.groupBy("retailer_id").agg(F.count("*").alias("loans"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return known.join(closed, "retailer_id", "left").select(
+        "retailer_id",
+        zero("on_time").alias("on_time"),
+        zero("late").alias("late"),
+        (F.col("loans") - zero("closed")).alias("open"),
     )
-    still_out = checkouts.join(
-        back.select("checkout_id").distinct(), "checkout_id", "left_anti"
-    ).select("retailer_id", F.lit("open").alias("return_status"))
-    return closed.unionByName(still_out)
 
 
 def cyc_duration_stats(checkouts: DataFrame, returns: DataFrame) -> DataFrame:
@@ -74,9 +90,14 @@ def _item_kinds(packaging_instances: DataFrame, packaging_catalog: DataFrame) ->
     return packaging_instances.join(packaging_catalog, "catalog_id").select("instance_id", "kind")
 
 
-def _percentiles(ps: tuple[float, ...]):
-    """Exact, interpolated; whole hours keep the per-group table of values small."""
-    return [F.round(F.percentile("hours", p), 6).alias(f"p{round(p * 100)}_h") for p in ps]
+def _percentiles(counted: DataFrame, groups: list[str], ps: tuple[float, ...]) -> DataFrame:
+    """Exact, interpolated, from rows (groups, hours, n) that count each whole hour once; with n."""
+    found = counted.groupBy(*groups).agg(
+        F.percentile("hours", F.array(*map(F.lit, ps)), F.col("n")).alias("p"),
+        F.sum("n").alias("n"),
+    )
+    named = (F.round(F.col("p")[i], 6).alias(f"p{round(p * 100)}_h") for i, p in enumerate(ps))
+    return found.select(*groups, *named, "n")
 
 
 def cyc_duration_percentiles(
@@ -87,12 +108,13 @@ def cyc_duration_percentiles(
     ps: tuple[float, ...] = (0.5, 0.9),
     ordered: bool = True,
 ) -> DataFrame:
-    out = (
+    counted = (
         loan_hours(checkouts, returns)
         .join(_item_kinds(packaging_instances, packaging_catalog), "instance_id")
-        .groupBy("kind")
-        .agg(*_percentiles(ps))
+        .groupBy("kind", "hours")
+        .agg(F.count("*").alias("n"))
     )
+    out = _percentiles(counted, ["kind"], ps).drop("n")
     return out.orderBy("kind") if ordered else out
 
 
@@ -107,13 +129,14 @@ def turnaround_by_retailer(
     ordered: bool = True,
 ) -> DataFrame:
     """Hours from checkout to return by retailer and kind of item."""
-    out = (
+    counted = (
         loan_hours(checkouts, returns)
         .join(_item_kinds(packaging_instances, packaging_catalog), "instance_id")
+        .groupBy("retailer_id", "kind", "hours")
+        .agg(F.count("*").alias("n"))
         .join(retailer_names(retailers, locations), "retailer_id")
-        .groupBy("retailer", "kind")
-        .agg(*_percentiles(ps), F.count("*").alias("n"))
     )
+    out = _percentiles(counted, ["retailer", "kind"], ps)
     return out.orderBy("retailer", "kind") if ordered else out
 
 
@@ -142,8 +165,14 @@ def cyc_return_rate(
 def cyc_return_status(
     checkouts: DataFrame, returns: DataFrame, ordered: bool = True
 ) -> DataFrame:
-    out = return_labels(checkouts, returns).groupBy("return_status")
-    out = out.agg(F.count("*").alias("totals"))
+    labels = ["on_time", "late", "open"]
+    out = (
+        status_counts(checkouts, returns)
+        .unpivot("retailer_id", labels, "return_status", "n")
+        .groupBy("return_status")
+        .agg(F.sum("n").alias("totals"))
+        .filter("totals > 0")
+    )
     return out.orderBy(F.desc("totals"), "return_status") if ordered else out
 
 
@@ -157,9 +186,7 @@ def ontime_by_retailer(
     """On-time, late and open loans per retailer; the rate is on-time by returned."""
     labels = ["on_time", "late", "open"]
     out = (
-        return_labels(checkouts, returns)
-        .groupBy("retailer_id")
-        .agg(*(F.count_if(F.col("return_status") == s).alias(s) for s in labels))
+        status_counts(checkouts, returns)
         .join(retailer_names(retailers, locations), "retailer_id")
         .groupBy("retailer")
         .agg(*(F.sum(s).alias(s) for s in labels))

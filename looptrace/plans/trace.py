@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from looptrace.functions.numfn import ratio
 from looptrace.functions.timefn import AsOf, hours_between
-from looptrace.operators.slices import HOT_ROWS, previous
+from looptrace.operators.slices import previous
 from looptrace.plans.cycles import linked
 from looptrace.plans.packaging import open_overdue, pkg_last_location
 from looptrace.plans.sensors import hot_readings
 from looptrace.plans.washing import latest_inspections
+from looptrace.session import stored
 
 
 def _event(df: DataFrame, step: int, event: str, ref: str, at: str, place=None) -> DataFrame:
@@ -48,7 +49,7 @@ def instance_timeline(
     hubs: DataFrame,
     contamination_incidents: DataFrame,
     movements: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    slices: int | None = None,
 ) -> DataFrame:
     """All that happened to each item in one shape, with the hours since its event before."""
     loans = checkouts.join(retailers.select("retailer_id", "location_id"), "retailer_id", "left")
@@ -62,12 +63,8 @@ def instance_timeline(
         _event(movements, 6, "movement", "mv_id", "moved_at", "to_loc_id"),
     ]
     washed = _event(washes, 3, "wash", "wash_id", "start_time", "location_id")
-    logs = reduce(DataFrame.unionByName, logged)
-    # an item has no more washes than inspections, so the logs alone show which items are large
-    events = previous(
-        logs.unionByName(washed), "instance_id", ["ts", "step", "ref_id"], ["ts"], hot_rows,
-        sizes=logs,
-    )
+    logs = reduce(DataFrame.unionByName, [*logged, washed])
+    events = previous(logs, "instance_id", ["ts", "step", "ref_id"], ["ts"], slices)
     return events.select(
         "instance_id", "ts", "event", "ref_id", "location_id",
         hours_between(F.col("prev.ts"), F.col("ts")).alias("hours_since_prev"),
@@ -75,7 +72,7 @@ def instance_timeline(
 
 
 def match_returns(
-    checkouts: DataFrame, returns: DataFrame, hot_rows: int = HOT_ROWS
+    checkouts: DataFrame, returns: DataFrame, slices: int | None = None
 ) -> DataFrame:
     """Every return with its checkout: the stored link, else the one found here.
 
@@ -101,7 +98,7 @@ def match_returns(
         F.col("checkout_id").alias("link"),
     )
     events = previous(
-        loans.unionByName(backs), "instance_id", ["ts", "step", "id"], ["free"], hot_rows
+        loans.unionByName(backs), "instance_id", ["ts", "step", "id"], ["free"], slices
     )
     return events.filter("step = 1").select(
         F.col("id").alias("return_id"),
@@ -222,24 +219,41 @@ def loss_hotspots(
         .agg(*(F.sum(c).alias(c) for c in counts))
         .withColumn("missing", F.col("lost") + F.col("overdue"))
     )
-    return (
-        places.join(_ranks(places), "missing")
-        .select("location", *counts, "share", "rank")
-    )
+    places = stored(places, "places")  # used twice: for the ranks and for the rows
+    return places.join(_ranks(places), "missing").select("location", *counts, "share", "rank")
+
+
+SIZES = 64  # binary lengths a count may have
 
 
 def _ranks(places: DataFrame) -> DataFrame:
     """(missing, rank, share) per distinct count, so that no window sees the places themselves.
 
-    Distinct whole counts that add up to N items are fewer than the square root of 2 N.
+    Counts are ranked among those of their binary length; each length hands its number of
+    places to all shorter ones, and its sum to all.
     """
-    per_count = places.groupBy("missing").agg(F.count("*").alias("n"))
-    one = per_count.withColumn("all", F.lit(1))
-    above = Window.partitionBy("all").orderBy(F.desc("missing"))
-    above = above.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum(F.col("missing") * F.col("n")).over(Window.partitionBy("all"))
-    return one.select(
-        "missing",
-        (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).alias("rank"),
-        ratio(F.col("missing"), F.nullif(total, F.lit(0))).alias("share"),
+    per_count = (
+        places.groupBy("missing")
+        .agg(F.count("*").alias("n"))
+        .withColumn("size", F.length(F.bin("missing")))
+    )
+    per_size = per_count.groupBy("size").agg(
+        F.sum("n").alias("places"), F.sum(F.col("missing") * F.col("n")).alias("items")
+    )
+    longer = F.when(F.col("size") > F.col("to"), F.col("places")).otherwise(0)
+    handed = (
+        per_size.withColumn("to", F.explode(F.sequence(F.lit(1), F.lit(SIZES))))
+        .groupBy("to")
+        .agg(F.sum(longer).alias("above"), F.sum("items").alias("total"))
+    )
+    greater = Window.partitionBy("size").orderBy(F.desc("missing"))
+    greater = greater.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        per_count.withColumn("among", F.coalesce(F.sum("n").over(greater), F.lit(0)))
+        .join(handed, F.col("size") == F.col("to"))
+        .select(
+            "missing",
+            (F.col("above") + F.col("among") + 1).alias("rank"),
+            ratio(F.col("missing"), F.nullif(F.col("total"), F.lit(0))).alias("share"),
+        )
     )

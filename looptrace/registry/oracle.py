@@ -548,18 +548,14 @@ REPORTS: dict[str, tuple[str, str]] = {
         "checkouts returns",
         f"""
         , mark AS (
-          SELECT least((SELECT max(checkout_time) FROM checkouts),
+          SELECT least((SELECT max({DUE}) FROM checkouts),
                        (SELECT max(return_time) FROM returns WHERE checkout_id IS NOT NULL))
                  - to_minutes(90) AS closed_at)
-        SELECT checkout_id, c.instance_id, {DUE} AS due_date, return_time
-        FROM checkouts c LEFT JOIN returns r USING (checkout_id), mark
-        WHERE return_time > {DUE} AND return_time <= checkout_time + to_days(14)
-        UNION ALL
-        SELECT checkout_id, instance_id, {DUE}, NULL
+        SELECT checkout_id, instance_id, {DUE} AS due_date
         FROM checkouts c, mark
-        WHERE checkout_time + to_days(14) < closed_at
-          AND NOT EXISTS (FROM returns r WHERE r.checkout_id = c.checkout_id
-                          AND return_time BETWEEN checkout_time AND checkout_time + to_days(14))""",
+        WHERE {DUE} < closed_at
+          AND NOT EXISTS (FROM returns r
+                          WHERE r.checkout_id = c.checkout_id AND return_time <= {DUE})""",
     ),
 }
 

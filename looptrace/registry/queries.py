@@ -23,34 +23,30 @@ from looptrace.streaming.telemetry import latest_of_feed, st_latest_reading, st_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Reports with a row per item, customer, place or log entry are registered unordered: their order
-# is presentation, and a global sort of a large result would run its input twice.
-BULK = {"ordered": False}
-
 SALT = "pepper"  # fixed value: the checks hash with the same one
 KNN_K, KNN_KM = 3, 2.0
 
 
 def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
-    now, then, bulk = TELEMETRY_AS_OF, LOANS_AS_OF, BULK
+    now, then = TELEMETRY_AS_OF, LOANS_AS_OF
     lat, lng = POINT
     return {
         # places
         "loc_counts_by_kind": lambda t: places.loc_counts_by_kind(t.locations),
         "loc_retailer_directory": lambda t: places.loc_retailer_directory(
-            t.retailers, t.locations, **bulk),
-        "loc_hub_directory": lambda t: places.loc_hub_directory(t.hubs, t.locations, **bulk),
-        "loc_nearby_bbox": lambda t: places.loc_nearby_bbox(t.locations, lat, lng, **bulk),
+            t.retailers, t.locations),
+        "loc_hub_directory": lambda t: places.loc_hub_directory(t.hubs, t.locations),
+        "loc_nearby_bbox": lambda t: places.loc_nearby_bbox(t.locations, lat, lng),
         "loc_nearest_places": lambda t: places.loc_nearest_places(
             t.locations, t.retailers, lat, lng),
         # customers
-        "cus_recent": lambda t: customers.cus_recent(t.customers, now, **bulk),
+        "cus_recent": lambda t: customers.cus_recent(t.customers, now),
         "cus_without_checkouts": lambda t: customers.cus_without_checkouts(
             t.customers, t.checkouts),
         "cus_deposit_balances": lambda t: customers.cus_deposit_balances(
-            t.customers, t.deposit_accounts, **bulk),
+            t.customers, t.deposit_accounts),
         "cus_running_balance": lambda t: customers.cus_running_balance(
-            t.deposit_accounts, t.customers, t.deposit_transactions, **bulk),
+            t.deposit_accounts, t.customers, t.deposit_transactions),
         "cus_top_debits": lambda t: customers.cus_top_debits(
             t.customers, t.deposit_accounts, t.deposit_transactions),
         # packaging
@@ -58,37 +54,37 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
         "pkg_instances_by_state": lambda t: packaging.pkg_instances_by_state(
             t.packaging_instances),
         "pkg_instances_per_catalog": lambda t: packaging.pkg_instances_per_catalog(
-            t.packaging_catalog, t.packaging_instances, **bulk),
+            t.packaging_catalog, t.packaging_instances),
         "pkg_last_location": lambda t: packaging.pkg_last_location(t.movements),
         "pkg_last_location_names": lambda t: packaging.pkg_last_location_names(
-            t.packaging_instances, t.movements, t.locations, **bulk),
+            t.packaging_instances, t.movements, t.locations),
         "pkg_overdue": lambda t: packaging.pkg_overdue(
-            t.checkouts, t.packaging_instances, t.returns, then, **bulk),
+            t.checkouts, t.packaging_instances, t.returns, then),
         # cycles
         "cyc_duration_stats": lambda t: cycles.cyc_duration_stats(t.checkouts, t.returns),
         "cyc_duration_percentiles": lambda t: cycles.cyc_duration_percentiles(
             t.checkouts, t.returns, t.packaging_instances, t.packaging_catalog),
         "cyc_return_rate": lambda t: cycles.cyc_return_rate(
-            t.checkouts, t.retailers, t.locations, t.returns, **bulk),
+            t.checkouts, t.retailers, t.locations, t.returns),
         "cyc_return_status": lambda t: cycles.cyc_return_status(t.checkouts, t.returns),
         # washing
         "wsh_cycle_stats": lambda t: washing.wsh_cycle_stats(t.wash_cycles),
         "wsh_pass_rate_by_hub": lambda t: washing.wsh_pass_rate_by_hub(
-            t.inspections, t.wash_cycles, t.hubs, t.locations, **bulk),
-        "wsh_latest_failures": lambda t: washing.wsh_latest_failures(t.inspections, **bulk),
+            t.inspections, t.wash_cycles, t.hubs, t.locations),
+        "wsh_latest_failures": lambda t: washing.wsh_latest_failures(t.inspections),
         # incidents
         "inc_recent_by_kind_severity": lambda t: incidents.inc_recent_by_kind_severity(
             t.contamination_incidents, now),
         "inc_repeat_instances": lambda t: incidents.inc_repeat_instances(
-            t.contamination_incidents, **bulk),
+            t.contamination_incidents),
         # sensors
-        "sen_latest_reading": lambda t: sensors.sen_latest_reading(t.sensor_readings, **bulk),
-        "sen_temp_breaches": lambda t: sensors.sen_temp_breaches(t.sensor_readings, now, **bulk),
+        "sen_latest_reading": lambda t: sensors.sen_latest_reading(t.sensor_readings),
+        "sen_temp_breaches": lambda t: sensors.sen_temp_breaches(t.sensor_readings, now),
         "sen_daily_pivot": lambda t: sensors.sen_daily_pivot(t.sensor_readings, now),
         # movements
         "mov_scan": lambda t: movements.mov_scan(t.movements),
         "mov_flow_matrix": lambda t: movements.mov_flow_matrix(t.movements, t.locations),
-        "mov_dwell": lambda t: movements.mov_dwell(t.movements, t.locations, **bulk),
+        "mov_dwell": lambda t: movements.mov_dwell(t.movements, t.locations),
         # audit
         "aud_event_counts": lambda t: audit.aud_event_counts(t.audit_logs),
         "aud_latest": lambda t: audit.aud_latest(t.audit_logs, "instance"),
@@ -97,7 +93,7 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
         "kpi_daily": lambda t: cycles.kpi_daily(t.checkouts, t.returns),
         "kpi_state_rollup": lambda t: cycles.kpi_state_rollup(t.packaging_instances),
         "kpi_retailer_dashboard": lambda t: cycles.kpi_retailer_dashboard(
-            t.checkouts, t.retailers, t.locations, t.returns, **bulk),
+            t.checkouts, t.retailers, t.locations, t.returns),
         "vw_checkout_enriched": lambda t: packaging.vw_checkout_enriched(
             t.checkouts, t.customers, t.packaging_instances, t.packaging_catalog,
             t.retailers, t.locations),
@@ -109,10 +105,10 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
             t.wash_cycles, t.hubs, t.contamination_incidents, t.movements),
         "turnaround_by_retailer": lambda t: cycles.turnaround_by_retailer(
             t.checkouts, t.returns, t.packaging_instances, t.packaging_catalog,
-            t.retailers, t.locations, **bulk),
+            t.retailers, t.locations),
         "ontime_by_retailer": lambda t: cycles.ontime_by_retailer(
-            t.checkouts, t.returns, t.retailers, t.locations, **bulk),
-        "dwell_current": lambda t: movements.dwell_current(t.movements, t.locations, now, **bulk),
+            t.checkouts, t.returns, t.retailers, t.locations),
+        "dwell_current": lambda t: movements.dwell_current(t.movements, t.locations, now),
         "loss_hotspots": lambda t: trace.loss_hotspots(
             t.packaging_instances, t.movements, t.checkouts, t.returns,
             t.contamination_incidents, t.locations, then),

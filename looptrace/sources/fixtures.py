@@ -128,8 +128,9 @@ PROJECTIONS: dict[str, tuple[list[str], str]] = {
             "retailer_id",
             "o_custkey AS customer_id",
             "o_orderdate AS checkout_time",
-            "CASE o_orderpriority WHEN '1-URGENT' THEN 7 WHEN '2-HIGH' THEN 7"
-            " WHEN '3-MEDIUM' THEN 10 ELSE 14 END AS due_back_days",
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 7 WHEN '2-HIGH' THEN 10"
+            " WHEN '3-MEDIUM' THEN 14 WHEN '4-NOT SPECIFIED' THEN 21 ELSE 30 END"
+            " AS due_back_days",
         ],
         "orders JOIN (SELECT l_orderkey, min(l_partkey) AS instance_id,"
         " max(l_suppkey - l_suppkey % 3) AS retailer_id FROM lineitem GROUP BY l_orderkey) i"
@@ -147,7 +148,7 @@ PROJECTIONS: dict[str, tuple[list[str], str]] = {
         ],
         "(SELECT l_orderkey, l_linenumber, min(l_suppkey) AS location_id,"
         " CAST(min(l_quantity) AS INT) AS qty FROM lineitem"
-        " WHERE l_returnflag = 'R' AND l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber) x"
+        " WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_linenumber) x"
         " JOIN checkouts ON checkout_id = l_orderkey",
     ),
     "wash_cycles": (

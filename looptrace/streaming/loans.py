@@ -9,19 +9,22 @@ from looptrace.plans.packaging import due_date
 
 
 def st_overdue(
-    checkouts: DataFrame, returns: DataFrame, max_days: int = 14, delay: str = "90 minutes"
+    checkouts: DataFrame,
+    returns: DataFrame,
+    delay: str = "90 minutes",
+    longest_days: int | None = None,
 ) -> DataFrame:
-    """(checkout_id, instance_id, due_date, return_time): loans not back by their due date.
+    """(checkout_id, instance_id, due_date): loans with no return by their own due date.
 
-    A late return comes out when it arrives; a loan without a return within ``max_days``,
-    the longest loan there is, comes out with a NULL time once the watermark has passed.
+    A loan comes out once the watermark has passed its due date.  Loans wait until then;
+    returns, two numbers each, are kept for loans yet to come, for good unless
+    ``longest_days`` tells that no loan runs longer.
     """
-    loans = checkouts.select(
-        "checkout_id",
-        "instance_id",
-        "due_back_days",
-        F.col("checkout_time").cast("timestamp").alias("checkout_time"),
-    ).withWatermark("checkout_time", delay)
+    loans = (
+        checkouts.withColumn("checkout_time", F.col("checkout_time").cast("timestamp"))
+        .select("checkout_id", "instance_id", due_date().alias("due_date"))
+        .withWatermark("due_date", delay)
+    )
     backs = (
         returns.filter("checkout_id IS NOT NULL")
         .select(
@@ -30,13 +33,11 @@ def st_overdue(
         )
         .withWatermark("return_time", delay)
     )
-    in_reach = F.expr(
-        "checkout_id = _loan AND return_time >= checkout_time"
-        f" AND return_time <= checkout_time + INTERVAL {max_days} DAYS"
-    )
+    in_time = "checkout_id = _loan AND return_time <= due_date"
+    if longest_days is not None:
+        in_time += f" AND return_time >= due_date - INTERVAL {longest_days} DAYS"
     return (
-        loans.join(backs, in_reach, "left")
-        .withColumn("due_date", due_date())
-        .filter(F.col("return_time").isNull() | (F.col("return_time") > F.col("due_date")))
-        .select("checkout_id", "instance_id", "due_date", "return_time")
+        loans.join(backs, F.expr(in_time), "left")
+        .filter("return_time IS NULL")
+        .select("checkout_id", "instance_id", "due_date")
     )

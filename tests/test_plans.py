@@ -6,12 +6,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
-from looptrace.plans import customers, packaging, places, sensors, trace
+from looptrace.registry import queries as registered
+from looptrace.plans import customers, cycles, packaging, places, sensors, trace
 from looptrace.sources.files import read_table, write_table
 
 FOLDER = "/root/testdata/sf0.001"
-BATCH = [name for name in entry.queries() if not name.startswith("st_")]
+QUERIES = registered.queries()
+BATCH = [name for name in QUERIES if not name.startswith("st_")]
 
 
 @pytest.fixture
@@ -32,14 +33,15 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cross_join_and_no_window_over_everything(large, name):
-    text = plan(entry.queries()[name](large, FOLDER))
+    text = plan(QUERIES[name](large, FOLDER))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     for window in re.findall(r"Window \[.*", text):
         assert not window.rstrip().endswith("[]") and "specification(ORDER" not in window
-    # an exchange to one partition is a global aggregate, a top k or the bounded rank table
+        assert re.search(r"windowspecdefinition\(\w+#", window), window
+    # an exchange to one partition is a global aggregate or a top k
     for line in re.findall(r"Exchange SinglePartition.*", text):
-        assert name in {"cyc_duration_stats", "wsh_cycle_stats", "loss_hotspots"}, line
+        assert name in {"cyc_duration_stats", "wsh_cycle_stats"}, line
 
 
 def stored(spark, table, tmp_path, name, *rows):
@@ -61,9 +63,28 @@ def test_best_rows_are_kept_before_the_shuffle(large, table):
                      text, re.S)
 
 
-def test_plain_window_shuffles_a_timeline_once(large, table):
-    df = trace.match_returns(table("checkouts"), table("returns"))
-    assert plan(df).count("Exchange hashpartitioning(instance_id") == 1
+def test_slices_are_read_from_the_shared_folder(large, table):
+    text = plan(trace.match_returns(table("checkouts"), table("returns")))
+    assert text.count("Exchange hashpartitioning(instance_id") <= 3
+    assert set(re.findall(r"Scan (\w+)", text)) == {"parquet"}
+    assert text.count("BroadcastExchange") == 1  # the rows carried over slice borders
+
+
+def test_each_log_is_read_once_for_loans(large, table):
+    text = plan(cycles.cyc_return_status(table("checkouts"), table("returns"), ordered=False))
+    assert text.count("LeftAnti") == 0 and text.count("SortMergeJoin") == 2
+
+
+def test_percentiles_aggregate_counts(large, table):
+    text = plan(cycles.cyc_duration_percentiles(
+        table("checkouts"), table("returns"), table("packaging_instances"),
+        table("packaging_catalog"), ordered=False))
+    assert re.search(r"percentile\(hours#\d+L?, \[0.5,0.9\], n#", text)
+
+
+def test_foreign_keys_meet_the_rows_by_orphan_value(large):
+    text = plan(QUERIES["dq_foreign_key"](large, FOLDER))
+    assert text.count("LeftAnti") == 1
 
 
 def test_top_k(large, table):

@@ -52,23 +52,26 @@ def test_latest_reading_equals_batch(spark, table, tmp_path):
     assert sorted(map(str, tuples(got))) == sorted(map(str, tuples(want)))
 
 
-def test_overdue(spark, table, tmp_path):
+@pytest.mark.parametrize("longest", [None, 90])
+def test_overdue(spark, table, tmp_path, longest):
     out = feed(
         spark, table, tmp_path, "checkouts",
         [(1, 100, 10, 1, "2025-01-01", 7), (2, 101, 10, 1, "2025-01-01", 7),
-         (3, 102, 10, 1, "2025-01-01", 7)],
-        [(4, 103, 10, 1, "2025-02-01", 7)],
+         (3, 102, 10, 1, "2025-01-01", 7), (5, 104, 10, 1, "2025-01-01", 21),
+         (6, 105, 10, 1, "2025-01-01", 21), (7, 106, 10, 1, "2025-01-01", 90)],
+        [(4, 103, 10, 1, "2025-02-01", 70)],
     )
     back = feed(
         spark, table, tmp_path, "returns",
         [(1, 100, 1, 1, "2025-01-03", 1), (2, 101, 1, 1, "2025-01-12", 2),
-         (3, 102, None, 1, "2025-01-03", None)],
+         (3, 102, None, 1, "2025-01-03", None), (5, 104, 1, 1, "2025-01-17", 5),
+         (6, 105, 1, 1, "2025-01-23", 6)],
         [(4, 109, None, 1, "2025-02-01", 9)],
     )
-    found = run_to_files(spark, st_overdue(out, back), "overdue")
-    # 2 came back late, 3 never; 1 was on time and 4 is still within reach
+    found = run_to_files(spark, st_overdue(out, back, longest_days=longest), "overdue")
+    # 2 and 6 came back late, 3 never; 1 and 5 were on time, and 4 and 7 are still within reach
     assert sorted(tuples(found)) == [
-        (2, 101, at("2025-01-08"), at("2025-01-12")), (3, 102, at("2025-01-08"), None)]
+        (2, 101, at("2025-01-08")), (3, 102, at("2025-01-08")), (6, 105, at("2025-01-22"))]
 
 
 def test_a_log_by_day_is_streamed(spark, table, tmp_path):
