@@ -20,9 +20,14 @@ def clock(df: DataFrame, column: str, as_of: AsOf) -> Column:
 
 
 def since(df: DataFrame, column: str, as_of: AsOf, **ago: int) -> Column:
-    """``column`` lies at or after ``as_of`` minus an interval (days=, hours=); no upper bound."""
+    """``column`` lies at or after ``as_of`` minus an interval (days=, hours=); no upper bound.
+
+    Where ``df`` is a log by day, its days are bounded too, so that older ones are not read.
+    """
     back = F.make_dt_interval(*(F.lit(ago.get(unit, 0)) for unit in ("days", "hours")))
-    return F.col(column) >= clock(df, column, as_of) - back
+    start = clock(df, column, as_of) - back
+    recent = F.col(column) >= start
+    return (F.col("event_date") >= F.to_date(start)) & recent if "event_date" in df.columns else recent
 
 
 def seconds(at: Column) -> Column:

@@ -14,7 +14,9 @@ DROPPED = {
     "locations": ("name", "address"),
     "retailers": ("contact_email",),
     "customers": ("name", "email", "phone"),
+    "packaging_catalog": ("sku",),
     "packaging_instances": ("uid_code",),
+    "wash_cycles": ("batch_code",),
     "inspections": ("inspector", "notes"),
     "contamination_incidents": ("description",),
     "movements": ("note",),
@@ -22,11 +24,23 @@ DROPPED = {
 }
 SINGLED_OUT_BY = {
     "locations": ("kind", "lat", "lng"),
+    "hubs": ("washer_model",),
     "customers": ("created_at",),
+    "packaging_catalog": ("kind", "material"),
+    "packaging_instances": ("state", "birthed_at", "retired_at"),
+    "deposit_accounts": ("balance_cents",),
+    "deposit_transactions": ("reason", "delta_cents", "created_at"),
     "checkouts": ("retailer_id", "checkout_time"),
     "returns": ("location_id", "return_time"),
-    "deposit_transactions": ("reason", "created_at"),
+    "wash_cycles": ("hub_id", "start_time", "end_time"),
+    "inspections": ("result", "inspected_at"),
+    "contamination_incidents": ("kind", "severity", "detected_at"),
+    "sensor_readings": ("sensor_type", "value", "measured_at"),
+    "movements": ("to_loc_id", "moved_at"),
+    "audit_logs": ("entity_type", "event_type", "created_at"),
 }
+# Amounts and readings that would single a row out are cut down to whole steps.
+STEPS = {"balance_cents": 10_000, "delta_cents": 1_000, "value": 5, "temp_c": 5, "capacity_ml": 100}
 
 
 def pseudonym(domain: str, salt: str, value: Column) -> Column:
@@ -46,12 +60,15 @@ def _coarse(column: str, kind: T.DataType, unit: str) -> Column:
         return F.round(F.col(column).cast("double"), 2)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_trunc(unit, F.col(column))
+    if column in STEPS:
+        step = STEPS[column]
+        return (F.floor(F.col(column) / step) * step).cast("bigint")
     return F.col(column)
 
 
 def anonymize(table: str, df: DataFrame, salt: str, k: int = 5, unit: str = "day") -> DataFrame:
     """One table for export.  Rows of groups below ``k`` are left out."""
-    dropped = DROPPED.get(table, ())
+    dropped = (*DROPPED.get(table, ()), "event_date")
     fields = [f for f in df.schema.fields if f.name not in dropped]
     out = df.select(*(_coarse(f.name, f.dataType, unit).alias(f.name) for f in fields))
     group = [c for c in SINGLED_OUT_BY.get(table, ()) if c in out.columns]

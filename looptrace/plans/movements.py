@@ -10,7 +10,7 @@ from looptrace.operators.latest import latest, newest
 
 
 def mov_scan(movements: DataFrame) -> DataFrame:
-    return movements
+    return movements.drop("event_date")
 
 
 def mov_flow_matrix(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from looptrace.operators.quality import ROLE_KINDS
 from looptrace.registry.queries import KNN_K, KNN_KM, SALT
-from looptrace.schemas import TABLES
 from looptrace.sources.fixtures import (
-    JSON_PATH, LOANS_AS_OF, POINT, PROJECTIONS, RAW_READINGS, TELEMETRY_AS_OF, cte,
+    JSON_PATH, LOANS_AS_OF, POINT, PROJECTIONS, RAW_CHECKOUTS, RAW_LEDGER, RAW_READINGS,
+    TELEMETRY_AS_OF, cte,
 )
 
 NOW = f"TIMESTAMP '{TELEMETRY_AS_OF}'"
@@ -560,49 +559,127 @@ REPORTS: dict[str, tuple[str, str]] = {
 }
 
 
+# The rules once more, for the checks alone: table -> key, then required columns; unique columns;
+# rules on one row; longest texts; references.
+REQUIRED = """
+locations location_id name kind
+retailers retailer_id location_id
+hubs hub_id location_id
+customers customer_id name created_at
+packaging_catalog catalog_id kind material deposit_amount_cents
+packaging_instances instance_id catalog_id uid_code state birthed_at
+deposit_accounts account_id customer_id balance_cents
+deposit_transactions tx_id account_id delta_cents reason created_at
+checkouts checkout_id instance_id retailer_id customer_id checkout_time due_back_days
+returns return_id instance_id location_id return_time
+wash_cycles wash_id hub_id batch_code start_time
+inspections inspection_id instance_id result inspected_at
+contamination_incidents incident_id instance_id kind severity detected_at
+sensor_readings reading_id sensor_type value measured_at
+movements mv_id instance_id moved_at
+audit_logs log_id entity_type entity_id event_type created_at
+"""
+UNIQUE = """
+locations name
+retailers location_id
+hubs location_id
+customers email
+packaging_catalog sku
+packaging_instances uid_code
+deposit_accounts customer_id
+"""
+ONE_ROW = """
+locations kind_allowed kind IN ('retailer', 'hub', 'dropbox')
+packaging_catalog kind_allowed kind IN ('cup', 'box', 'jar')
+packaging_catalog deposit_not_negative deposit_amount_cents >= 0
+packaging_instances state_allowed state IN ('available', 'in_use', 'at_retailer', 'at_hub', 'washing', 'damaged', 'lost', 'retired')
+inspections result_allowed result IN ('pass', 'fail')
+contamination_incidents kind_allowed kind IN ('microbial', 'chemical', 'foreign_matter')
+contamination_incidents severity_in_range severity >= 1 AND severity <= 5
+sensor_readings sensor_type_allowed sensor_type IN ('temperature', 'humidity', 'shock')
+"""
+LONGEST = """
+locations name=120 kind=20 address=255
+retailers contact_email=190
+hubs washer_model=80
+customers name=120 email=190 phone=40
+packaging_catalog sku=64 kind=20 material=30
+packaging_instances uid_code=64 state=20
+deposit_transactions reason=120 ref_table=40
+wash_cycles batch_code=40 detergent=40
+inspections inspector=80 result=12 notes=255
+contamination_incidents kind=30 description=255
+sensor_readings sensor_type=20
+movements note=120
+audit_logs entity_type=30 event_type=40
+"""
+REFERENCES = """
+retailers location_id=locations
+hubs location_id=locations
+packaging_instances catalog_id=packaging_catalog
+deposit_accounts customer_id=customers
+deposit_transactions account_id=deposit_accounts
+checkouts instance_id=packaging_instances retailer_id=retailers customer_id=customers
+returns instance_id=packaging_instances customer_id=customers location_id=locations checkout_id=checkouts
+wash_cycles hub_id=hubs
+inspections instance_id=packaging_instances wash_id=wash_cycles
+contamination_incidents instance_id=packaging_instances
+sensor_readings instance_id=packaging_instances location_id=locations
+movements instance_id=packaging_instances from_loc_id=locations to_loc_id=locations
+"""
+ROLES = """
+retailers retailer
+hubs hub
+returns retailer dropbox
+"""
+
+
+def _lines(text: str) -> list[list[str]]:
+    return [line.split() for line in text.strip().split("\n")]
+
+
 def _checks() -> dict[str, str]:
-    """Quality checks: one branch per declared rule, over the tables with faults."""
+    """Quality checks: one branch per rule, over the tables with faults."""
+    keys = {table: key for table, key, *_ in _lines(REQUIRED)}
 
     def branch(rule: str, table: str, key: str, detail: str, rest: str) -> str:
         return (
-            f"SELECT {rule} AS rule, '{table}' AS \"table\", ({key})::VARCHAR AS key,"
+            f"SELECT '{rule}' AS rule, '{table}' AS \"table\", ({key})::VARCHAR AS key,"
             f" {detail} AS detail FROM {table} {rest}"
         )
 
-    not_null, primary, unique, check, foreign = [], [], [], [], []
-    for t in TABLES.values():
-        for c in t.required:
-            not_null.append(branch("'not_null'", t.name, t.key, f"'{c}'", f"WHERE {c} IS NULL"))
-        primary.append(
-            branch("'primary_key'", t.name, t.key, "count() || ' rows'",
-                   f"WHERE {t.key} IS NOT NULL GROUP BY {t.key} HAVING count() > 1"))
-        for c in t.unique:
-            unique.append(
-                branch("'unique'", t.name, c, f"'{c}: ' || count() || ' rows'",
-                       f"GROUP BY {c} HAVING count() > 1"))
-        rules = [(c.name, c.predicate) for c in t.checks]
-        rules += [(f"{c.name}_length", f"length({c.name}) <= {c.size}") for c in t.columns if c.size]
-        for name, predicate in rules:
-            check.append(branch("'check'", t.name, t.key, f"'{name}'", f"WHERE NOT ({predicate})"))
-        for r in t.refs:
-            parent = TABLES[r.parent].key
-            foreign.append(
-                branch("'foreign_key'", t.name, t.key,
-                       f"'{r.column} -> {r.parent}: ' || {r.column}",
-                       f"WHERE {r.column} IS NOT NULL AND {r.column} NOT IN"
-                       f" (SELECT {parent} FROM {r.parent} WHERE {parent} IS NOT NULL)"))
-    role = [
-        f"SELECT 'role_kind' AS rule, '{name}' AS \"table\", {TABLES[name].key}::VARCHAR AS key,"
-        f" 'at a ' || kind AS detail FROM {name} JOIN locations USING (location_id)"
-        f" WHERE kind NOT IN ({', '.join(repr(k) for k in kinds)})"
-        for name, kinds in ROLE_KINDS.items()
-    ]
+    not_null, primary, unique, check, foreign, role = [], [], [], [], [], []
+    for t, key, *others in _lines(REQUIRED):
+        not_null += [
+            branch("not_null", t, key, f"'{c}'", f"WHERE {c} IS NULL") for c in (key, *others)
+        ]
+        primary.append(branch("primary_key", t, key, "count() || ' rows'",
+                              f"WHERE {key} IS NOT NULL GROUP BY {key} HAVING count() > 1"))
+    for t, column in _lines(UNIQUE):
+        unique.append(branch("unique", t, column, f"'{column}: ' || count() || ' rows'",
+                             f"GROUP BY {column} HAVING count() > 1"))
+    for line in ONE_ROW.strip().split("\n"):
+        t, name, rule = line.split(" ", 2)
+        check.append(branch("check", t, keys[t], f"'{name}'", f"WHERE NOT ({rule})"))
+    for t, *sizes in _lines(LONGEST):
+        for column, size in (s.split("=") for s in sizes):
+            check.append(branch("check", t, keys[t], f"'{column}_length'",
+                                f"WHERE length({column}) > {size}"))
+    for t, *refs in _lines(REFERENCES):
+        for column, parent in (r.split("=") for r in refs):
+            known = f"SELECT {keys[parent]} FROM {parent} WHERE {keys[parent]} IS NOT NULL"
+            foreign.append(branch("foreign_key", t, keys[t], f"'{column} -> {parent}: ' || {column}",
+                                  f"WHERE {column} IS NOT NULL AND {column} NOT IN ({known})"))
+    for t, *kinds in _lines(ROLES):
+        listed = ", ".join(f"'{k}'" for k in kinds)
+        role.append(branch("role_kind", t, keys[t], "'at a ' || kind",
+                           f"JOIN locations USING (location_id) WHERE kind NOT IN ({listed})"))
     temporal = [
-        branch("'temporal'", "returns", "return_id", "'returned before its checkout'",
+        branch("temporal", "returns", "return_id", "'returned before its checkout'",
                "JOIN checkouts USING (checkout_id) WHERE return_time < checkout_time"),
-        branch("'temporal'", "wash_cycles", "wash_id", "'ended before its start'",
+        branch("temporal", "wash_cycles", "wash_id", "'ended before its start'",
                "WHERE end_time < start_time"),
-        branch("'temporal'", "packaging_instances", "instance_id", "'retired before its birth'",
+        branch("temporal", "packaging_instances", "instance_id", "'retired before its birth'",
                "WHERE retired_at < birthed_at"),
     ]
     whole = cte(*PROJECTIONS, dirty=True)
@@ -632,6 +709,117 @@ def _loads() -> dict[str, str]:
     }
 
 
+def _files() -> dict[str, str]:
+    """Loads of raw files: which lines are rows is known from how the lines are made."""
+    day = "CAST(created_at AS DATE) + to_hours(12)"
+    loan_day = "CAST(checkout_time AS DATE) + to_hours(12)"
+    ledger = ("tx_id", "account_id", "delta_cents", "reason", "ref_table", "ref_id", "created_at")
+    loan = ("checkout_id", "instance_id", "retailer_id", "customer_id", "checkout_time",
+            "due_back_days")
+
+    def rejects(table: str, key: str, columns: tuple, shown: dict[str, str], lines: str,
+                bad: str) -> str:
+        text = ", ".join(f"{shown.get(c, c + '::VARCHAR')} AS {c}" for c in columns)
+        empty = ", ".join(f"NULL::VARCHAR AS {c}" for c in columns)
+        return (
+            cte(table) + f", lines AS ({lines})\n"
+            f"SELECT {empty}, line AS record, 'record' AS faults FROM lines WHERE {bad}"
+            f" UNION ALL SELECT {text}, NULL, '{shown['faults']}' FROM {table}"
+            f" WHERE {key} % 50 = 3"
+        )
+
+    return {
+        "ing_csv_locations": cte("locations")
+        + "SELECT location_id, name, kind, NULL::VARCHAR AS address, lat,"
+        " NULL::DECIMAL(9,6) AS lng FROM locations",
+        "ing_csv_ledger": cte("deposit_transactions")
+        + f"SELECT * REPLACE ({day} AS created_at) FROM deposit_transactions"
+        " WHERE tx_id % 50 NOT IN (1, 2, 3)",
+        "ing_json_checkouts": cte("checkouts")
+        + f"SELECT * REPLACE ({loan_day} AS checkout_time) FROM checkouts"
+        " WHERE checkout_id % 50 NOT IN (1, 2, 3)",
+        "ing_csv_ledger_rejects": rejects(
+            "deposit_transactions", "tx_id", ledger,
+            {"delta_cents": "'n/a'", "created_at": f"strftime({day}, '%Y-%m-%d %H:%M:%S')",
+             "faults": "delta_cents"},
+            RAW_LEDGER, "length(line) - length(replace(line, ',', '')) <> 6"),
+        "ing_json_checkouts_rejects": rejects(
+            "checkouts", "checkout_id", loan,
+            {"due_back_days": "'soon'",
+             "checkout_time": f"strftime({loan_day}, '%Y-%m-%d %H:%M:%S')",
+             "faults": "due_back_days"},
+            RAW_CHECKOUTS, "NOT json_valid(line)"),
+    }
+
+
+def _exports() -> dict[str, str]:
+    """Per table: columns in order, each an id with its domain (id:domain), a time (~time), a
+    step (column/step), a rounded place (column.) or plain; then the group that must be shared."""
+    tables = {
+        "locations": ("location_id:locations kind lat. lng.", "kind lat lng"),
+        "retailers": ("retailer_id:retailers location_id:locations", ""),
+        "hubs": ("hub_id:hubs location_id:locations washer_model", "washer_model"),
+        "packaging_catalog": (
+            "catalog_id:packaging_catalog kind material capacity_ml/100 deposit_amount_cents",
+            "kind material"),
+        "packaging_instances": (
+            "instance_id:packaging_instances catalog_id:packaging_catalog state ~birthed_at"
+            " ~retired_at", "state birthed_at retired_at"),
+        "deposit_accounts": (
+            "account_id:deposit_accounts customer_id:customers balance_cents/10000",
+            "balance_cents"),
+        "deposit_transactions": (
+            "tx_id:deposit_transactions account_id:deposit_accounts delta_cents/1000 reason"
+            " ref_table ref_id:ref_id ~created_at", "reason delta_cents created_at"),
+        "wash_cycles": (
+            "wash_id:wash_cycles hub_id:hubs ~start_time ~end_time temp_c/5 detergent",
+            "hub_id start_time end_time"),
+        "inspections": (
+            "inspection_id:inspections instance_id:packaging_instances wash_id:wash_cycles result"
+            " ~inspected_at", "result inspected_at"),
+        "contamination_incidents": (
+            "incident_id:contamination_incidents instance_id:packaging_instances kind severity"
+            " ~detected_at", "kind severity detected_at"),
+        "sensor_readings": (
+            "reading_id:sensor_readings instance_id:packaging_instances location_id:locations"
+            " sensor_type value/5 ~measured_at", "sensor_type value measured_at"),
+        "movements": (
+            "mv_id:movements instance_id:packaging_instances from_loc_id:locations"
+            " to_loc_id:locations ~moved_at", "to_loc_id moved_at"),
+        "audit_logs": (
+            "log_id:audit_logs entity_type entity_id:entity_id event_type ~created_at",
+            "entity_type event_type created_at"),
+    }
+
+    def coarse(column: str) -> tuple[str, str]:
+        if column[0] == "~":
+            return column[1:], f"date_trunc('month', {column[1:]})::TIMESTAMP"
+        if column[-1] == ".":
+            return column[:-1], f"round({column[:-1]}::DOUBLE, 2)"
+        if "/" in column:
+            name, step = column.split("/")
+            return name, f"(floor({name}::DOUBLE / {step}) * {step})::BIGINT"
+        return column.split(":")[0], column.split(":")[0]
+
+    out = {}
+    for name, (columns, group) in tables.items():
+        listed = columns.split()
+        cut = ", ".join(f"{text} AS {c}" for c, text in map(coarse, listed))
+        shown = ", ".join(
+            f"sha256('{SALT}|{c.split(':')[1]}|' || {c.split(':')[0]}) AS {c.split(':')[0]}"
+            if ":" in c else coarse(c)[0]
+            for c in listed
+        )
+        shared = (
+            f" QUALIFY count() OVER (PARTITION BY {', '.join(f'cut.{g}' for g in group.split())})"
+            " >= 5" if group else ""
+        )
+        out[f"anonymized_export_{name}"] = (
+            cte(name) + f", cut AS (SELECT {cut} FROM {name})\nSELECT {shown} FROM cut{shared}"
+        )
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     reports = {name: cte(*tables.split()) + text for name, (tables, text) in REPORTS.items()}
-    return reports | _checks() | _loads()
+    return reports | _checks() | _loads() | _files() | _exports()

@@ -13,10 +13,13 @@ from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import apply_delete, ref_delete
 from looptrace.plans import audit, customers, cycles, incidents, movements, packaging, places
 from looptrace.plans import sensors, trace, washing
+from looptrace.schemas import TABLES
+from looptrace.session import scratch_dir
 from looptrace.sources.fixtures import (
-    JSON_PATH, LOANS_AS_OF, POINT, RAW_READINGS, TELEMETRY_AS_OF, Loop,
+    JSON_PATH, LOANS_AS_OF, POINT, RAW_CHECKOUTS, RAW_LEDGER, RAW_PLACES, RAW_READINGS,
+    TELEMETRY_AS_OF, Loop,
 )
-from looptrace.sources.ingest import rejected_rows, typed_rows, with_defaults
+from looptrace.sources.ingest import read_raw, rejected_rows, typed_rows, with_defaults
 from looptrace.streaming.feeds import run_to_files
 from looptrace.streaming.loans import st_overdue
 from looptrace.streaming.telemetry import latest_of_feed, st_latest_reading, st_temp_breaches
@@ -169,14 +172,64 @@ def _streams() -> dict[str, Callable[[Loop], DataFrame]]:
     }
 
 
+def _raw_file(t: Loop, table: str, lines: str, columns: str | None = None) -> DataFrame:
+    """A raw file of given lines, written to the shared folder and read again as text: csv if
+    ``columns`` names its header, else json."""
+    path = scratch_dir(t.spark, "raw")
+    rows = t.query(lines, table)
+    if columns:
+        # the header line stands at the top of every part; this separator is in no line
+        rows = rows.withColumnRenamed("line", columns)
+        rows.write.option("header", True).option("sep", "\x01").csv(path)
+        return read_raw(t.spark, path, table, "csv")
+    rows.write.text(path)
+    return read_raw(t.spark, path, table, "json")
+
+
+def _loads() -> dict[str, Callable[[Loop], DataFrame]]:
+    def ledger(t: Loop) -> DataFrame:
+        columns = "tx_id,account_id,delta_cents,reason,ref_table,ref_id,created_at"
+        return _raw_file(t, "deposit_transactions", RAW_LEDGER, columns)
+
+    def loans(t: Loop) -> DataFrame:
+        return _raw_file(t, "checkouts", RAW_CHECKOUTS)
+
+    return {
+        "ing_csv_locations": lambda t: with_defaults(
+            typed_rows(
+                _raw_file(t, "locations", RAW_PLACES, "location_id,name,kind,lat"), "locations"),
+            "locations", LOANS_AS_OF),
+        "ing_csv_ledger": lambda t: typed_rows(ledger(t), "deposit_transactions"),
+        "ing_csv_ledger_rejects": lambda t: rejected_rows(ledger(t), "deposit_transactions"),
+        "ing_json_checkouts": lambda t: typed_rows(loans(t), "checkouts"),
+        "ing_json_checkouts_rejects": lambda t: rejected_rows(loans(t), "checkouts"),
+    }
+
+
+def _exports() -> dict[str, Callable[[Loop], DataFrame]]:
+    """The tables that the named exports leave out, by month in groups of five or more."""
+    named = ("checkouts", "customers", "returns")
+    return {
+        f"anonymized_export_{name}": lambda t, name=name: anonymize(
+            name, t[name], SALT, unit="month")
+        for name in TABLES
+        if name not in named
+    }
+
+
 def _bind(build: Callable[[Loop], DataFrame], **options) -> Query:
     return lambda spark, folder: build(Loop(spark, folder, **options))
 
 
-def queries() -> dict[str, Query]:
-    named = {name: _bind(build) for name, build in _reports().items()}
-    named |= {name: _bind(build, dirty=True) for name, build in _checks().items()}
+def queries(prepared: str | None = None) -> dict[str, Query]:
+    """Every query over a folder of given files; with ``prepared``, over the tables there."""
+    plain = _reports() | _loads() | _exports()
+    named = {name: _bind(build, prepared=prepared) for name, build in plain.items()}
+    named |= {
+        name: _bind(build, dirty=True, prepared=prepared) for name, build in _checks().items()
+    }
     named |= {
-        name: _bind(build, streamed=("events", "orders")) for name, build in _streams().items()
+        name: _bind(build, streamed=("events", "orders"), prepared=prepared)
+        for name, build in _streams().items()
     }
     return named

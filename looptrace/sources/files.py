@@ -51,9 +51,12 @@ def write_log(df: DataFrame, path: str, table: str, mode: str = "error") -> None
 def read_log(
     spark: SparkSession, path: str, table: str, since: AsOf | None = None
 ) -> DataFrame:
-    """A log written by ``write_log``, without the days before ``since``."""
+    """A log written by ``write_log`` + event_date, without the days before ``since``.
+
+    Reports that look back from a point in time use event_date to leave older days unread.
+    """
     stored = TABLES[table].struct.add("event_date", "date")
     log = spark.read.schema(stored).parquet(path)
     if since is not None:
         log = log.filter(F.col("event_date") >= F.to_date(F.lit(str(since))))
-    return log.drop("event_date")
+    return log

@@ -10,6 +10,11 @@ import re
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from looptrace.schemas import TABLES
+from looptrace.sources.files import read_log, read_table, write_log, write_table
+from looptrace.streaming.feeds import stream_log
 
 # Schemas of the given files, stated so that no read has to infer them.
 SOURCE_SCHEMAS = {
@@ -303,6 +308,49 @@ SELECT concat('', event_id) AS reading_id,
 FROM events
 """
 
+# Lines of raw files, some of which are no rows or hold text that fits no column.
+RAW_LEDGER = """
+SELECT CASE tx_id % 50 WHEN 1 THEN concat('', tx_id) WHEN 2 THEN concat(line, ',7') ELSE line END
+           AS line
+FROM (SELECT tx_id, concat(tx_id, ',', account_id, ',', CASE tx_id % 50 WHEN 3 THEN 'n/a'
+             ELSE concat('', delta_cents) END, ',', reason, ',,,', CAST(created_at AS DATE),
+             ' 12:00:00') AS line
+      FROM deposit_transactions) lines
+"""
+RAW_PLACES = """
+SELECT concat(location_id, ',', name, ',', kind, ',', coalesce(concat('', lat), '')) AS line
+FROM locations
+"""
+RAW_CHECKOUTS = """
+SELECT CASE checkout_id % 50 WHEN 1 THEN line WHEN 2 THEN 'no record' ELSE concat(line, '}') END
+           AS line
+FROM (SELECT checkout_id, concat('{"checkout_id": ', checkout_id, ', "instance_id": ', instance_id,
+             ', "retailer_id": ', retailer_id, ', "customer_id": ', customer_id,
+             ', "checkout_time": "', CAST(checkout_time AS DATE), ' 12:00:00", "due_back_days": ',
+             CASE checkout_id % 50 WHEN 3 THEN '"soon"' ELSE concat('', due_back_days) END) AS line
+      FROM checkouts) lines
+"""
+
+
+# The logs of these test files that span a month; the others span years and few rows a day.
+BY_DAY = ("deposit_transactions", "contamination_incidents", "sensor_readings", "movements",
+          "audit_logs")
+
+
+def prepare(spark: SparkSession, folder: str, out: str) -> None:
+    """The sixteen tables, with and without faults, as the library stores tables and logs."""
+    for dirty in (False, True):
+        tables = Loop(spark, folder, dirty=dirty)
+        for name, df in tables.items():
+            path = f"{out}/{'dirty' if dirty else 'clean'}/{name}"
+            typed = df.select(
+                *(F.col(c.name).cast(c.type).alias(c.name) for c in TABLES[name].columns)
+            )
+            if name in BY_DAY:
+                write_log(typed, path, name)
+            else:
+                write_table(typed, path)
+
 
 class Loop(Mapping):
     """The sixteen tables over one folder of test files, each built when first used.
@@ -310,13 +358,20 @@ class Loop(Mapping):
     ``loop.movements`` and ``loop["movements"]`` are the same.
 
     ``streamed`` names source files to read as streams, ``dirty`` adds faults to the tables.
+    ``prepared`` is a folder that ``prepare`` wrote, from which tables are read instead.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, streamed: tuple[str, ...] = (), dirty: bool = False
+        self,
+        spark: SparkSession,
+        folder: str,
+        streamed: tuple[str, ...] = (),
+        dirty: bool = False,
+        prepared: str | None = None,
     ):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the given times have no zone
         self.spark = spark
+        self.prepared = prepared
         self.folder = folder.rstrip("/")
         self.streamed = streamed
         self.dirty = dirty
@@ -344,10 +399,19 @@ class Loop(Mapping):
     def __getattr__(self, table: str) -> DataFrame:
         if table not in PROJECTIONS:
             raise AttributeError(table)
-        frame = self.query(f"SELECT * FROM {table}", table)
+        if self.prepared:
+            frame = self._prepared(table)
+        else:
+            frame = self.query(f"SELECT * FROM {table}", table)
         self.__dict__[table] = frame
         return frame
 
+    def _prepared(self, table: str) -> DataFrame:
+        path = f"{self.prepared}/{'dirty' if self.dirty else 'clean'}/{table}"
+        if self.streamed:
+            return stream_log(self.spark, path, table)
+        return (read_log if table in BY_DAY else read_table)(self.spark, path, table)
+
     def __getitem__(self, table: str) -> DataFrame:
         try:
             return getattr(self, table)

@@ -11,6 +11,9 @@ from looptrace.schemas import NOW, TABLES, Column
 from looptrace.sources.files import LOG_ORDER, write_log, write_table
 
 
+RECORD = "_record"  # the text of a record that is no row of its file
+
+
 def read_raw(
     spark: SparkSession,
     path: str,
@@ -18,24 +21,27 @@ def read_raw(
     fmt: str = "csv",
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """A csv (with header) or json file as text: those of the table's columns that it has.
+    """A csv (with header) or json file as text: those of the table's columns that it has, and
+    ``_record``, the whole text of a record with too few or too many fields or without an end.
 
     The names come from the header of a csv file, which all its parts must share.  A json
     file is read once more to find them, unless ``columns`` names them.
     """
     wanted = [c.name for c in TABLES[table].columns]
-    reader = spark.read.format(fmt)
+    first = spark.read.option("primitivesAsString", True).option("header", True).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
-        return _known(reader.load(path), columns or wanted)
-    if columns is None:
-        columns = _known(reader.option("primitivesAsString", True).load(path), wanted).columns
-    text = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    return spark.read.format(fmt).schema(text).load(path)
-
-
-def _known(df: DataFrame, wanted: list[str]) -> DataFrame:
-    return df.select(*(name for name in wanted if name in df.columns))
+        names = first.load(path).columns
+    else:
+        names = columns if columns is not None else first.load(path).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*names, RECORD]])
+    rows = (
+        spark.read.format(fmt)
+        .schema(text)
+        .options(header=True, enforceSchema=False, mode="PERMISSIVE", columnPruning=False)
+        .option("columnNameOfCorruptRecord", RECORD)
+        .load(path)
+    )
+    return rows.select(*(c for c in columns or wanted if c in names), RECORD)
 
 
 def _value(c: Column):
@@ -50,15 +56,18 @@ def _value(c: Column):
 
 
 def _cast(raw: DataFrame, table: str) -> DataFrame:
-    """Raw columns + ``typed`` struct + ``faults``, the columns whose text does not fit."""
+    """Raw columns + ``typed`` struct + ``faults``, the columns whose text does not fit; of a
+    record that is no row, ``record`` alone."""
     columns = [c for c in TABLES[table].columns if c.name in raw.columns]
+    whole = F.col(RECORD).isNull() if RECORD in raw.columns else F.lit(True)
     typed = F.struct(*(_value(c).alias(c.name) for c in columns))
     unfit = [
         F.when(F.col(c.name).isNotNull() & _value(c).isNull(), F.lit(c.name)) for c in columns
     ]
-    return raw.select(
-        "*", typed.alias("typed"), F.array_compact(F.array(*unfit)).alias("faults")
-    )
+    faults = F.when(whole, F.array_compact(F.array(*unfit))).otherwise(F.array(F.lit("record")))
+    shown = [F.when(whole, F.col(c)).alias(c) for c in raw.columns if c != RECORD]
+    shown += [F.col(RECORD).alias("record")] * (RECORD in raw.columns)
+    return raw.select(*shown, typed.alias("typed"), faults.alias("faults"))
 
 
 def typed_rows(raw: DataFrame, table: str) -> DataFrame:
@@ -67,7 +76,8 @@ def typed_rows(raw: DataFrame, table: str) -> DataFrame:
 
 
 def rejected_rows(raw: DataFrame, table: str) -> DataFrame:
-    """The other rows, as they came, with ``faults`` naming the columns that do not fit."""
+    """The other rows, as they came, with ``faults`` naming the columns that do not fit; records
+    that are no rows have their text in ``record`` and nothing else."""
     out = _cast(raw, table).filter("size(faults) > 0").drop("typed")
     return out.withColumn("faults", F.array_join("faults", ","))
 

@@ -255,11 +255,35 @@ def test_load_from_files(spark, tmp_path):
     assert tuples(typed_rows(raw, "sensor_readings")) == [(5, Decimal("1.250"))]
 
 
+def test_records_that_are_no_rows(spark, tmp_path):
+    lines = ["1,7,3,temperature,36.5,2025-01-01 00:00:00", "2,7", "3,7,3,shock,1,2025-01-01,8,9",
+             "4,7,3,shock,much,2025-01-01", "", "5,,,shock,1,2025-01-01"]
+    header = "reading_id,instance_id,location_id,sensor_type,value,measured_at"
+    (tmp_path / "r.csv").write_text("\n".join([header, *lines, ""]))
+    raw = read_raw(spark, str(tmp_path / "r.csv"), "sensor_readings")
+    assert sorted(tuples(typed_rows(raw, "sensor_readings"), "reading_id")) == [(1,), (5,)]
+    bad = sorted(tuples(rejected_rows(raw, "sensor_readings"), "reading_id", "record", "faults"),
+                 key=str)
+    assert bad == [("4", None, "value"), (None, "2,7", "record"),
+                   (None, "3,7,3,shock,1,2025-01-01,8,9", "record")]
+    lines = ['{"reading_id": 5, "value": 1.25}', '{"reading_id": 6, "value": ', "nothing", "{}"]
+    (tmp_path / "r.json").write_text("\n".join(lines) + "\n")
+    raw = read_raw(spark, str(tmp_path / "r.json"), "sensor_readings", "json")
+    good, rest = typed_rows(raw, "sensor_readings"), rejected_rows(raw, "sensor_readings")
+    assert sorted(tuples(rest, "reading_id", "record", "faults")) == [
+        (None, lines[2], "record"), (None, lines[1], "record")]
+    assert good.count() + rest.count() == len(lines)
+    load_file(spark, str(tmp_path / "r.csv"), "sensor_readings", str(tmp_path / "out"),
+              str(tmp_path / "bad"), as_of="2025-01-01 06:00:00")
+    assert read_log(spark, str(tmp_path / "out"), "sensor_readings").count() == 2
+    assert spark.read.json(str(tmp_path / "bad")).filter("record IS NOT NULL").count() == 2
+
+
 def test_load_file(spark, tmp_path):
     raw, out, bad = (str(tmp_path / name) for name in ("m.csv", "out", "bad"))
     (tmp_path / "m.csv").write_text("mv_id,instance_id,to_loc_id\n1,7,3\n2,?,3\n")
     load_file(spark, raw, "movements", out, bad, as_of="2025-01-01 06:00:00")
-    assert tuples(read_log(spark, out, "movements")) == [
+    assert tuples(read_log(spark, out, "movements").drop("event_date")) == [
         (1, 7, None, 3, at("2025-01-01 06:00:00"), None)]
     assert tuples(spark.read.json(bad), "mv_id", "faults") == [("2", "instance_id")]
 
@@ -291,7 +315,7 @@ def test_files(spark, table, tmp_path):
                 (2, 7, None, 3, "2025-01-02 05:00:00", None))
     path = str(tmp_path / "log")
     write_log(log, path, "movements")
-    assert sorted(tuples(read_log(spark, path, "movements"))) == sorted(tuples(log))
+    assert sorted(tuples(read_log(spark, path, "movements"), *log.columns)) == sorted(tuples(log))
     recent = read_log(spark, path, "movements", since="2025-01-02 00:00:00")
     assert tuples(recent, "mv_id") == [(2,)]
     plan = recent._jdf.queryExecution().executedPlan().toString()

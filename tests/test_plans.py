@@ -7,8 +7,8 @@ import re
 import pytest
 
 from looptrace.registry import queries as registered
-from looptrace.plans import customers, cycles, packaging, places, sensors, trace
-from looptrace.sources.files import read_table, write_table
+from looptrace.plans import customers, cycles, incidents, packaging, places, sensors, trace
+from looptrace.sources.files import read_log, read_table, write_log, write_table
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = registered.queries()
@@ -92,6 +92,25 @@ def test_top_k(large, table):
     assert "TakeOrderedAndProject" in plan(df)
 
 
+def test_old_days_are_not_read(large, table, tmp_path):
+    logs = {
+        "sensor_readings": (1, 7, 1, "temperature", 36, "2025-01-01"),
+        "contamination_incidents": (1, 7, "microbial", 4, None, "2025-01-01"),
+    }
+    read = {}
+    for name, row in logs.items():
+        write_log(table(name, row), str(tmp_path / name), name)
+        read[name] = read_log(large, str(tmp_path / name), name)
+    readings, found = read["sensor_readings"], read["contamination_incidents"]
+    loans, inspections = (table("checkouts"), table("returns")), table("inspections")
+    for df in (sensors.sen_temp_breaches(readings, "2025-01-02"),
+               sensors.sen_daily_pivot(readings, "2025-01-02"),
+               incidents.inc_recent_by_kind_severity(found, "2025-01-02"),
+               trace.alerts(*loans, readings, inspections, found, "2025-01-02")):
+        assert re.search(r"PartitionFilters: \[isnotnull\(event_date#\d+\), \(event_date#\d+ >= ",
+                         plan(df))
+
+
 def test_filters_and_columns_reach_the_files(large, table, tmp_path):
     log = stored(large, table, tmp_path, "sensor_readings",
                  (1, 7, 1, "temperature", 36, "2025-01-01"))
