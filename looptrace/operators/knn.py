@@ -1,10 +1,11 @@
 """The k nearest places for each of many points, within a distance, exactly.
 
-Points and places are put on cubes in space, at several sizes that halve from level to
-level, down to half a metre.  Per point the smallest size is taken at which its own cube
-holds k places; only places from cubes within the distance this implies are compared, and
-only those within it are ranked.  So where places lie evenly, the work per point follows k
-and not their density; a point beside a dense cluster still meets much of the cluster.
+Points and places are put into space.  The places are counted in cubes at several levels, each
+eight times as fine as the one above.  A point starts with the occupied cubes around it and
+goes down: at each level the counts tell how far its k-th place can be at most, cubes whose
+nearest corner lies beyond that are left out, and only the others are split.  At the last
+level the places in the cubes that are left are compared themselves.  So the work per point
+follows k, wherever the places lie: beside a dense cluster only its near edge is opened.
 
 Before that, equal coordinates are folded: points with one position share an answer, and of
 the places at one position only the k lowest ids can be in any answer.  Space cubes have no
@@ -19,11 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from looptrace.functions.geofn import EARTH_KM, sphere_xyz
+from looptrace.session import stored
 
-FINEST_KM = 0.0005
+FINEST_KM = 0.002
+FINER = 8  # times, from level to level
 TIE_KM = 1e-6  # distances are ranked to the millimetre
 AXES = ["x", "y", "z"]
-CUBE = ["level", "cx", "cy", "cz"]
+CUBE = ["cx", "cy", "cz"]
+SPOT = ["lat", "lng"]
 
 
 def _in_space(df: DataFrame) -> DataFrame:
@@ -32,51 +36,81 @@ def _in_space(df: DataFrame) -> DataFrame:
     return df.withColumns(dict(zip(AXES, sphere_xyz(F.col("lat"), F.col("lng")))))
 
 
-def _each_level(df: DataFrame, max_km: float) -> DataFrame:
-    last = max(0, math.ceil(math.log2(max_km / FINEST_KM)))
-    return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
+def _finest(max_km: float) -> int:
+    return max(1, math.ceil(math.log(max_km / FINEST_KM, FINER)))
 
 
-def _cube(df: DataFrame, max_km: float) -> DataFrame:
-    """``df`` + (cx, cy, cz), the cube of the row's ``level`` that holds the position."""
-    per_km = F.pow(F.lit(2.0), F.col("level")) / max_km
-    return df.withColumns({c: F.floor(F.col(v) * per_km) for c, v in zip(CUBE[1:], AXES)})
+def _cube(level: int, max_km: float) -> list[Column]:
+    """(cx, cy, cz): the cube of a level that holds the position; those of the first are max_km wide."""
+    return [F.floor(F.col(a) * (FINER**level / max_km)).alias(c) for c, a in zip(CUBE, AXES)]
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _around(df: DataFrame) -> DataFrame:
     """A row for each of the 27 cubes around and including (cx, cy, cz)."""
-    for axis in CUBE[1:]:
+    for axis in CUBE:
         df = df.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
     return df
 
 
-def _searches(spots: DataFrame, sites: DataFrame, k: int, max_km: float) -> DataFrame:
-    """Spots + the level whose 27 cubes hold the k nearest sites, and how far those can be.
-
-    A cube of size s with k sites puts the k-th within sqrt(3) * s < 2 s, which the 27 cubes
-    of size 2 s, one level up, cover.  Without such a cube max_km is the only bound.
-    """
-    held = _cube(_each_level(sites, max_km), max_km)
-    full = held.groupBy(*CUBE).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    finest = (
-        _cube(_each_level(spots, max_km), max_km)
-        .join(full, CUBE, "left_semi")
-        .groupBy("lat", "lng")
-        .agg(F.max("level").alias("finest"))
-    )
-    diagonal = math.sqrt(3) * max_km / F.pow(F.lit(2.0), F.col("finest"))
-    return spots.join(finest, ["lat", "lng"], "left").select(
-        "lat",
-        "lng",
-        *AXES,
-        F.greatest(F.col("finest") - 1, F.lit(0)).alias("level"),
-        (F.least(diagonal, F.lit(max_km)) + 2 * TIE_KM).alias("reach"),
+def _counts(sites: DataFrame, max_km: float) -> DataFrame:
+    """(level, cx, cy, cz, n) of the occupied cubes of all levels."""
+    levels = range(_finest(max_km) + 1)
+    each = F.explode(F.array(*(
+        F.struct(F.lit(i).alias("level"), *_cube(i, max_km)) for i in levels
+    )))
+    held = sites.select(each.alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    return stored(held.select("at.*", "n"), "cubes")
+
+
+def _length(parts: list[Column]) -> Column:
+    return F.sqrt(sum(p * p for p in parts))
+
+
+def _within_reach(pairs: DataFrame, size: float, k: int, max_km: float) -> DataFrame:
+    """Of (spot, cube, n) the cubes that may hold one of the spot's k nearest places."""
+    low = {a: F.col(c) * size for a, c in zip(AXES, CUBE)}
+    apart = [F.greatest(low[a] - F.col(a), F.col(a) - low[a] - size, F.lit(0.0)) for a in AXES]
+    across = [F.greatest(F.abs(F.col(a) - low[a]), F.abs(low[a] + size - F.col(a))) for a in AXES]
+    measured = pairs.withColumn("near", _length(apart)).withColumn("far", _length(across))
+    by = Window.partitionBy(*SPOT)
+    upto = by.orderBy("far", *CUBE).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        measured.filter(F.col("near") <= max_km + 2 * TIE_KM)
+        .withColumn("places", F.sum("n").over(upto))
+        .withColumn("reach", F.min(F.when(F.col("places") >= k, F.col("far"))).over(by))
+        .withColumn("reach", F.least("reach", F.lit(max_km)) + 2 * TIE_KM)
+        .filter("near <= reach")
+        .select(*SPOT, *AXES, *CUBE, "reach")
     )
 
 
-def _straight_km() -> Column:
-    x, y, z = (F.col(f"to_{axis}") - F.col(axis) for axis in AXES)
-    return F.sqrt(x * x + y * y + z * z)
+def candidates(spots: DataFrame, sites: DataFrame, k: int, max_km: float) -> DataFrame:
+    """(lat, lng, location_id, straight_km): the pairs that are compared, a few times k per spot."""
+    counts = _counts(sites, max_km)
+    pairs = _around(spots.select(*SPOT, *AXES, *_cube(0, max_km)))
+    for level in range(_finest(max_km) + 1):
+        held = counts.filter(F.col("level") == level).drop("level")
+        if level:  # from the cubes kept to their parts
+            held = held.select(
+                *CUBE, "n", *(F.floor(F.col(c) / FINER).alias(f"in_{c}") for c in CUBE)
+            )
+            above = pairs.select(*SPOT, *AXES, *(F.col(c).alias(f"in_{c}") for c in CUBE))
+            pairs = above.join(held, [f"in_{c}" for c in CUBE])
+        else:
+            pairs = pairs.join(held, CUBE)
+        pairs = _within_reach(pairs, max_km / FINER**level, k, max_km)
+    targets = sites.select(
+        "location_id",
+        *_cube(_finest(max_km), max_km),
+        *(F.col(a).alias(f"to_{a}") for a in AXES),
+    )
+    straight = _length([F.col(f"to_{a}") - F.col(a) for a in AXES])
+    return (
+        pairs.join(targets, CUBE)
+        .select(*SPOT, "location_id", straight.alias("straight_km"), "reach")
+        .filter("straight_km <= reach")
+        .drop("reach")
+    )
 
 
 def _arc(straight_km: Column) -> Column:
@@ -88,26 +122,21 @@ def knn_places(points: DataFrame, places: DataFrame, k: int, max_km: float) -> D
 
     Equal distances, to the millimetre, go by the lower ``location_id``.
     """
-    same_spot = Window.partitionBy("lat", "lng").orderBy("location_id")
+    same_spot = Window.partitionBy(*SPOT).orderBy("location_id")
     sites = (
-        _in_space(places.select("location_id", "lat", "lng"))
+        _in_space(places.select("location_id", *SPOT))
         .withColumn("nth", F.row_number().over(same_spot))
         .filter(F.col("nth") <= k)
         .drop("nth")
     )
-    spots = _in_space(points.select("lat", "lng").distinct())
-    searches = _spread(_cube(_searches(spots, sites, k, max_km), max_km))
-    targets = _cube(_each_level(sites, max_km), max_km)
-    targets = targets.select("location_id", *CUBE, *(F.col(a).alias(f"to_{a}") for a in AXES))
-    # the straight line is cheap and never longer than the arc, so it goes first
+    spots = _in_space(points.select(*SPOT).distinct())
     near = (
-        searches.join(targets, CUBE)
-        .filter(_straight_km() <= F.col("reach"))
-        .select("lat", "lng", "location_id", _arc(_straight_km()).alias("distance_km"))
+        candidates(spots, sites, k, max_km)
+        .withColumn("distance_km", _arc(F.col("straight_km")))
         .filter(F.col("distance_km") <= max_km)
     )
-    by = Window.partitionBy("lat", "lng").orderBy(F.round("distance_km", 6), "location_id")
+    by = Window.partitionBy(*SPOT).orderBy(F.round("distance_km", 6), "location_id")
     best = near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-    return points.join(best, ["lat", "lng"]).select(
+    return points.join(best, SPOT).select(
         "point_id", "location_id", F.round("distance_km", 6).alias("distance_km"), "rank"
     )

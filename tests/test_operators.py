@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from looptrace.operators import quality
 from looptrace.operators.anonymize import anonymize, anonymized_export
-from looptrace.operators.knn import knn_places
+from looptrace.operators.knn import _in_space, candidates, knn_places
 from looptrace.operators.refdelete import DeleteBlocked, apply_delete, ref_delete
 from looptrace.operators.slices import previous, running_sum, sliced
 from looptrace.plans import customers, trace
@@ -153,6 +153,18 @@ def test_knn_equals_brute_force(spark, centre, spread, k, max_km):
     assert sorted(tuples(got)) == sorted(nearest(points, places, k, max_km))
 
 
+def test_knn_beside_a_cluster_opens_its_edge_only(spark):
+    rng = random.Random(3)
+    spots = spark.createDataFrame(
+        [(41.0 + rng.uniform(0, 0.002), 2.0 + rng.uniform(0, 0.002)) for _ in range(2000)],
+        "lat double, lng double")
+    sites = spark.createDataFrame(
+        [(i, 41.01 + rng.uniform(0, 0.002), 2.01 + rng.uniform(0, 0.002)) for i in range(2000)],
+        "location_id long, lat double, lng double")
+    pairs = candidates(_in_space(spots), _in_space(sites), 3, 5.0)
+    assert 2000 * 3 <= pairs.count() <= 2000 * 3 * 4
+
+
 def broken(table):
     return {
         "locations": table("locations", (1, "A", "retailer", None, None, None),
