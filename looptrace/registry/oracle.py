@@ -543,6 +543,11 @@ REPORTS: dict[str, tuple[str, str]] = {
               <= (SELECT max(measured_at) - to_hours(1) FROM sensor_readings)
         GROUP BY ALL""",
     ),
+    "st_latest_running": (
+        "sensor_readings",
+        "SELECT instance_id, sensor_type, arg_max(value, (measured_at, reading_id)) AS value,"
+        " max(measured_at) AS measured_at FROM sensor_readings GROUP BY ALL",
+    ),
     "st_overdue": (
         "checkouts returns",
         f"""

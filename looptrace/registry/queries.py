@@ -22,7 +22,9 @@ from looptrace.sources.fixtures import (
 from looptrace.sources.ingest import read_raw, rejected_rows, typed_rows, with_defaults
 from looptrace.streaming.feeds import run_to_files
 from looptrace.streaming.loans import st_overdue
-from looptrace.streaming.telemetry import latest_of_feed, st_latest_reading, st_temp_breaches
+from looptrace.streaming.telemetry import (
+    latest_of_feed, latest_running, st_latest_reading, st_temp_breaches,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -168,6 +170,9 @@ def _streams() -> dict[str, Callable[[Loop], DataFrame]]:
             t, st_temp_breaches(t.sensor_readings), "st_temp_breaches"),
         "st_latest_reading": lambda t: latest_of_feed(
             run(t, st_latest_reading(t.sensor_readings), "st_latest_reading")),
+        "st_latest_running": lambda t: latest_running(
+            run(t, st_latest_reading(t.sensor_readings), "st_latest_running"),
+            Loop(t.spark, t.folder, prepared=t.prepared).sensor_readings),
         "st_overdue": lambda t: run(t, st_overdue(t.checkouts, t.returns), "st_overdue"),
     }
 

@@ -27,9 +27,9 @@ def stream_log(
 
 def run_to_files(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
     """Runs an append stream over all input present; result and progress go to shared files."""
-    for key, value in STATE_SETTINGS.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
+    ours = [key for key in STATE_SETTINGS if spark.conf.get(key, None) is None]
+    for key in ours:
+        spark.conf.set(key, STATE_SETTINGS[key])
     folder = scratch_dir(spark, purpose)
     query = (
         stream.writeStream.outputMode("append")
@@ -39,5 +39,9 @@ def run_to_files(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFr
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        for key in ours:
+            spark.conf.unset(key)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

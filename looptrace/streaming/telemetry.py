@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from looptrace.functions.timefn import since
 from looptrace.operators.latest import latest
 
 
@@ -53,6 +54,23 @@ def st_latest_reading(
     return windows.agg(newest.alias("last")).select("instance_id", "sensor_type", "last.*")
 
 
+def latest_running(feed: DataFrame, readings: DataFrame, every: str = "1 hour") -> DataFrame:
+    """The newest reading per item and sensor type up to now, open windows included.
+
+    What ``st_latest_reading`` wrote stands for all windows up to its last one; only the
+    readings after that are read from the log itself, by day where the log has days.
+    """
+    closed = feed.agg(F.max(F.window("measured_at", every).end).alias("end")).first().end
+    recent = readings
+    if closed is not None:
+        recent = readings.filter(since(readings, "measured_at", closed))
+    columns = ["reading_id", "instance_id", "sensor_type", "value", "measured_at"]
+    at = F.col("measured_at").cast("timestamp")
+    return latest_of_feed(
+        feed.select(columns).unionByName(recent.withColumn("measured_at", at).select(columns))
+    )
+
+
 def latest_of_feed(feed: DataFrame) -> DataFrame:
     """The newest reading per item and sensor type of the rows ``st_latest_reading`` wrote."""
     out = latest(feed, ["instance_id", "sensor_type"], ["measured_at", "reading_id"])

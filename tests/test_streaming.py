@@ -8,10 +8,12 @@ import pytest
 
 from looptrace.plans import sensors
 from looptrace.session import scratch_dir
-from looptrace.sources.files import write_log
+from looptrace.sources.files import read_log, write_log
 from looptrace.streaming.feeds import run_to_files, stream_log
 from looptrace.streaming.loans import st_overdue
-from looptrace.streaming.telemetry import latest_of_feed, st_latest_reading, st_temp_breaches
+from looptrace.streaming.telemetry import (
+    latest_of_feed, latest_running, st_latest_reading, st_temp_breaches,
+)
 
 from .conftest import at, tuples
 
@@ -52,6 +54,22 @@ def test_latest_reading_equals_batch(spark, table, tmp_path):
     assert sorted(map(str, tuples(got))) == sorted(map(str, tuples(want)))
 
 
+def test_running_latest_reading_has_the_newest(spark, table, tmp_path):
+    rows = [reading(i, i % 3 or None, i % 40, f"2025-01-01 {i % 20:02d}:{i % 60:02d}:00",
+                    "shock" if i % 2 else "humidity") for i in range(200)]
+    rows += [reading(999, 5, 1, "2025-01-03 00:00:00"), reading(998, 1, 1, "2025-01-02 23:30:00")]
+    log = table("sensor_readings", *rows)
+    write_log(log, str(tmp_path / "log"), "sensor_readings")
+    log = read_log(spark, str(tmp_path / "log"), "sensor_readings")
+    for stream in (feed(spark, table, tmp_path, "sensor_readings", rows[:150], rows[150:]),
+                   feed(spark, table, tmp_path / "few", "sensor_readings", rows[-2:])):
+        out = run_to_files(spark, st_latest_reading(stream), "running")
+        source = log if out.count() else table("sensor_readings", *rows[-2:])
+        want = sensors.sen_latest_reading(source)
+        assert sorted(map(str, tuples(latest_running(out, source)))) == sorted(
+            map(str, tuples(want)))
+
+
 @pytest.mark.parametrize("longest", [None, 90])
 def test_overdue(spark, table, tmp_path, longest):
     out = feed(
