@@ -33,7 +33,9 @@ TABLES, FUNCTIONS = 8, 2
 PROBES = 1 + FUNCTIONS  # buckets of a table that a vector is in: its own, then the probed ones
 BLOCK = 1500  # classes of a bucket that a task takes in one block
 TASK_ROWS = 20_000  # rows of small buckets that go to one task, about
+SENT_BUCKETS = 100_000  # large buckets, known by number and blocks, that are sent to every task
 SEED = 20
+CODE = np.int32 if FUNCTIONS <= 2 else np.int64  # holds FUNCTIONS codes of up to 2**15 entries
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +63,7 @@ def codes(unit: np.ndarray) -> np.ndarray:
     start = np.zeros((len(unit), size), np.float32)
     start[:, : unit.shape[1]] = unit
     rows = np.arange(len(unit))
-    out = np.zeros((len(unit), TABLES, PROBES), np.int64)
+    out = np.zeros((len(unit), TABLES, PROBES), CODE)
     for t in range(TABLES):
         best, second = [], []
         for f in range(FUNCTIONS):
@@ -119,7 +121,7 @@ def hashed(docs: DataFrame) -> DataFrame:
     return append(docs, fields, build, ("embedding", "label_key", "valid"))
 
 
-def bucket_rows(classes: DataFrame) -> DataFrame:
+def bucket_rows(classes: DataFrame, only_buckets: bool = False) -> DataFrame:
     """A row per class, table and bucket: bucket, table, own, and the class's key, raw, codes, m."""
 
     def explode(batches):
@@ -127,13 +129,18 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            c = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            c = np.frombuffer(b"".join(batch.column(2).to_pylist()), CODE).astype(np.uint64)
             c = c.reshape(n, TABLES, PROBES)
             salt = np.array(batch.column(3).to_pylist(), np.int64).view(np.uint64)
             salt = salt ^ np.array([len(r) for r in batch.column(1).to_pylist()], np.uint64)
             at = np.arange(TABLES, dtype=np.uint64)[None, :, None]
-            hashes = (c.view(np.uint64) * np.uint64(64) + at) * MULTIPLIER
+            hashes = (c * np.uint64(64) + at) * MULTIPLIER
             hashes = ((hashes ^ (hashes >> np.uint64(31))) + salt[:, None, None]) * MULTIPLIER
+            if only_buckets:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64).ravel())], names=["bucket"]
+                )
+                continue
             for t in range(TABLES):
                 for p in range(PROBES):
                     yield pa.RecordBatch.from_arrays(
@@ -145,6 +152,7 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
     return classes.select("key", "raw", "codes", "label_key", "m").mapInArrow(
         explode,
+        "bucket long" if only_buckets else
         "bucket long, table int, own boolean, key binary, raw binary, codes binary,"
         " label_key long, m long",
     )
@@ -173,7 +181,7 @@ def bucket_links(part: dict, dtype, link: float, across: bool) -> list[tuple[byt
 def _links(part: dict, side: np.ndarray, dtype, link: float, across: bool) -> list[tuple[bytes, bytes, int]]:
     n = len(side)
     vectors = unit_rows(np.frombuffer(b"".join(part["raw"]), dtype).reshape(n, -1))
-    coded = np.frombuffer(b"".join(part["codes"]), np.int64).reshape(n, TABLES, PROBES)
+    coded = np.frombuffer(b"".join(part["codes"]), CODE).reshape(n, TABLES, PROBES)
     own = np.array(part["own"])
     table = part["table"][0]
     near = vectors @ vectors.T >= link
@@ -211,13 +219,21 @@ def _links(part: dict, side: np.ndarray, dtype, link: float, across: bool) -> li
 
 def class_links(classes: DataFrame, dtype: str, link: float = LINK, block: int = BLOCK) -> DataFrame:
     """(key, other, links) parts: sum the links by key; key and other are joined."""
-    rows = stored(bucket_rows(classes), "buckets")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    bins = partitions_for(total, TASK_ROWS)
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    spread = rows.join(sizes.select("bucket", blocks.alias("blocks")), "bucket").withColumn(
-        "side", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
+    sizes = bucket_rows(classes, only_buckets=True).groupBy("bucket").agg(F.count("*").alias("n"))
+    large = stored(
+        sizes.where(F.col("n") > block).select(
+            "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")
+        ),
+        "large",
+    )
+    if large.count() <= SENT_BUCKETS:
+        large = F.broadcast(large)
+    rows = bucket_rows(classes)
+    bins = partitions_for(classes.count() * TABLES * PROBES, TASK_ROWS)
+    spread = (
+        rows.join(large, "bucket", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("side", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     )
     whole = F.col("blocks") == 1
     tasks = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -236,6 +252,8 @@ def class_links(classes: DataFrame, dtype: str, link: float = LINK, block: int =
         across = group["lo"][0].as_py() < group["hi"][0].as_py()
         found = []
         for s, e in zip([0, *cuts], [*cuts, len(order)]):
+            if e - s < 2:
+                continue
             found += bucket_links({c: v[s:e] for c, v in columns.items()}, dtype, link, across)
         return pa.table({
             "key": pa.array([f[0] for f in found], pa.binary()),
