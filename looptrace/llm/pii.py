@@ -111,7 +111,7 @@ def windows(text: str) -> list[tuple[int, int]]:
 def holds(kind: str, found: str) -> bool:
     """What a span of a kind must have, however it is written."""
     digits = only_digits(found)
-    if not (SPELT_OUT if kind == "email" else NUMBERED).fullmatch(found):
+    if not (SPELT_OUT if kind == "email" else NUMBERED).fullmatch(found) or not balanced(found):
         return False
     if kind == "email":
         lowered = found.lower()
@@ -125,6 +125,21 @@ def holds(kind: str, found: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without signs around it, but for brackets that close in it."""
+    while start < end and not text[start].isalnum() and text[start] != "+" and not (
+        text[start] == "(" and ")" in text[start:end]
+    ):
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    return start, end
+
+
+def balanced(text: str) -> bool:
+    return all(text.count(a) == text.count(b) for a, b in ("()", "[]", "{}", "<>"))
+
+
 def added_spans(texts: list[str], base: list[list[Span]], model: crf.Model) -> list[list[Span]]:
     """The spans that the CRF adds to each text, decoded in one batch."""
     places, rows, cut = [], [], []
@@ -149,7 +164,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: crf.Model) -> l
             t += 1
             while t < len(names) and names[t] == f"I-{kind}":
                 t += 1
-            a, b = start + toks[first][0], start + toks[t - 1][1]
+            a, b = trimmed(texts[i], start + toks[first][0], start + toks[t - 1][1])
             if holds(kind, texts[i][a:b]) and not any(
                 a < y and x < b for _, x, y in base[i] + out[i]
             ):
@@ -162,59 +177,134 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in ordered)
 
 
-# The written part of the labelled table: spans are marked {kind|text}; digits and names in them are
-# drawn anew for every copy.
-LINES = (
-    "please write to {email|anna.meier at mail dot example dot com} before noon",
-    "mail {email|j.doe (at) example (dot) org} for details",
-    "contact: {email|bob_smith [at] host [dot] example [dot] net}.",
-    "send it to {email|info@example.com} or {email|sales@mail.example.org}, thanks",
-    "reach me via {email|lee @ example . com} today",
-    "the address {email|kim@example [dot] com} is old",
-    "she was at home and the dot on the map was red",
-    "look at the red dot on the left of the page",
-    "call {phone|+1 (555) 555-0101} now",
-    "tel {phone|(555) 555-0187} or {phone|555-555-0199}",
-    "phone: {phone|0049 30 1234567} in the office",
-    "mobile {phone|+44 20 7946 0958}, fax {phone|020 7946 0999}",
-    "call {phone|555.555.0142} after five",
-    "the host {ip|192.168.10.7} did not answer",
-    "ip {ip|10 . 0 . 200 . 14} and {ip|172[.]16[.]4[.]9} were seen",
-    "from {ip|203.0.113.9} port 8080",
-    "card {card|4111 1111 1111 1111} was charged",
-    "visa {card|4012-8888-8888-1881} expires 12/27",
-    "card no {card|5500.0000.0000.0004} is blocked",
-    "paid with {card|378282246310005} at noon",
-    "on 2024-05-17 at 10:45 we sold 12,345 pieces for 1,299.50",
-    "version 4.0 of 2021 and build 10.2.33 were released",
-    "order no 483920175 has 3 items, see page 1204 of volume 12",
-    "the id is 7302918455120934 and the sum 99817263",
-    "token = 4be64439e3e49cf46b2d7c90f3602a3d and key 908038b7daaf91",
-    "between 1914 and 1918 about 20000000 people, or 3.14159265 percent",
-    "ratio 1920/1080 at 60 or 2560/1440 at 144",
-    "licensed under the terms, version 2.0 of 2004-01-01",
-)
+# The written part of the labelled table: forms of each kind, text that is none, and lines to put
+# either in. Digits are drawn anew for every copy, and so are all words but the cues.
+FORMS = {
+    "email": """
+anna.meier at mail dot example dot com
+meier at example dot com
+ANNA AT EXAMPLE DOT ORG
+anna dot meier at example dot com
+j.doe (at) example (dot) org
+j_doe(at)example(dot)org
+j.doe(at)mail.example.net
+bob_smith [at] host [dot] example [dot] net
+bob[at]example[dot]org
+bob-smith [at] example.com
+lee @ example . com
+kim@example [dot] com
+kim @ mail.example.com
+x99 <at> host <dot> com
+info@example.com
+sales@mail.example.org
+""".strip().split("\n"),
+    "phone": """
++1 (555) 555-0101
++44 20 7946 0958
++49-30-1234567
+(555) 555-0187
+555-555-0199
+1-555-555-0199
+555.555.0142
+555 555 0142
+0049 30 1234567
+00 49 171 1234567
+020 7946 0999
+0171/1234567
+0171 - 1234567
+030 1234567
+""".strip().split("\n"),
+    "ip": """
+192.168.10.7
+10 . 0 . 200 . 14
+172[.]16[.]4[.]9
+192.168.1[.]10
+172.16.0(.)1
+10(.)0(.)0(.)12
+203.0.113.9
+""".strip().split("\n"),
+    "card": """
+4111 1111 1111 1111
+4012-8888-8888-1881
+5500.0000.0000.0004
+5500/0000/0000/0004
+4111 - 1111 - 1111 - 1111
+378282246310005
+4111111111111111
+""".strip().split("\n"),
+}
+NONE = """
+she was at home and the dot on the map was red
+look at the dot at the left of the page
+a dot at the end
+2024-05-17 at 10:45
+17.05.2024 10:30:45
+2023-05-12 to 2024-06-13
+1,299.50 of 12,345 pieces
+1,234,567.89
+version 4.0 and build 10.2.33
+v1.2.3.4.5 of 20230512
+order no 483920175 has 3 items
+page 12-15, 17-19, 21-23
+ISBN 978-3-16-148410-0
+id 123-45-6789
+4be64439e3e49cf46b2d7c90f3602a3d
+token = "908038b7daaf91e4"
+between 1914 and 1918 about 20000000
+1999, 2001 and 2010 there were 12345678
+3.14159 26535 89793
+48.2082, 16.3738
+1920/1080 at 60
+2560 x 1440 at 144
+7302918455120934 units
+CC BY-NC 4.0.
+Version 2.0 of 2004-01-01
+""".strip().split("\n")
+CARRIERS = """
+{}
+the {} and
+please write {} before noon
+contact: {}.
+mail {} for details, thanks
+call {} now
+tel {}
+phone: {} in the office
+host {} did not answer
+card {} was charged.
+Ouon ai ({}), le que
+und die {} ist
+""".strip().split("\n")
 COPIES = 8
 
 
+def redrawn(text: str, draw: random.Random, numbers_below_256: bool) -> str:
+    """The same form with other digits, and other words but for the cues."""
+
+    def number(m: re.Match) -> str:
+        if numbers_below_256:
+            return str(draw.randrange(256))
+        return "".join(str(draw.randrange(10)) for _ in m[0])
+
+    def word(m: re.Match) -> str:
+        if m[0].lower() in crf.CUES:
+            return m[0]
+        new = "".join(draw.choice("abcdefghiklmnoprstuvw") for _ in range(draw.randrange(2, 11)))
+        return new.upper() if m[0].isupper() else new
+
+    return re.sub(r"[A-Za-z]+", word, re.sub(r"[0-9]+", number, text))
+
+
 def written_rows(seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """The written lines, each several times with digits and letters of its spans drawn anew."""
+    """The written forms, each several times in lines of all sorts."""
     draw, rows = random.Random(seed), []
-    for line in LINES:
-        for _ in range(COPIES):
-            text, spans = "", []
-            for piece in re.split(r"(\{[a-z]+\|[^}]*\})", line):
-                kind, _, value = piece[1:-1].partition("|") if piece[:1] == "{" else ("", "", piece)
-                if kind in ("phone", "card"):
-                    value = "".join(str(draw.randrange(10)) if c.isdigit() else c for c in value)
-                elif kind == "ip":
-                    value = re.sub(r"[0-9]+", lambda m: str(draw.randrange(256)), value)
-                elif not kind:
-                    value = re.sub(r"[0-9]", lambda m: str(draw.randrange(10)), value)
-                if kind:
-                    spans.append((kind, len(text), len(text) + len(value)))
-                text += value
-            rows.append((text, spans))
+    for kind, forms in [*FORMS.items(), ("", NONE)]:
+        for form in forms:
+            for _ in range(COPIES):
+                found = redrawn(form, draw, kind == "ip") if kind else re.sub(
+                    "[0-9]", lambda m: str(draw.randrange(10)), form)
+                before, after = draw.choice(CARRIERS).split("{}")
+                spans = [(kind, len(before), len(before) + len(found))] if kind else []
+                rows.append((before + found + after, spans))
     return rows
 
 
