@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from looptrace.session import stored
 
+SENT_KEYS = 50_000  # frequent keys that are sent to every task, at most
+FREQUENT_ROWS = 500  # rows of a key that is never sent
 ROWS_AT_ONCE = 512  # texts that a Python function sees together; bounds its memory
 
 
@@ -56,12 +58,35 @@ def partitions_for(total: int, each: int) -> int:
     return max(1, -(-int(total) // each))
 
 
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """`rows` with what `per_key` has for their key: one row per key, and in `rows_of` how many
+    rows have it.
+
+    The rows of a very frequent key would meet in one task. So keys with more than a share of
+    1 / SENT_KEYS of all rows, which are fewer than SENT_KEYS whatever the data, are sent to every
+    task instead, and only the rows of the others are shuffled.
+    """
+    per_key = stored(per_key, "per-key")
+    total = per_key.agg(F.sum("rows_of")).first()[0] or 0
+    often = per_key.where(F.col("rows_of") > max(FREQUENT_ROWS, total // SENT_KEYS))
+    near = rows.join(F.broadcast(often), key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(per_key, key)
+    return near.unionByName(rest).drop("rows_of")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    tops = edges.select(F.col("v").alias("u")).distinct()
+    return twice.unionByName(edges.select("u").join(tops, "u", "left_semi")).isEmpty()
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, component): the smallest node that the edges (a, b) reach, for every node on an edge.
 
     Large-star and small-star steps: every node hooks its neighbours to the smallest of them, until
-    all point at their component's smallest node. Only edges move; a hub's neighbours are never
-    gathered in a row, and adaptive execution splits a hub's part of the join.
+    all point at their component's smallest node. Only edges move, and a hub's neighbours are
+    neither gathered in a row nor in a task.
     """
     edges = stored(
         edges.where("a <> b")
@@ -69,16 +94,19 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         .distinct(),
         purpose,
     )
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows_of"))
+        least = least.select("u", F.least("u", "m").alias("m"), "rows_of")
+        large = stored(
+            join_counted(both, least, "u")
+            .where("v > u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .distinct(),
+            purpose,
+        )
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows_of"))
+        small = join_counted(large, lowest, "u")
         edges = stored(
             small.where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -86,12 +114,6 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
             .distinct(),
             purpose,
         )
-        now = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from looptrace.llm.common import append, components, partitions_for, stored
+from looptrace.llm.common import append, components, join_counted, partitions_for, stored
 
 LINK = 0.98
 TABLES, FUNCTIONS = 8, 2
@@ -302,14 +302,15 @@ def near_vectors(docs: DataFrame, link: float = LINK) -> DataFrame:
         .join(joined.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("component", F.coalesce("component", "key"))
     )
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    per_class = stored(
-        named.join(lowest, "component").select(
-            "key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id"
-        ),
-        "named",
+    named = stored(named, "components")
+    lowest = named.groupBy("component").agg(
+        F.min("low").alias("component_id"), F.count("*").alias("rows_of")
+    )
+    per_class = join_counted(named, lowest, "component").select(
+        "key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id",
+        F.col("m").alias("rows_of"),
     )
-    linked = good.join(per_class, "key").select("vec_id", "n_links", "component_id")
+    linked = join_counted(good, per_class, "key").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT valid").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )

@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from looptrace.llm.common import append, components, partitions_for, stored, utf8
+from looptrace.llm.common import (
+    append, components, join_counted, partitions_for, stored, utf8,
+)
 
 SHINGLE = 5
 BAND, BANDS = 5, 25  # at a similarity of 0.85 a pair shares no band in fewer than one of 10**6 cases
@@ -242,18 +244,23 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     found = near_classes(base, rows, link)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
     classes = (
-        rows.where("n_shingles > 0").groupBy("key").agg(first.alias("f"))
+        rows.where("n_shingles > 0")
+        .groupBy("key")
+        .agg(first.alias("f"), F.count("*").alias("rows_of_key"))
         .join(found, "key", "left")
-        .select("key", "f", F.coalesce("component", "key").alias("component"))
+        .select("key", "f", "rows_of_key", F.coalesce("component", "key").alias("component"))
     )
-    lowest = classes.groupBy("component").agg(F.min("f").alias("f"))
+    classes = stored(classes, "components")
+    lowest = classes.groupBy("component").agg(F.min("f").alias("f"), F.count("*").alias("rows_of"))
     named = stored(
-        classes.drop("f").join(lowest, "component").select(
-            "key", F.col("f.doc_id").alias("component_id"), F.col("f.text_hash").alias("one_hash")
+        join_counted(classes.drop("f"), lowest, "component").select(
+            "key", "rows_of_key", F.col("f.doc_id").alias("component_id"),
+            F.col("f.text_hash").alias("one_hash"),
         ),
         "named",
     )
-    full = rows.where("n_shingles > 0").join(named, "key").select(
+    named = named.withColumnRenamed("rows_of_key", "rows_of")
+    full = join_counted(rows.where("n_shingles > 0"), named, "key").select(
         "doc_id", "text_hash", "n_shingles", "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
         (F.col("doc_id").eqNullSafe(F.col("component_id"))

@@ -63,3 +63,16 @@ def test_components(spark):
     want = {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90, 199: 199, 200: 199}
     assert sorted((r.node, r.component) for r in got) == sorted(want.items())
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_frequent_keys_are_sent(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k long, v long")
+    rows = rows.unionByName(spark.createDataFrame([(None, -1)], "k long, v long"))
+    per_key = rows.groupBy("k").agg({"v": "min", "*": "count"}).toDF("k", "a", "b")
+    least = "a" if per_key.where("k = 0").first().a < per_key.where("k = 0").first().b else "b"
+    per_key = per_key.selectExpr("k", f"{least} AS least", f"{'ab'.replace(least, '')} AS rows_of")
+    want = sorted((r.k, r.v, r.least) for r in rows.join(per_key, "k").collect())
+    for often in (0, 60, 1000):
+        monkeypatch.setattr(common, "FREQUENT_ROWS", often)
+        got = common.join_counted(rows, per_key, "k")
+        assert sorted((r.k, r.v, r.least) for r in got.collect()) == want
