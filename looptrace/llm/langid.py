@@ -40,7 +40,7 @@ BEYOND = 1.5  # times the worst calibrating text that is not rejected either
 def _letters() -> np.ndarray:
     """The lowered letter of each code point, folded to 16 bits; a space for all others."""
     table = np.full(0x110000, SPACE, np.uint16)
-    for c in range(0x30000):
+    for c in range(0x33000):  # no letters are assigned beyond
         if chr(c).isalpha():
             table[c] = max(ord(chr(c).lower()[0]) & 0xFFFF, SPACE + 1)
     return table
