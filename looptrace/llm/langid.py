@@ -29,6 +29,7 @@ from looptrace.llm.common import append
 
 ORDER = 4
 MAX_CHARS = 1_500_000  # per language, about, that the counts are taken from
+FEW_CHARS = 100_000  # a language with fewer is counted in full, calibrating texts included
 MAX_DOCS = 400  # per language, about, that calibrate
 SPACE = 32
 UND = "und"
@@ -219,6 +220,7 @@ def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_D
         *(x for k, chars in sizes.items()
           for x in (F.lit(k), F.lit(min(1.0, max_chars / max(chars, 1)))))
     )
+    small = [k for k, chars in sizes.items() if chars < FEW_CHARS]
     calibrates = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(8)) == 0
     sample = rows.where(point < share[F.col("lang")]).withColumn("calibrates", calibrates)
 
@@ -238,7 +240,7 @@ def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_D
                 )
 
     counted = (
-        sample.where("NOT calibrates")
+        sample.where(~F.col("calibrates") | F.col("lang").isin(small))
         .select("text", "lang")
         .mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
@@ -248,15 +250,8 @@ def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_D
     lang = np.array(counted["lang"].to_pylist(), object)
     gram = counted["gram"].to_numpy().view(np.uint64)
     n = counted["n"].to_numpy()
-    if not len(lang):  # a table so small that its rows all calibrate, or without letters
-        sample = rows.withColumn("calibrates", F.lit(True))
-        counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy(
-            "lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-        lang = np.array(counted["lang"].to_pylist(), object)
-        gram = counted["gram"].to_numpy().view(np.uint64)
-        n = counted["n"].to_numpy()
-        if not len(lang):
-            return None
+    if not len(lang):  # no text has a letter
+        return None
     counts = {}
     for name in sorted(set(lang)):
         own = lang == name

@@ -85,7 +85,7 @@ class Lengths(dict):
         return len(self.encoder.plain(text))
 
 
-_lengths: dict[int, Lengths] = {}
+_lengths: dict[tuple[str, int], Lengths] = {}
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
     sent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
 
     def build(text: pa.Array) -> list[pa.Array]:
-        key = id(sent.value)
+        key = path, id(sent.value)
         if key not in _lengths:
             _lengths.clear()
             _lengths[key] = Lengths(tokens.encoder(path), sent.value)

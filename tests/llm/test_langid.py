@@ -100,6 +100,14 @@ def test_rows_of_any_kind(docs):
     assert langid.predict(docs(), model).collect() == []
 
 
+def test_every_language_is_learned(docs):
+    rows = [(i, f"{chr(97 + i) * 3} {chr(98 + i) * 4} " * 5, f"l{i}") for i in range(20)]
+    model = langid.train(docs(*rows))
+    assert sorted(model.languages) == sorted(r[2] for r in rows)
+    out = langid.predict(docs(*rows), model).collect()
+    assert all(r.lang == r.lang_pred for r in out)
+
+
 def test_nothing_to_learn_from(docs):
     assert langid.train(docs((1, EN, None), (2, None, "en"))) is None
     assert [r.lang_pred for r in langid.predict(docs((1, EN)), None).collect()] == ["und"]
