@@ -147,8 +147,11 @@ def train(
         inside = np.exp(np.minimum(ahead + behind - total[:, None, None], 0)) * real[:, :, None]
         slope = gold - inside
         grads = [np.zeros_like(weights[0]), (moves - expected) / count]
+        by_label = slope.transpose(2, 0, 1).reshape(n, -1) / count
         for o in range(2 * AROUND + 1):
-            np.add.at(grads[0][o], ids[:, o : o + steps], slope / count)
+            seen_at = ids[:, o : o + steps].ravel()
+            for k in range(n):
+                grads[0][o][:, k] = np.bincount(seen_at, by_label[k], len(shapes) + 2)
         for w, g, m, v in zip(weights, grads, first, second):
             g -= penalty * w
             m += 0.1 * (g - m)

@@ -29,7 +29,8 @@ from looptrace.llm.common import append
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 2_000  # documents, about, whose windows join the labelled table
-WINDOWS = 300  # of them that do, at most
+WINDOWS = 200  # of them that do, at most, and of at most LONGEST_WINDOW characters
+LONGEST_WINDOW = 240
 MARGIN = 48  # characters beside a find that the CRF sees
 Span = tuple[str, int, int]
 
@@ -331,7 +332,7 @@ def sampled_rows(docs: DataFrame) -> list[tuple[str, list[Span]]]:
 
     found = (
         sample.mapInArrow(cut, "w string, s string")
-        .where(F.length("w") <= 400)
+        .where(F.length("w") <= LONGEST_WINDOW)
         .orderBy(F.xxhash64("w"), "w")
         .limit(WINDOWS)
         .collect()
