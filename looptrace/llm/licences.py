@@ -1,22 +1,28 @@
 """Licence notices in whole texts, by the Dice coefficient of word bigrams with templates.
 
-Texts and templates are lowered and cut into words; lines that only claim copyright are left out.
-The units of a text are its sentences, lines, paragraphs and the whole. A unit is compared with a
-template only if their numbers of bigrams allow a coefficient of LEAST or more, and a text is
-looked at only if it has a probe word of some template: a template's probe words are in so many of
-its bigrams that no unit without one can reach LEAST. Neither bound loses a match.
-
-A unit goes to the template of the highest coefficient, of equals to the first by name. A text's
-licence is that of its best unit, of equals the earliest. A null or empty text has no licence.
-Repeated rows are scanned each; empty tables give no rows; columns named like a result are
-replaced, others pass through.
+Texts and templates are lowered and cut into words. A notice may stand anywhere in a text's words,
+within a line or over many: for each template every window of words is compared that can reach
+LEAST, once in all words and once in those of the lines that don't just claim copyright. A template
+is looked for only in texts that have enough of its bigrams, and no window grows beyond the sizes
+that allow LEAST or past a repetition of its first bigram, which adds nothing. No bound loses a
+match.
+
+Of overlapping windows of one template that of the highest coefficient stays, then of those of
+different templates that with the most bigrams in common. A window goes to the template of the
+highest coefficient, of equals to the first by name. Each line has the best of the windows that
+start on it, and a text's licence is that of the best, of equals the earliest; "All rights
+reserved" yields to any other. A null or empty text has no licence. Repeated rows are scanned each;
+empty tables give no rows; columns named like a result are replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -24,6 +30,7 @@ from pyspark.sql import types as T
 from looptrace.llm.common import append
 
 LEAST = 0.8
+RESERVED = "Proprietary"  # stands beside the claims of other licences too
 
 # Usual notices and the opening or whole text of short licences, by name.
 TEMPLATES = {
@@ -101,7 +108,7 @@ TEMPLATES = {
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 CLAIM = re.compile(r"\s*(?:copyright\b|\(c\)|©)", re.I)
-SENTENCE = re.compile(r"(?<=[.!?;:])[ \t]+")
+CLAIM_LINE = re.compile(r"^\s*(?:copyright\b|\(c\)|©)", re.I | re.M)
 Bigrams = frozenset[tuple[str, str]]
 
 
@@ -118,30 +125,87 @@ def dice(a: Bigrams, b: Bigrams) -> float:
     return 2 * len(a & b) / (len(a) + len(b))
 
 
+class Words:
+    """A sequence of words as numbered bigrams: where each stands before and next."""
+
+    def __init__(self, words: list[str], places: list[int]):
+        self.words, self.places = words, places
+        number: dict[tuple[str, str], int] = {}
+        self.ids = np.array(
+            [number.setdefault(p, len(number)) for p in zip(words, words[1:])], np.int64
+        )
+        self.pairs = list(number)
+        n = len(self.ids)
+        order = np.argsort(self.ids, kind="stable")
+        same = self.ids[order][1:] == self.ids[order][:-1]
+        self.before, self.next = np.full(n, -1), np.full(n, n)
+        self.before[order[1:][same]] = order[:-1][same]
+        self.next[order[:-1][same]] = order[1:][same]
+
+    def windows(self, template: Bigrams, least: float) -> list[tuple[float, int, int, int]]:
+        """(coefficient, bigrams in common, first, last bigram) of each start's best window.
+
+        The best window starts and ends with bigrams of the template, and its first bigram doesn't
+        stand in it again: without that it would be as good or better.
+        """
+        size, most = len(template), len(template) * (2 - least) / least + 1e-9
+        hits = np.array([p in template for p in self.pairs], bool)[self.ids]
+        found = []
+        for s in np.flatnonzero(hits).tolist():
+            stop, length = int(self.next[s]), int(2 * most) + 8
+            while True:
+                e = min(stop, s + length)
+                new = self.before[s:e] < s
+                distinct = np.cumsum(new)
+                if e == stop or distinct[-1] > most:
+                    break
+                length *= 2
+            on = hits[s:e]
+            common = np.cumsum(new & on)
+            scores = np.where(on & (distinct <= most), 2 * common / (distinct + size), 0)
+            at = int(scores.argmax())
+            if scores[at] >= least:
+                found.append((float(scores[at]), int(common[at]), s, s + at))
+        return found
+
+
+def apart(spans: list[tuple]) -> list[tuple]:
+    """Of spans (..., first, last) in order of preference those that overlap none before them."""
+    kept, starts, ends = [], [], []
+    for span in spans:
+        at = bisect(starts, span[-1])
+        if not at or ends[at - 1] < span[-2]:
+            kept.append(span)
+            starts.insert(at, span[-2])
+            ends.insert(at, span[-1])
+    return kept
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] | None = None, least: float = LEAST):
         templates = TEMPLATES if templates is None else templates
         self.least = least
         self.known = sorted(
-            (name, found)
-            for name, texts in templates.items()
-            for found in {bigrams(normal_words([" ".join(t.split())])) for t in texts}
-            if found
+            (
+                (name, found)
+                for name, texts in templates.items()
+                for found in {bigrams(normal_words([" ".join(t.split())])) for t in texts}
+                if found
+            ),
+            key=lambda x: (x[0], sorted(x[1])),
+        )
+        self.enough = [len(b) * least / (2 - least) - 1e-9 for _, b in self.known]
+        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for k, (_, found) in enumerate(self.known):
+            for pair in found:
+                self.having[pair].append(k)
+
+    def possible(self, words: list[str]) -> list[int]:
+        """The templates of which a text has as many bigrams as a match shares."""
+        shared = Counter(
+            k for p in self.having.keys() & set(zip(words, words[1:])) for k in self.having[p]
         )
-        self.smallest = min((len(b) for _, b in self.known), default=0) * least / (2 - least)
-        self.largest = max((len(b) for _, b in self.known), default=0) * (2 - least) / least
-        self.probes = sorted({w for _, found in self.known for w in self._probes(found)})
-
-    def _probes(self, found: Bigrams) -> list[str]:
-        """Words, the longest first, until the bigrams without any are too few to reach `least`:
-        a match shares at least least / (2 - least) of a template's bigrams."""
-        enough = len(found) * self.least / (2 - self.least)
-        chosen: list[str] = []
-        for word in sorted({w for pair in found for w in pair}, key=lambda w: (-len(w), w)):
-            if sum(not set(pair) & set(chosen) for pair in found) < enough - 1e-9:
-                break
-            chosen.append(word)
-        return chosen
+        return sorted(k for k, n in shared.items() if n >= self.enough[k])
 
     def best(self, unit: Bigrams) -> tuple[str, float] | None:
         """The template closest to a unit, if one is close enough."""
@@ -155,30 +219,37 @@ class Scanner:
         return found
 
     def units(self, text: str) -> Iterator[tuple[int, list[str]]]:
-        """(line number, words) of the sentences, lines, paragraphs of some lines, and the whole."""
-        lines = text.split("\n")
-        start = 0
-        for i, line in enumerate([*lines, ""]):
-            if line.strip():
-                parts = SENTENCE.split(line)
-                if len(parts) > 1:
-                    for part in parts:
-                        yield i, normal_words([part])
-                yield i, normal_words([line])
-            else:
-                if i - start > 1:
-                    yield start, normal_words(lines[start:i])
-                start = i + 1
-        yield 0, normal_words(lines)
+        """(line number, words) of the windows that are close to some template, in order."""
+        found = [WORD.findall(line.lower()) for line in text.split("\n")]
+        claims = [bool(CLAIM.match(line)) for line in text.split("\n")]
+        words = [w for line in found for w in line]
+        line_of = [i for i, line in enumerate(found) for _ in line]
+        sequences = [Words(words, list(range(len(words))))]
+        if any(claims):
+            left = [k for k, i in enumerate(line_of) if not claims[i]]
+            sequences.append(Words([words[k] for k in left], left))
+        chosen = []
+        for k in sorted({k for q in sequences for k in self.possible(q.words)}):
+            windows = [
+                (score, common, q, first, last, q.places[first], q.places[last + 1])
+                for q in sequences
+                for score, common, first, last in q.windows(self.known[k][1], self.least)
+            ]
+            windows.sort(key=lambda w: (-w[0], w[5], w[6]))
+            chosen += apart(windows)
+        chosen.sort(key=lambda w: (-w[1], -w[0], w[5], w[6]))
+        for _, _, q, first, last, place, _ in sorted(apart(chosen), key=lambda w: w[5]):
+            yield line_of[place], q.words[first : last + 2]
 
     def scan(self, text: str) -> list[tuple[int, str, float]]:
-        """(line, licence, coefficient) of a text's units that match, each line's best."""
-        lowered = text.lower()
-        if not any(p in lowered for p in self.probes):
+        """(line, licence, coefficient) of a text's windows that match, each line's best."""
+        if not self.possible(words := WORD.findall(text.lower())) and not (
+            CLAIM_LINE.search(text) and len(words) > 1 and self.possible(normal_words(text.split("\n")))
+        ):
             return []
         found: dict[int, tuple[str, float]] = {}
         for line, words in self.units(text):
-            if self.smallest <= len(words) and (got := self.best(bigrams(words))):
+            if got := self.best(bigrams(words)):
                 if line not in found or got[1] > found[line][1]:
                     found[line] = got
         return [(line, *found[line]) for line in sorted(found)]
@@ -201,7 +272,8 @@ def licences(docs: DataFrame, templates: dict[str, list[str]] | None = None,
 
     def build(column: pa.Array) -> list[pa.Array]:
         rows = [scanner.scan(t) if t else [] for t in column.to_pylist()]
-        tops = [max(r, key=lambda x: (x[2], -x[0])) if r else (None, None, None) for r in rows]
+        tops = [max(r, key=lambda x: (x[1] != RESERVED, x[2], -x[0])) if r else (None,) * 3
+                for r in rows]
         return [
             pa.array([t[1] for t in tops], pa.string()),
             pa.array([t[2] for t in tops], pa.float64()),

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from looptrace.llm import licences
@@ -43,3 +45,35 @@ def test_rows_of_any_kind(docs):
         (i, None, 0, "") for i in (2, 3, 4, 5)] + [
         (6, "CC-BY-NC-4.0", 2, "1:CC-BY-NC-4.0,2:MIT")], key=str)
     assert licences.licences(docs()).collect() == []
+
+
+@pytest.mark.parametrize("text, name", [
+    ("This project is licensed under the MIT License.", "MIT"),
+    ("This software is released under the MIT license, see below.", "MIT"),
+    ("Distributed under the MIT License.", "MIT"),
+    ("int main() { // Copyright 2020 Bob, released under the MIT License. */ return 0; }", "MIT"),
+    ("<p>About us</p> " + " ".join(licences.TEMPLATES["MIT"][2].split()) + " <a>more</a> " * 200, "MIT"),
+    (licences.TEMPLATES["BSD-2-Clause"][1].replace(" 1.", "\n\n1.").replace(" 2.", "\n\n2."),
+     "BSD-2-Clause"),
+    ("# " + licences.TEMPLATES["Apache-2.0"][2].replace("\n", "\n# ") + "\nimport os\nx = 1\n" * 50,
+     "Apache-2.0"),
+])
+def test_notices_inside_longer_units(text, name):
+    got = licences.Scanner().scan("Some words before.\n" + text + "\nand after")
+    assert name in {n for _, n, _ in got}
+
+
+def test_windows_against_all_windows():
+    draw = random.Random(3)
+    template = licences.bigrams("a b c d e f".split())
+    for _ in range(400):
+        words = draw.choices("abcdefx", k=draw.randrange(2, 30))
+        best = max(
+            licences.dice(licences.bigrams(words[i:j]), template)
+            for i in range(len(words)) for j in range(i + 2, len(words) + 1)
+        )
+        found = licences.Words(words, list(range(len(words)))).windows(template, 0.5)
+        assert max((w[0] for w in found), default=0) == (pytest.approx(best) if best >= 0.5 else 0)
+        for score, _, first, last in found:
+            assert score == pytest.approx(
+                licences.dice(licences.bigrams(words[first : last + 2]), template))
