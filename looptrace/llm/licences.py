@@ -21,6 +21,8 @@ import re
 from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,116 @@ TEMPLATES = {
     ],
 }
 
+FAMILIES = {
+    "GPL": ("GNU General Public License", ("1.0", "2.0", "3.0")),
+    "LGPL": ("GNU Lesser General Public License", ("2.1", "3.0")),
+    "AGPL": ("GNU Affero General Public License", ("1.0", "3.0")),
+}
+HEADER = """This {thing} is free software{sign} you can redistribute it and/or modify it under the
+terms of the {title} as published by the Free Software Foundation{either} version {version} of the
+License{later}"""
+WARRANTY = """This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+See the {title} for more details."""
+NAMED = {
+    "Apache-1.0": ["Apache License, Version 1.0"],
+    "Apache-1.1": ["Apache License, Version 1.1"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "BSD License"],
+    "CC0-1.0": ["CC0 1.0 License", "Creative Commons CC0 1.0 Universal License"],
+    "ISC": ["ISC License"],
+    "MIT": ["MIT License"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
+    "Unlicense": ["Unlicense"],
+}
+NOTICES = (
+    "Licensed under the {}.", "Licensed under the terms of the {}.", "Licensed under {}.",
+)
+CC_PARTS = {"NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported",
+               "4.0": "International"}
+FULL = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+REMOTE = """Remote Network Interaction; Notwithstanding any other provision of this License, if you
+modify the Program, your modified version must prominently offer all users interacting with it
+remotely through a computer network (if your version supports such interaction) an opportunity to
+receive the Corresponding Source of your version by providing access to the Corresponding Source
+from a network server at no charge, through some standard or customary means of facilitating
+copying of software."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be
+used to endorse or promote products derived from this software without specific prior written
+permission."""
+
+
+def _add_templates() -> None:
+    """Notices by name, headers of the GNU licences, all Creative Commons variants, full texts."""
+    def add(name: str, *texts: str) -> None:
+        own = TEMPLATES.setdefault(name, [])
+        own += [t for t in texts if t not in own]
+
+    for name, titles in NAMED.items():
+        add(name, *(n.format(t) for t in titles for n in NOTICES))
+    for short, (title, versions) in FAMILIES.items():
+        add(short, *(n.format(t) for t in (title, f"{short} License") for n in NOTICES))
+        for version in versions:
+            number = version.removesuffix(".0")
+            add(f"{short}-{version}", f"This work is licensed under the {title}, version {number}.")
+            for n in {number, version}:
+                add(f"{short}-{version}", *(
+                    NOTICES[0].format(f"{name}{sign}{n}")
+                    for name in (title, short, f"GNU {short}") for sign in (" v", " version ", " ")),
+                    NOTICES[1].format(f"{title} v{n}"), NOTICES[1].format(f"{title} version {n}"),
+                    NOTICES[2].format(f"{short} {n}"), NOTICES[2].format(f"{short} v{n}"),
+                    f"Under the {short}v{n}.", f"Under {short}v{n}.")
+            for thing in ("program", "library"):
+                for either, later in ((", either", ", or (at your option) any later version."),
+                                      (";", "."), (",", " only.")):
+                    head = HEADER.format(thing=thing, title=title, version=number, either=either,
+                                         later=later, sign=":")
+                    add(f"{short}-{version}", head,
+                        f"{head} {WARRANTY.format(thing=thing, title=title)}")
+    for chosen in ((), ("NC",), ("ND",), ("SA",), ("NC", "ND"), ("NC", "SA")):
+        for version, kind in CC_VERSIONS.items():
+            short = "-".join(("BY", *chosen))
+            long = "-".join(("Attribution", *(CC_PARTS[c] for c in chosen)))
+            texts = [f"Licensed under CC {short} {version}.",
+                     f"This work is licensed under a Creative Commons {long} {version} {kind} License."]
+            if "ND" in chosen and version < "4":
+                texts.append(texts[1].replace("NoDerivatives", "NoDerivs"))
+            add(f"CC-{short}-{version}", *texts)
+    add("CC0-1.0", "Released under CC0 1.0.", "Dedicated to the public domain under CC0 1.0.",
+        """To the extent possible under law, the author has waived all copyright and related or
+        neighboring rights to this work.""")
+    add("Unlicense", "Released into the public domain under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.")
+    conditions = TEMPLATES["BSD-2-Clause"][1]
+    add("BSD-2-Clause", f"{conditions} {BSD_END}")
+    add("BSD-3-Clause", f"{conditions} {BSD_THIRD}", f"{conditions} {BSD_THIRD} {BSD_END}")
+    folder = Path(__file__).parent / "licence_texts"
+    for name in FULL:
+        text = (folder / f"{name}.txt").read_text(encoding="utf-8")
+        add(name, text.split("For more information, please refer to")[0])
+    affero = re.sub(r"GNU\s+General\s+Public", "GNU Affero General Public", TEMPLATES["GPL-3.0"][-1],
+                    flags=re.I)
+    add("AGPL-3.0", affero.replace("  13. ", f"  13. {REMOTE} ", 1))
+    for name in list(TEMPLATES):
+        if name != RESERVED:
+            known = [name] if "GPL-" not in name else [name, f"{name}-only", f"{name}-or-later"]
+            add(name, *(f"SPDX-License-Identifier: {x}" for x in known))
+
+
+_add_templates()
+
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 CLAIM = re.compile(r"\s*(?:copyright\b|\(c\)|©)", re.I)
 CLAIM_LINE = re.compile(r"^\s*(?:copyright\b|\(c\)|©)", re.I | re.M)
@@ -121,8 +233,49 @@ def normal_words(lines: list[str]) -> list[str]:
     return [w for line in lines if not CLAIM.match(line) for w in WORD.findall(line.lower())]
 
 
+# Words that tell licences apart whose notices are alike, and notices from mere mentions ("under"). A number counts after one of NUMBERED only.
+VARIANTS = {"nc": "nc", "noncommercial": "nc", "nd": "nd", "noderivatives": "nd", "noderivs": "nd",
+            "sa": "sa", "sharealike": "sa", "lesser": "lesser", "affero": "affero",
+            "unlicense": "unlicense", "cc0": "cc0", "under": "under"}
+PAIRED = {("non", "commercial"): "nc", ("share", "alike"): "sa", ("no", "derivatives"): "nd",
+          ("no", "derivs"): "nd", ("no", "derivative"): "nd", ("general", "public"): "gnu",
+          ("mozilla", "public"): "mozilla", ("creative", "commons"): "cc", ("cc", "by"): "cc"}
+NUMBERED = {"version", "v", "license", "by", "attribution", "alike", "commercial", "derivatives",
+            "derivs", "derivative", "gpl", "lgpl", "agpl", "cc0", "mpl", "apache", "bsd", *VARIANTS} - {"under"}
+TITLED = {"mit", "isc", "bsd", "apache", "clause", "unlicense"}  # name a licence before "license"
+VERSIONED = re.compile(r"([al]?gpl)?v?([0-9]+(?:\.[0-9]+)*)\Z")
+LONG_TEXT = 300  # bigrams of a template that is a whole licence; its wording alone decides
+
+
+def marks_of(pair: tuple[str, str]) -> set[str]:
+    """What a bigram says about variant and version."""
+    first, second = pair
+    found = {VARIANTS[w] for w in pair if w in VARIANTS}
+    if pair in PAIRED:
+        found.add(PAIRED[pair])
+    if second in ("license", "licence") and first in TITLED:
+        found.add(first)
+    for word in pair:
+        got = VERSIONED.match(word)
+        if got and (not word[0].isdigit() or (word is second and first in NUMBERED)):
+            found.add(got[2].removesuffix(".0"))
+            if got[1]:
+                found.add(got[1])
+    for word in pair:
+        if word in ("gpl", "lgpl", "agpl"):
+            found.add(word)
+    return found
+
+
+@lru_cache(maxsize=4096)
+def marks(found: Bigrams) -> frozenset[str]:
+    return frozenset(m for p in found for m in marks_of(p))
+
+
 def dice(a: Bigrams, b: Bigrams) -> float:
-    return 2 * len(a & b) / (len(a) + len(b))
+    """The coefficient of a window and a template; 0 if they name different variants or versions."""
+    score = 2 * len(a & b) / (len(a) + len(b))
+    return 0.0 if score and len(b) <= LONG_TEXT and marks(a) != marks(b) else score
 
 
 class Words:
@@ -141,6 +294,19 @@ class Words:
         self.before, self.next = np.full(n, -1), np.full(n, n)
         self.before[order[1:][same]] = order[:-1][same]
         self.next[order[:-1][same]] = order[1:][same]
+        self.bits: dict[str, int] = {}
+        own = [
+            sum(1 << self.bits.setdefault(m, min(len(self.bits), 62)) for m in marks_of(p))
+            for p in self.pairs
+        ]
+        self.marked = np.array(own, np.int64)[self.ids]
+
+    def mask(self, template: Bigrams) -> int | None:
+        """The marks of a template as bits; None if some of them aren't in these words."""
+        wanted = marks(template)
+        if not wanted <= self.bits.keys():
+            return None
+        return sum(1 << self.bits[m] for m in wanted)
 
     def windows(self, template: Bigrams, least: float) -> list[tuple[float, int, int, int]]:
         """(coefficient, bigrams in common, first, last bigram) of each start's best window.
@@ -148,10 +314,17 @@ class Words:
         The best window starts and ends with bigrams of the template, and its first bigram doesn't
         stand in it again: without that it would be as good or better.
         """
+        exact = len(template) <= LONG_TEXT
+        mask = self.mask(template) if exact else 0
+        if mask is None:
+            return []
         size, most = len(template), len(template) * (2 - least) / least + 1e-9
         hits = np.array([p in template for p in self.pairs], bool)[self.ids]
         found = []
-        for s in np.flatnonzero(hits).tolist():
+        # After another of the template's that doesn't stand in the window, a start is the worse one.
+        starts = hits.copy()
+        starts[1:] &= ~(hits[:-1] & (self.next[:-1] >= self.next[1:]))
+        for s in np.flatnonzero(starts).tolist():
             stop, length = int(self.next[s]), int(2 * most) + 8
             while True:
                 e = min(stop, s + length)
@@ -162,7 +335,10 @@ class Words:
                 length *= 2
             on = hits[s:e]
             common = np.cumsum(new & on)
-            scores = np.where(on & (distinct <= most), 2 * common / (distinct + size), 0)
+            fits = on & (distinct <= most)
+            if exact:
+                fits &= np.bitwise_or.accumulate(self.marked[s:e]) == mask
+            scores = np.where(fits, 2 * common / (distinct + size), 0)
             at = int(scores.argmax())
             if scores[at] >= least:
                 found.append((float(scores[at]), int(common[at]), s, s + at))

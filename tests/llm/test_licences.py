@@ -77,3 +77,36 @@ def test_windows_against_all_windows():
         for score, _, first, last in found:
             assert score == pytest.approx(
                 licences.dice(licences.bigrams(words[first : last + 2]), template))
+
+
+GNU = """This program is free software; you can redistribute it and/or modify it under the terms of
+the GNU {}General Public License as published by the Free Software Foundation; either version {} of
+the License, or (at your option) any later version."""
+CREATIVE = "This work is licensed under a Creative Commons Attribution{} {} License."
+
+
+@pytest.mark.parametrize("text, name", [
+    (GNU.format("", 2), "GPL-2.0"), (GNU.format("", 3), "GPL-3.0"),
+    (GNU.format("Affero ", 3), "AGPL-3.0"), (GNU.format("Lesser ", 3), "LGPL-3.0"),
+    (GNU.format("Lesser ", 2.1).replace("program", "library"), "LGPL-2.1"),
+    (CREATIVE.format("-NoDerivatives", "4.0 International"), "CC-BY-ND-4.0"),
+    (CREATIVE.format("-NonCommercial-NoDerivatives", "4.0 International"), "CC-BY-NC-ND-4.0"),
+    (CREATIVE.format("-NonCommercial-ShareAlike", "4.0 International"), "CC-BY-NC-SA-4.0"),
+    (CREATIVE.format("-ShareAlike", "3.0 Unported"), "CC-BY-SA-3.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("released under GPLv2", "GPL-2.0"),
+    ("under the terms of the GNU General Public License v3.0", "GPL-3.0"),
+    ("We reprint a book released under the MIT Press", None),
+    ("Licensed under CC BY-XY 9.0.", None),
+])
+def test_variants_and_versions_decide(text, name):
+    found = licences.Scanner().scan(f"Some words here.\n{text} and after.\n")
+    assert {n for _, n, _ in found} == ({name} if name else set())
+
+
+@pytest.mark.parametrize("name", licences.FULL)
+def test_full_texts_within_others(name):
+    text = next(t for t in reversed(licences.TEMPLATES[name]) if len(t) > 1000)
+    found = licences.Scanner().scan(f"First.\n\n{text.replace('. ', '. x ', 3)}\n\nLast.")
+    assert max(found, key=lambda x: x[2])[1] == name
+    bsd = f"{licences.TEMPLATES['BSD-2-Clause'][1]}\n{licences.BSD_THIRD}\n{licences.BSD_END}"
+    assert [n for _, n, _ in licences.Scanner().scan(bsd)] == ["BSD-3-Clause"]
