@@ -6,9 +6,11 @@ the basic plane; per order the grams of all languages lie in one sorted array wi
 probabilities, in which every backoff is already added up. A text goes to the language of the
 lowest cross-entropy per character.
 
-The models are fitted on a sample of labelled rows of at most about MAX_CHARS characters per
-language. A further part of the sample calibrates them: the temperature of the score, and how far
-above a language's usual cross-entropy a text may lie before it is rejected.
+The models are fitted on a sample of distinct labelled texts, taken in hash order up to about
+MAX_CHARS characters per language; of a very long text evenly spread windows are taken. Every
+language gives at least one text, and copies count once. Another part of the sample calibrates
+the models: the temperature of the score, and how far above a language's usual cross-entropy a text
+may lie before it is rejected.
 
 A null text, or one without a letter, is `und` with score 0 and is rejected. Ties go to the
 language first in code-point order. Repeated rows are judged each. With no labelled rows all are
@@ -17,6 +19,7 @@ language first in code-point order. Repeated rows are judged each. With no label
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from looptrace.llm.common import append
+from looptrace.llm.common import append, stored
 
 ORDER = 4
 MAX_CHARS = 1_500_000  # per language, about, that the counts are taken from
 FEW_CHARS = 100_000  # a language with fewer is counted in full, calibrating texts included
 MAX_DOCS = 400  # per language, about, that calibrate
+WINDOW = 2_000  # characters of a window of a long text
+WINDOWS = 50  # of a text, at most, evenly spread; shorter texts are taken whole
 SPACE = 32
 UND = "und"
 MIX = 0x9E3779B97F4A7C15  # odd, so mixing is one to one
@@ -202,27 +207,68 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, probabilities, backoffs, floor)
 
 
+def share(levels: list[tuple[int, int, float]], max_chars: int) -> float:
+    """The greatest hash, from 0 to 1, of the texts taken of a language: of those before it there
+    are about `max_chars` characters. Levels are (k, characters, least hash) of the texts whose
+    hashes are from 2 ** -(k + 1) to 2 ** -k."""
+    taken, reached = 0, 0.0
+    for k, chars, _ in sorted(levels, reverse=True):
+        if taken + chars > max_chars:
+            reached = 2.0 ** -(k + 1) * (1 + (max_chars - taken) / chars)
+            break
+        taken, reached = taken + chars, 2.0**-k
+    return max(reached, min(first for _, _, first in levels))
+
+
 def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_DOCS) -> Model | None:
     """A model of the labelled rows (text, lang). None if no row has both a text and a label.
 
-    Rows are sampled by a hash of their text, evenly over the table, so that each language gives
-    about `max_chars` characters at most; one in eight of the sampled rows calibrates.
+    Distinct texts are taken in order of a hash until a language has about `max_chars` characters,
+    the first in any case; one in eight of the others calibrates.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    sizes = {
-        r.lang: r.chars
-        for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()
-    }
-    if not sizes:
+    key = F.xxhash64("text", F.lit(17))
+    point = F.shiftrightunsigned("key", 11).cast("double") / float(1 << 53)
+    level = F.floor(-F.log2(F.greatest("point", F.lit(2.0**-53)))).cast("int")
+    chars = F.least(F.length("text"), F.lit(WINDOW * WINDOWS)).cast("long")
+    distinct = rows.select("lang", key.alias("key"), chars.alias("chars")).groupBy("lang", "key")
+    levels = defaultdict(list)
+    for r in (
+        distinct.agg(F.max("chars").alias("chars"))
+        .select("lang", "chars", point.alias("point"))
+        .groupBy("lang", level.alias("level"))
+        .agg(F.sum("chars").alias("chars"), F.min("point").alias("first"))
+        .collect()
+    ):
+        levels[r.lang].append((r.level, r.chars, r.first))
+    if not levels:
         return None
-    point = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    share = F.create_map(
-        *(x for k, chars in sizes.items()
-          for x in (F.lit(k), F.lit(min(1.0, max_chars / max(chars, 1)))))
+    small = [k for k, found in levels.items() if sum(n for _, n, _ in found) < FEW_CHARS]
+
+    def by_language(values: dict[str, float]) -> F.Column:
+        return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("lang")]
+
+    shares = {k: share(found, max_chars) for k, found in levels.items()}
+    firsts = {k: min(x for _, _, x in found) for k, found in levels.items()}
+    long = F.length("text") > WINDOW * WINDOWS
+    step = (F.length("text") - WINDOW) / float(WINDOWS - 1)
+    spread = F.concat_ws(" ", *(
+        F.substr("text", (step * i).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS)
+    ))
+    sample = stored(
+        rows.withColumn("key", key)
+        .withColumn("point", point)
+        .where(F.col("point") <= by_language(shares))
+        .groupBy("lang", "key", "point")
+        .agg(F.first("text").alias("text"))
+        .select(
+            F.when(long, spread).otherwise(F.col("text")).alias("text"),
+            "lang",
+            ((F.pmod(F.xxhash64("text", F.lit(29)), F.lit(8)) == 0)
+             & (F.col("point") > by_language(firsts))).alias("calibrates"),
+        ),
+        "langid",
     )
-    small = [k for k, chars in sizes.items() if chars < FEW_CHARS]
-    calibrates = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(8)) == 0
-    sample = rows.where(point < share[F.col("lang")]).withColumn("calibrates", calibrates)
 
     def count(batches):
         for batch in batches:
@@ -258,7 +304,7 @@ def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_D
         order = np.argsort(gram[own])
         counts[name] = (gram[own][order], n[own][order])
     model = kneser_ney(counts)
-    checks = sample.where("calibrates").orderBy(F.xxhash64("text"), "text", "lang").limit(max_docs * len(sizes)).select("text", "lang").collect()
+    checks = sample.where("calibrates").orderBy(F.xxhash64("text"), "text", "lang").limit(max_docs * len(levels)).select("text", "lang").collect()
     calibrate(model, [r.text for r in checks], [r.lang for r in checks])
     return model
 

@@ -117,3 +117,27 @@ def test_equal_models_go_by_name():
     model = langid.kneser_ney({"b": counted([EN]), "a": counted([EN])})
     langid.calibrate(model, [EN], ["a"])
     assert model.languages[model.judge([EN])[0][0]] == "a"
+
+
+def test_copies_and_long_texts_are_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "kneser_ney", lambda c, f=langid.kneser_ney: seen.append(c) or f(c))
+    rng = np.random.default_rng(5)
+    for word in ("renard", "chien", "brun"):  # other hashes each time
+        copied = (FR + word + " ") * 20
+        rows = [(copied, "fr")] * 400 + [(EN * 25 + str(i) + "x" * (i % 9), "en") for i in range(40)]
+        for i in range(3):
+            words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(50)]
+            rows.append((" ".join(rng.choice(words, 40_000)), "xx"))
+        model = langid.train(spark.createDataFrame(rows, "text string, lang string"), max_chars=20_000)
+        assert model.languages == ["en", "fr", "xx"]
+        one = langid.grams(langid.normal(copied))
+        assert seen[-1]["fr"][1].sum() == len(one)  # once, not 400 times
+        assert seen[-1]["xx"][1].sum() <= 3.1 * langid.WINDOW * langid.WINDOWS
+        assert seen[-1]["en"][1].sum() <= 60_000
+
+
+def test_share_of_the_hashes():
+    assert langid.share([(0, 10, 0.6), (1, 10, 0.3)], 30) == 1.0
+    assert langid.share([(0, 100, 0.6), (1, 50, 0.3)], 100) == 0.75
+    assert langid.share([(0, 4000, 0.8)], 10) == 0.8
