@@ -10,7 +10,8 @@ The models are fitted on a sample of distinct labelled texts, taken in hash orde
 MAX_CHARS characters per language; of a very long text evenly spread windows are taken. Every
 language gives at least one text, and copies count once. Another part of the sample calibrates
 the models: the temperature of the score, and how far above a language's usual cross-entropy a text
-may lie before it is rejected.
+may lie before it is rejected. That limit comes from a high quantile of those texts whose best
+language is their label, so that a few wrong labels or odd texts don't move it.
 
 A null text, or one without a letter, is `und` with score 0 and is rejected. Ties go to the
 language first in code-point order. Repeated rows are judged each. With no labelled rows all are
@@ -40,7 +41,8 @@ SPACE = 32
 UND = "und"
 MIX = 0x9E3779B97F4A7C15  # odd, so mixing is one to one
 LEAST_LIMIT = 15.0  # deviations above the usual cross-entropy that are never rejected
-BEYOND = 1.5  # times the worst calibrating text that is not rejected either
+TYPICAL = 0.95  # share of the rightly labelled calibrating texts that sets the limit
+BEYOND = 1.5  # times the worst of those that is not rejected either
 
 
 def _letters() -> np.ndarray:
@@ -325,8 +327,13 @@ def calibrate(model: Model, texts: list[str], labels: list[str]) -> None:
         mine = low[(own == k) & (sizes >= 20)]
         values = mine if len(mine) >= 5 else low
         model.usual[k] = np.median(values), max(0.05, 1.5 * np.median(abs(values - np.median(values))))
-    worst = excess(low, sizes, model.usual[own]).max()
-    model.limit = float(max(LEAST_LIMIT, BEYOND * worst))
+    right = low <= nats.min(1)  # others may be labelled wrongly
+    if right.any():
+        excesses = excess(low, sizes, model.usual[own])[right]
+        worst = np.quantile(excesses, TYPICAL, method="lower")
+        model.limit = float(max(LEAST_LIMIT, BEYOND * worst))
+    else:
+        model.limit = LEAST_LIMIT
     losses = []
     for temperature in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
         odds = -(nats - low[:, None]) * sizes[:, None] * temperature

@@ -141,3 +141,18 @@ def test_share_of_the_hashes():
     assert langid.share([(0, 10, 0.6), (1, 10, 0.3)], 30) == 1.0
     assert langid.share([(0, 100, 0.6), (1, 50, 0.3)], 100) == 0.75
     assert langid.share([(0, 4000, 0.8)], 10) == 0.8
+
+
+def test_a_few_wrong_labels_leave_the_limit():
+    words = {"en": EN.split(), "fr": FR.split()}
+    rng = np.random.default_rng(1)
+    text = lambda k, n=60: " ".join(rng.choice(words[k], n))
+    model = langid.kneser_ney({k: counted([text(k) for _ in range(40)]) for k in words})
+    known = [(text(k), k) for k in ("en", "fr") for _ in range(100)]
+    foreign = "слова совсем другого языка " * 8
+    wrong = [(text("en"), "fr"), (text("fr"), "en"), (foreign, "en"), ("qzj xkw vvq " * 10, "fr")]
+    langid.calibrate(model, *zip(*known))
+    limit = model.limit
+    langid.calibrate(model, *zip(*(known + wrong)))
+    assert model.limit <= 1.1 * limit
+    assert model.judge([foreign])[3][0] and not any(model.judge([t for t, _ in known])[3])
