@@ -43,7 +43,16 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
 DIGITS = re.compile(r"[0-9]++(?:[ ().\-/\[\]]{1,3}[0-9]++)*+")
 NUMBERED = re.compile(r"[0-9 +().\-/\[\]]{7,40}")  # what a number's span may hold
 SPELT_OUT = re.compile(r"[A-Za-z0-9 ._%+@()\[\]{}<>-]{7,120}")
-SPELT = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]|\bdot\b|@", re.I)
+AT = ("at", "arroba", "arobase")
+DOT = ("dot", "punto", "punkt", "point")
+SPELT = re.compile(
+    rf"[\[({{<] ?(?:{'|'.join(AT + DOT)}) ?[\])}}>]|\b(?:{'|'.join(AT[1:] + DOT)})\b|@", re.I
+)
+
+LABEL = r"[A-Za-z0-9_%+-]+"
+SIGN = r"(?: ?[\[({{<] ?(?:{0}) ?[\])}}>] ?| (?:{0}) | ?{1} ?)"
+DOTTED = rf"{LABEL}(?:{SIGN.format('|'.join(DOT), '[.]')}{LABEL})*"
+WRITTEN = re.compile(rf"{DOTTED}{SIGN.format('|'.join(AT), '@')}{DOTTED}", re.I)
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -96,9 +105,7 @@ def windows(text: str) -> list[tuple[int, int]]:
         m.span() for m in DIGITS.finditer(text)
         if m.end() - m.start() >= 7 and len(only_digits(m[0])) >= 4
     ]
-    lowered = text.lower() if not text.isascii() else text.casefold()
-    if "@" in text or "dot" in lowered or "(at" in lowered or "[at" in lowered:
-        near += [m.span() for m in SPELT.finditer(text)]
+    near += [m.span() for m in SPELT.finditer(text)]
     merged: list[list[int]] = []
     for start, end in sorted(near):
         start, end = max(0, start - MARGIN), min(len(text), end + MARGIN)
@@ -116,8 +123,8 @@ def holds(kind: str, found: str) -> bool:
         return False
     if kind == "email":
         lowered = found.lower()
-        words = re.findall(r"[a-z]+|@|\.", lowered)
-        return ("@" in words or "at" in words) and ("." in words or "dot" in words)
+        words = set(re.findall(r"[a-z]+|@|\.", lowered))
+        return not words.isdisjoint(("@", *AT)) and not words.isdisjoint((".", *DOT))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", found)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -166,6 +173,9 @@ def added_spans(texts: list[str], base: list[list[Span]], model: crf.Model) -> l
             while t < len(names) and names[t] == f"I-{kind}":
                 t += 1
             a, b = trimmed(texts[i], start + toks[first][0], start + toks[t - 1][1])
+            if kind == "email" and holds(kind, texts[i][a:b]):
+                if m := WRITTEN.search(texts[i], a, b):  # without words beside the address
+                    a, b = m.span() if holds(kind, m[0]) else (a, b)
             if holds(kind, texts[i][a:b]) and not any(
                 a < y and x < b for _, x, y in base[i] + out[i]
             ):
@@ -196,6 +206,20 @@ lee @ example . com
 kim@example [dot] com
 kim @ mail.example.com
 x99 <at> host <dot> com
+bob <at> example.com
+bob{at}example.com
+bob ( at ) example.com
+bob [ at ] example [ dot ] com
+bob {at} example {dot} com
+ana arroba ejemplo punto com
+ana.ruiz arroba ejemplo punto com punto mx
+ana (arroba) ejemplo (punto) com
+anna at beispiel punkt com
+anna punkt meier at beispiel punkt org
+jean arobase exemple point net
+jean point dupont arobase exemple point org
+jean [arobase] exemple [point] com
+jean arobase exemple.com
 info@example.com
 sales@mail.example.org
 """.strip().split("\n"),
@@ -238,6 +262,13 @@ NONE = """
 she was at home and the dot on the map was red
 look at the dot at the left of the page
 a dot at the end
+at this point they look at the next point of the list
+the point is that she was at home
+el punto es que la arroba pesa un cuarto
+en este punto del camino y en otro punto
+der punkt ist klein und punkt drei folgt
+jusqu au point de depart et point final
+a caixa tem uma arroba de peso
 2024-05-17 at 10:45
 17.05.2024 10:30:45
 2023-05-12 to 2024-06-13
@@ -267,6 +298,7 @@ the {} and
 please write {} before noon
 contact: {}.
 mail {} for details, thanks
+please write to {} before noon today
 call {} now
 tel {}
 phone: {} in the office

@@ -93,3 +93,23 @@ def test_rows_of_any_kind(docs, model):
 def test_overlapping_finds_are_redacted_once():
     text = "x +1 (212) 555-0199 y"
     assert pii.redact(text, [("phone", 2, 19), ("card", 5, 12)]) == "x <PHONE> y"
+
+
+@pytest.mark.parametrize("form", [
+    "bob <at> example.com", "bob{at}example.com", "bob ( at ) example.com",
+    "bob [ at ] example [ dot ] com", "bob (at) example (dot) com", "bob@example.com",
+    "bob arroba example punto com", "bob at example punkt com", "bob arobase example point com",
+    "bob [arobase] example [point] org", "bob (arroba) example.com",
+])
+def test_each_form_alone_in_a_plain_text(model, form):
+    for before, after in (("please write to ", " before noon today"), ("mail ", ", thanks")):
+        text = before + form + after
+        base = [pii.pattern_spans(text)]
+        found = {(k, text[a:b]) for k, a, b in base[0] + pii.added_spans([text], base, model)[0]}
+        assert ("email", form) in found, found
+
+
+def test_cue_words_in_plain_text_give_no_spans(model):
+    for text in ("at that point she was at work", "el punto de partida fue la arroba",
+                 "der punkt am ende", "le point de vue est au point", "point 3 at 10.5 of the list"):
+        assert pii.added_spans([text], [[]], model) == [[]], text
