@@ -27,8 +27,11 @@ def sliced(df: DataFrame, key: str, order: list[str], slices: int | None = None)
     return stored(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def _with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices) -> DataFrame:
-    """``out`` + ``_carry``, what the slices of ``cut`` before the row's slice hand on."""
+def with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices) -> DataFrame:
+    """``out``, rows of ``cut``, + ``_carry``: what the slices before the row's slice hand on.
+
+    ``per_slice`` aggregates a slice of a key; ``over_slices`` makes of those, over a window of the
+    key's slices in order, what goes on to the next (NULL: nothing)."""
     carry = (
         cut.groupBy(key, "_slice")
         .agg(per_slice)
@@ -40,7 +43,7 @@ def _with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices
         .filter("_carry IS NOT NULL")
     )
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_to"))
-    return out.join(F.broadcast(carry), same, "left").drop("_key", "_to", "_slice")
+    return out.join(F.broadcast(carry), same, "left").drop("_key", "_to")
 
 
 def running_sum(
@@ -49,7 +52,7 @@ def running_sum(
     """``df`` + ``out``: sum of ``value`` up to and with the row, in ``order`` within ``key``."""
     cut = sliced(df, key, order, slices)
     within = Window.partitionBy(key, "_slice").orderBy(*order)
-    summed = _with_carry(
+    summed = with_carry(
         cut,
         cut.withColumn(out, F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))),
         key,
@@ -59,7 +62,7 @@ def running_sum(
     total = F.when(F.col("_carry").isNull(), F.col(out)).otherwise(
         F.coalesce(F.col(out), F.lit(0)) + F.col("_carry")
     )
-    return summed.withColumn(out, total).drop("_carry")
+    return summed.withColumn(out, total).drop("_carry", "_slice")
 
 
 def previous(
@@ -69,11 +72,11 @@ def previous(
     row = F.struct(*keep)
     cut = sliced(df, key, order, slices)
     within = Window.partitionBy(key, "_slice").orderBy(*order)
-    found = _with_carry(
+    found = with_carry(
         cut,
         cut.withColumn("prev", F.lag(row).over(within)),
         key,
         F.max_by(row, F.struct(*order)).alias("_row"),
         lambda w: F.lag("_row").over(w),
     )
-    return found.withColumn("prev", F.coalesce("prev", "_carry")).drop("_carry")
+    return found.withColumn("prev", F.coalesce("prev", "_carry")).drop("_carry", "_slice")
