@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looptrace.llm import embed_dups, langid, licences, minhash, mixing, packing, pii, quality, suffixes, token_counts
+from looptrace.llm import (
+    embed_dups,
+    langid,
+    licences,
+    minhash,
+    mixing,
+    negatives,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    suffixes,
+    token_counts,
+    trie,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,5 +85,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"), redacted=False)
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return found.drop("enters_at", "leaves_at")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op3_language_id, op4_quality_rules, op5_embedding_dups, op6_mixing, op7_minhash_dups, op8_suffix_dedup, op9_token_counts, op10_license_scan)}
+    found = (
+        op1_pii,
+        op2_packing,
+        op3_language_id,
+        op4_quality_rules,
+        op5_embedding_dups,
+        op6_mixing,
+        op7_minhash_dups,
+        op8_suffix_dedup,
+        op9_token_counts,
+        op10_license_scan,
+        op11_hard_negatives,
+        op12_secret_scan,
+        op13_prefix_trie,
+    )
+    return {f.__name__: f for f in found}
