@@ -46,6 +46,55 @@ def with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices)
     return out.join(F.broadcast(carry), same, "left").drop("_key", "_to")
 
 
+RUNNING = {
+    "sum": F.sum,
+    "min": F.min,
+    "last": lambda value: F.last(value, ignorenulls=True),
+}
+
+
+def scanned(cut: DataFrame, key: str, order: list[str], **values) -> DataFrame:
+    """``cut`` + a column per name: what its value comes to over the rows before, in ``order`` within
+    ``key``; the row itself and its ``_slice`` stay, so scans can follow each other.
+
+    A value is (kind, column): ``sum`` (0 before the first row), ``min`` or ``last`` (the newest that
+    is not NULL).  Each is a map that a slice hands on and the next composes with its own, so cut and
+    uncut groups agree.  Scans in a row make an automaton: ``last`` is a part of a state that events set
+    or keep, and what they set may hang on the parts scanned before.
+    """
+    before = (Window.unboundedPreceding, -1)
+    named = {name: f"_of_{name}" for name in values}
+    cut = cut.withColumns({named[name]: column for name, (_, column) in values.items()})
+    within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*before)
+
+    def of_slice(name: str):
+        kind, column = values[name][0], F.col(named[name])
+        if kind == "last":
+            return F.max_by(column, F.when(column.isNotNull(), F.struct(*order)))
+        return RUNNING[kind](column)
+
+    def handed_on(slices):
+        slices = slices.rowsBetween(*before)
+        parts = (RUNNING[kind](f"_all.{n}").over(slices).alias(n) for n, (kind, _) in values.items())
+        return F.when(F.count("*").over(slices) > 0, F.struct(*parts))
+
+    found = with_carry(
+        cut,
+        cut.withColumns({n: RUNNING[kind](named[n]).over(within) for n, (kind, _) in values.items()}),
+        key,
+        F.struct(*(of_slice(n).alias(n) for n in values)).alias("_all"),
+        handed_on,
+    )
+    joined = {
+        "sum": lambda own, carry: F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0)),
+        "min": F.least,
+        "last": F.coalesce,
+    }
+    return found.withColumns(
+        {n: joined[kind](F.col(n), F.col(f"_carry.{n}")) for n, (kind, _) in values.items()}
+    ).drop("_carry", *named.values())
+
+
 def running_sum(
     df: DataFrame, key: str, order: list[str], value: str, out: str, slices: int | None = None
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from looptrace.functions.numfn import ratio
 from looptrace.functions.timefn import AsOf, hours_between
-from looptrace.operators.slices import previous
+from looptrace.operators.slices import previous, scanned, sliced
 from looptrace.plans.cycles import linked
 from looptrace.plans.packaging import open_overdue, pkg_last_location
 from looptrace.plans.sensors import hot_readings
@@ -29,13 +29,18 @@ def _event(df: DataFrame, step: int, event: str, ref: str, at: str, place=None)
 
 
 def _washes(inspections: DataFrame, wash_cycles: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Washes of items with their places."""
+    places = hubs.select("hub_id", "location_id")
+    return _washed_items(inspections, wash_cycles).join(places, "hub_id", "left")
+
+
+def _washed_items(inspections: DataFrame, wash_cycles: DataFrame) -> DataFrame:
     """A wash is known to an item through its inspections."""
     return (
         inspections.filter("wash_id IS NOT NULL")
         .select("instance_id", "wash_id")
         .distinct()
         .join(wash_cycles.select("wash_id", "hub_id", "start_time"), "wash_id")
-        .join(hubs.select("hub_id", "location_id"), "hub_id", "left")
     )
 
 
@@ -107,6 +112,154 @@ def match_returns(
     )
 
 
+def match_returns_nested(
+    checkouts: DataFrame, returns: DataFrame, slices: int | None = None
+) -> DataFrame:
+    """Every return with its checkout: the stored link, else the newest checkout of its item before
+    it that no return links to and no later return between them takes.
+
+    Checkouts that no link takes open a loan, returns without a link close one, as brackets do.
+    Running sums give the depth; where it would fall below nothing, a return has no checkout, and
+    the running minimum tells how often that was.  Brackets of one item and level alternate, so a
+    return's checkout is the event before it there: no pairs of events, no stack, and an item
+    with any number of events may be cut into slices.
+    """
+    stored_links = linked(returns).select("return_id", "instance_id", "checkout_id")
+    loans = checkouts.join(stored_links.select("checkout_id").distinct(), "checkout_id", "left_anti")
+    opened = loans.select(
+        "instance_id",
+        F.col("checkout_time").cast("timestamp").alias("ts"),
+        F.lit(0).alias("step"),
+        F.col("checkout_id").alias("id"),
+    )
+    closed = returns.filter("checkout_id IS NULL").select(
+        "instance_id",
+        F.col("return_time").cast("timestamp").alias("ts"),
+        F.lit(1).alias("step"),
+        F.col("return_id").alias("id"),
+    )
+    order = ["ts", "step", "id"]
+    cut = sliced(opened.unionByName(closed), "instance_id", order, slices)
+    change = 1 - 2 * F.col("step")
+    deep = scanned(cut, "instance_id", order, depth=("sum", change))
+    deep = scanned(deep, "instance_id", order, low=("min", F.col("depth") + change))
+    above = F.col("depth") - F.least(F.lit(0), "low")  # loans open before the event
+    levels = deep.select(
+        F.struct("instance_id", (above + 1 - F.col("step")).alias("level")).alias("bracket"), *order
+    )
+    paired = previous(levels, "bracket", order, ["step", "id"], slices).filter("step = 1")
+    found = paired.select(
+        F.col("id").alias("return_id"),
+        "bracket.instance_id",
+        F.when(F.col("prev.step") == 0, F.col("prev.id")).alias("matched_checkout_id"),
+    )
+    return stored_links.withColumnRenamed("checkout_id", "matched_checkout_id").unionByName(found)
+
+
+# The steps of a loop, as (state before, event).  Everything else breaks it.
+LOOP_STEPS = (
+    ("unborn", "birth"),
+    ("ready", "checkout"),
+    ("out", "return"),
+    ("back", "wash"),
+    ("washed", "inspection"),
+)
+
+
+def loop_conformance(
+    packaging_instances: DataFrame,
+    checkouts: DataFrame,
+    returns: DataFrame,
+    inspections: DataFrame,
+    wash_cycles: DataFrame,
+    slices: int | None = None,
+) -> DataFrame:
+    """The loops of each item, checkout, return, wash, passed inspection, and what breaks each.
+
+    Loop 0 is the item's birth and lasts until its first checkout; every checkout starts another.
+    An event out of turn is a break of the loop it meets, named by the event and the state it meets:
+    a checkout of an item that is not ready breaks the loop before its own.  A loop is complete when
+    it came to its passed inspection (loop 0: to the birth) without any break.
+
+    The states follow from two scans.  Checkouts and returns set whether an item is out.  While it is
+    out, other events change nothing; else the newest event tells the state.  A failed inspection sends
+    the item back to the wash.
+    """
+    logged = [
+        _event(packaging_instances, 0, "birth", "instance_id", "birthed_at"),
+        _event(checkouts, 1, "checkout", "checkout_id", "checkout_time"),
+        _event(returns, 2, "return", "return_id", "return_time"),
+        _event(_washed_items(inspections, wash_cycles), 3, "wash", "wash_id", "start_time"),
+    ]
+    judged = _event(inspections.filter("result = 'pass'"), 4, "inspection", "inspection_id", "inspected_at")
+    failed = inspections.filter("result <> 'pass' OR result IS NULL")
+    failed = _event(failed, 4, "inspection", "inspection_id", "inspected_at")
+    logs = reduce(DataFrame.unionByName, logged).withColumn("passed", F.lit(None).cast("boolean"))
+    logs = logs.unionByName(judged.withColumn("passed", F.lit(True)))
+    logs = logs.unionByName(failed.withColumn("passed", F.lit(False))).drop("location_id")
+
+    order, event = ["ts", "step", "ref_id"], F.col("event")
+    cut = sliced(logs, "instance_id", order, slices)
+    lent = scanned(
+        cut,
+        "instance_id",
+        order,
+        out=("last", F.when(event == "checkout", True).when(event == "return", False)),
+        loans=("sum", (event == "checkout").cast("bigint")),
+        earlier=("sum", F.lit(1)),
+    )
+    sets = (
+        F.when(event == "checkout", "out")
+        .when(event == "return", "back")
+        .when(F.col("out"), None)
+        .when(event == "wash", "washed")
+        .when(event == "inspection", F.when(F.col("passed"), "ready").otherwise("back"))
+        .when(F.col("earlier") == 0, "ready")
+    )
+    known = scanned(lent, "instance_id", order, state=("last", sets))
+    state = F.coalesce("state", F.lit("unborn"))
+    in_turn = reduce(
+        lambda a, b: a | b, ((state == before) & (event == then) for before, then in LOOP_STEPS)
+    )
+    reached = in_turn & ((event == "birth") | F.coalesce("passed", F.lit(False)))
+    when = F.struct(*order)
+    rule = F.when(~in_turn, F.concat(event, F.lit(" while "), state))
+
+    def of_loop(number, met, reached, rule):
+        return F.struct(
+            number.cast("bigint").alias("loop_no"), met.alias("met"), reached.alias("reached"),
+            rule.alias("rule"),
+        )
+
+    starts = event == "checkout"
+    own = of_loop(F.col("loans") + starts.cast("bigint"), F.lit(True), reached, F.when(~starts, rule))
+    cut_short = of_loop(F.col("loans"), F.lit(False), F.lit(False), rule)
+    both = F.when(starts & rule.isNotNull(), F.array(own, cut_short)).otherwise(F.array(own))
+    rows = known.select("instance_id", "ts", when.alias("at"), F.explode(both).alias("in"))
+    rows = rows.select("instance_id", "ts", "at", "in.*")
+    found = rows.groupBy("instance_id", "loop_no").agg(
+        F.min(F.when(F.col("met"), F.col("ts"))).alias("started_at"),
+        F.count_if("met").alias("events"),
+        (F.max("reached") & (F.count("rule") == 0)).alias("complete"),
+        F.count("rule").alias("breaks"),
+        F.min_by(F.struct("ts", "rule"), F.when(F.col("rule").isNotNull(), F.col("at"))).alias("first"),
+    )
+    return found.select(
+        "instance_id", "loop_no", "started_at", "events", "complete", "breaks",
+        F.col("first.ts").alias("break_at"), F.col("first.rule").alias("rule"),
+    )
+
+
+def loop_breaks(loops: DataFrame) -> DataFrame:
+    """How often loops of ``loop_conformance`` first break by each rule; NULL: not broken."""
+    return loops.groupBy("rule").agg(
+        F.count("*").alias("loops"),
+        F.count_if("complete").alias("complete"),
+        F.min("break_at").alias("first_at"),
+        F.max("break_at").alias("last_at"),
+    )
+
+
 def with_matches(returns: DataFrame, matched: DataFrame) -> DataFrame:
     """Returns whose links include those that ``match_returns`` found, for any loan report."""
     links = matched.select("return_id", "matched_checkout_id")
