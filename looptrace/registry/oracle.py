@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from looptrace.registry.queries import KNN_K, KNN_KM, SALT
+from looptrace.schemas import TABLES
 from looptrace.sources.fixtures import (
     JSON_PATH, LOANS_AS_OF, POINT, PROJECTIONS, RAW_CHECKOUTS, RAW_LEDGER, RAW_READINGS,
     TELEMETRY_AS_OF, cte,
@@ -15,6 +16,59 @@ LAT, LNG = POINT
 HOURS = "date_diff('hour', checkout_time, return_time)"
 DUE = "checkout_time + to_days(due_back_days)"
 
+# One step of every item's state after the other.
+LOOP_TABLES = "packaging_instances checkouts returns inspections wash_cycles"
+LOOPS = """
+        , log AS (
+          SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY ts, step, id) AS n FROM (
+            SELECT instance_id, birthed_at AS ts, 0 AS step, 'birth' AS event,
+                   instance_id AS id, NULL::BOOLEAN AS passed FROM packaging_instances
+            UNION ALL SELECT instance_id, checkout_time, 1, 'checkout', checkout_id, NULL
+              FROM checkouts
+            UNION ALL SELECT instance_id, return_time, 2, 'return', return_id, NULL FROM returns
+            UNION ALL SELECT DISTINCT instance_id, start_time, 3, 'wash', wash_id, NULL
+              FROM inspections JOIN wash_cycles USING (wash_id)
+            UNION ALL SELECT instance_id, inspected_at, 4, 'inspection', inspection_id,
+                             coalesce(result = 'pass', false) FROM inspections)),
+        seen AS (
+          FROM (
+            WITH RECURSIVE walk AS (
+              SELECT DISTINCT instance_id, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, '' AS event,
+                     NULL::BOOLEAN AS passed, '' AS state, 'unborn' AS after, 0::BIGINT AS loops
+              FROM log
+              UNION ALL
+              SELECT l.instance_id, l.n, l.ts, l.event, l.passed, w.after,
+                     CASE l.event WHEN 'checkout' THEN 'out' WHEN 'return' THEN 'back' ELSE
+                       CASE w.after || ' ' || l.event
+                         WHEN 'unborn birth' THEN 'ready'
+                         WHEN 'unborn wash' THEN 'washed' WHEN 'ready wash' THEN 'washed'
+                         WHEN 'back wash' THEN 'washed'
+                         WHEN 'unborn inspection' THEN if(l.passed, 'ready', 'back')
+                         WHEN 'ready inspection' THEN if(l.passed, 'ready', 'back')
+                         WHEN 'back inspection' THEN if(l.passed, 'ready', 'back')
+                         WHEN 'washed inspection' THEN if(l.passed, 'ready', 'back')
+                         ELSE w.after END END,
+                     w.loops + (l.event = 'checkout')::BIGINT
+              FROM walk w JOIN log l ON l.instance_id = w.instance_id AND l.n = w.n + 1)
+            SELECT *, (state || ' ' || event) IN ('unborn birth', 'ready checkout', 'out return',
+                                                  'back wash', 'washed inspection') AS in_turn,
+                   event || ' while ' || state AS named
+            FROM walk WHERE n > 0)),
+        parts AS (
+          SELECT instance_id, loops AS loop_no, n, ts, true AS met,
+                 in_turn AND (event = 'birth' OR coalesce(passed, false)) AS reached,
+                 CASE WHEN NOT in_turn AND event <> 'checkout' THEN named END AS rule FROM seen
+          UNION ALL
+          SELECT instance_id, loops - 1, n, ts, false, false, named FROM seen
+          WHERE NOT in_turn AND event = 'checkout'),
+        loops AS (
+          SELECT instance_id, loop_no, min(ts) FILTER (met) AS started_at,
+                 count() FILTER (met) AS events, bool_or(reached) AND count(rule) = 0 AS complete,
+                 count(rule) AS breaks, arg_min(ts, n) FILTER (rule IS NOT NULL) AS break_at,
+                 arg_min(rule, n) FILTER (rule IS NOT NULL) AS rule
+          FROM parts GROUP BY ALL)
+"""
+
 # key -> (tables, text)
 REPORTS: dict[str, tuple[str, str]] = {
     # places
@@ -390,6 +444,35 @@ REPORTS: dict[str, tuple[str, str]] = {
                     THEN prev_id END AS matched_checkout_id
         FROM seen WHERE step = 1""",
     ),
+    "match_returns_nested": (
+        "checkouts returns",
+        """
+        , log AS (
+          SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY ts, step, id) AS n FROM (
+            SELECT instance_id, checkout_time AS ts, 0 AS step, checkout_id AS id FROM checkouts
+            WHERE checkout_id NOT IN
+              (SELECT checkout_id FROM returns WHERE checkout_id IS NOT NULL)
+            UNION ALL SELECT instance_id, return_time, 1, return_id FROM returns
+            WHERE checkout_id IS NULL))
+        SELECT r.return_id, r.instance_id, coalesce(checkout_id, got) AS matched_checkout_id
+        FROM returns r LEFT JOIN (
+          WITH RECURSIVE walk AS (
+            SELECT DISTINCT instance_id, 0::BIGINT AS n, []::BIGINT[] AS held,
+                   NULL::BIGINT AS return_id, NULL::BIGINT AS got FROM log
+            UNION ALL
+            SELECT l.instance_id, l.n,
+                   CASE WHEN step = 0 THEN list_append(held, id) ELSE held[: len(held) - 1] END,
+                   CASE WHEN step = 1 THEN id END, CASE WHEN step = 1 THEN held[-1] END
+            FROM walk w JOIN log l ON l.instance_id = w.instance_id AND l.n = w.n + 1)
+          SELECT return_id, got FROM walk WHERE return_id IS NOT NULL) m USING (return_id)""",
+    ),
+    "loop_conformance": (LOOP_TABLES, LOOPS + "SELECT * FROM loops"),
+    "loop_breaks": (
+        LOOP_TABLES,
+        LOOPS
+        + """SELECT rule, count() AS loops, count() FILTER (complete) AS complete,
+                    min(break_at) AS first_at, max(break_at) AS last_at FROM loops GROUP BY rule""",
+    ),
     "alerts": (
         "checkouts returns sensor_readings inspections contamination_incidents",
         f"""
@@ -757,64 +840,77 @@ def _files() -> dict[str, str]:
     }
 
 
-def _exports() -> dict[str, str]:
-    """Per table: columns in order, each an id with its domain (id:domain), a time (~time), a
-    step (column/step), a rounded place (column.) or plain; then the group that must be shared."""
-    tables = {
-        "locations": ("location_id:locations kind lat. lng.", "kind lat lng"),
-        "retailers": ("retailer_id:retailers location_id:locations", ""),
-        "hubs": ("hub_id:hubs location_id:locations washer_model", "washer_model"),
-        "packaging_catalog": (
-            "catalog_id:packaging_catalog kind material capacity_ml/100 deposit_amount_cents",
-            "kind material"),
-        "packaging_instances": (
-            "instance_id:packaging_instances catalog_id:packaging_catalog state ~birthed_at"
-            " ~retired_at", "state birthed_at retired_at"),
-        "deposit_accounts": (
-            "account_id:deposit_accounts customer_id:customers balance_cents/10000",
-            "balance_cents"),
-        "deposit_transactions": (
-            "tx_id:deposit_transactions account_id:deposit_accounts delta_cents/1000 reason"
-            " ref_table ref_id:ref_id ~created_at", "reason delta_cents created_at"),
-        "wash_cycles": (
-            "wash_id:wash_cycles hub_id:hubs ~start_time ~end_time temp_c/5 detergent",
-            "hub_id start_time end_time"),
-        "inspections": (
-            "inspection_id:inspections instance_id:packaging_instances wash_id:wash_cycles result"
-            " ~inspected_at", "result inspected_at"),
-        "contamination_incidents": (
-            "incident_id:contamination_incidents instance_id:packaging_instances kind severity"
-            " ~detected_at", "kind severity detected_at"),
-        "sensor_readings": (
-            "reading_id:sensor_readings instance_id:packaging_instances location_id:locations"
-            " sensor_type value/5 ~measured_at", "sensor_type value measured_at"),
-        "movements": (
-            "mv_id:movements instance_id:packaging_instances from_loc_id:locations"
-            " to_loc_id:locations ~moved_at", "to_loc_id moved_at"),
-        "audit_logs": (
-            "log_id:audit_logs entity_type entity_id:entity_id event_type ~created_at",
-            "entity_type event_type created_at"),
-    }
+# Exported columns (id:domain, ~time, coordinate., number/step) and those that single a row out.
+EXPORTED = {
+    "checkouts": (
+        "checkout_id:checkouts instance_id:packaging_instances retailer_id:retailers"
+        " customer_id:customers ~checkout_time due_back_days", "retailer_id checkout_time"),
+    "customers": ("customer_id:customers ~created_at", "created_at"),
+    "returns": (
+        "return_id:returns instance_id:packaging_instances customer_id:customers"
+        " location_id:locations ~return_time checkout_id:checkouts", "location_id return_time"),
+    "locations": ("location_id:locations kind lat. lng.", "kind lat lng"),
+    "retailers": ("retailer_id:retailers location_id:locations", ""),
+    "hubs": ("hub_id:hubs location_id:locations washer_model", "washer_model"),
+    "packaging_catalog": (
+        "catalog_id:packaging_catalog kind material capacity_ml/100 deposit_amount_cents",
+        "kind material"),
+    "packaging_instances": (
+        "instance_id:packaging_instances catalog_id:packaging_catalog state ~birthed_at"
+        " ~retired_at", "state birthed_at retired_at"),
+    "deposit_accounts": (
+        "account_id:deposit_accounts customer_id:customers balance_cents/10000",
+        "balance_cents"),
+    "deposit_transactions": (
+        "tx_id:deposit_transactions account_id:deposit_accounts delta_cents/1000 reason"
+        " ref_table ref_id:ref_id ~created_at", "reason delta_cents created_at"),
+    "wash_cycles": (
+        "wash_id:wash_cycles hub_id:hubs ~start_time ~end_time temp_c/5 detergent",
+        "hub_id start_time end_time"),
+    "inspections": (
+        "inspection_id:inspections instance_id:packaging_instances wash_id:wash_cycles result"
+        " ~inspected_at", "result inspected_at"),
+    "contamination_incidents": (
+        "incident_id:contamination_incidents instance_id:packaging_instances kind severity"
+        " ~detected_at", "kind severity detected_at"),
+    "sensor_readings": (
+        "reading_id:sensor_readings instance_id:packaging_instances location_id:locations"
+        " sensor_type value/5 ~measured_at", "sensor_type value measured_at"),
+    "movements": (
+        "mv_id:movements instance_id:packaging_instances from_loc_id:locations"
+        " to_loc_id:locations ~moved_at", "to_loc_id moved_at"),
+    "audit_logs": (
+        "log_id:audit_logs entity_type entity_id:entity_id event_type ~created_at",
+        "entity_type event_type created_at"),
+}
+
+
+def _coarse(column: str) -> tuple[str, str]:
+    if column[0] == "~":
+        return column[1:], f"date_trunc('month', {column[1:]})::TIMESTAMP"
+    if column[-1] == ".":
+        return column[:-1], f"round({column[:-1]}::DOUBLE, 2)"
+    if "/" in column:
+        name, step = column.split("/")
+        return name, f"(floor({name}::DOUBLE / {step}) * {step})::BIGINT"
+    return column.split(":")[0], column.split(":")[0]
 
-    def coarse(column: str) -> tuple[str, str]:
-        if column[0] == "~":
-            return column[1:], f"date_trunc('month', {column[1:]})::TIMESTAMP"
-        if column[-1] == ".":
-            return column[:-1], f"round({column[:-1]}::DOUBLE, 2)"
-        if "/" in column:
-            name, step = column.split("/")
-            return name, f"(floor({name}::DOUBLE / {step}) * {step})::BIGINT"
-        return column.split(":")[0], column.split(":")[0]
 
+def _pseudonym(column: str) -> str:
+    if ":" not in column:
+        return _coarse(column)[0]
+    name, domain = column.split(":")
+    return f"sha256('{SALT}|{domain}|' || {name}) AS {name}"
+
+
+def _exports() -> dict[str, str]:
+    """Exports by month, without groups below five; three have texts of their own above."""
     out = {}
-    for name, (columns, group) in tables.items():
-        listed = columns.split()
-        cut = ", ".join(f"{text} AS {c}" for c, text in map(coarse, listed))
-        shown = ", ".join(
-            f"sha256('{SALT}|{c.split(':')[1]}|' || {c.split(':')[0]}) AS {c.split(':')[0]}"
-            if ":" in c else coarse(c)[0]
-            for c in listed
-        )
+    for name, (columns, group) in EXPORTED.items():
+        if f"anonymized_export_{name}" in REPORTS or name == "checkouts":
+            continue
+        cut = ", ".join(f"{text} AS {c}" for c, text in map(_coarse, columns.split()))
+        shown = ", ".join(map(_pseudonym, columns.split()))
         shared = (
             f" QUALIFY count() OVER (PARTITION BY {', '.join(f'cut.{g}' for g in group.split())})"
             " >= 5" if group else ""
@@ -825,6 +921,87 @@ def _exports() -> dict[str, str]:
     return out
 
 
+def _order(column: str, kind: str) -> str:
+    """A column's order as a double; texts by their first six bytes."""
+    if kind == "string":
+        return f"('0x' || rpad(substr(hex({column}), 1, 12), 12, '0'))::BIGINT::DOUBLE"
+    return f"epoch_us({column}) / 1e6" if kind == "timestamp" else f"{column}::DOUBLE"
+
+
+def _generalized() -> dict[str, str]:
+    """Exports by month in groups of five or more: median cuts one after the other."""
+    out, k = {}, 5
+    for name, (columns, group) in EXPORTED.items():
+        kinds = {c.name: c.type.typeName() for c in TABLES[name].columns}
+        single, listed = group.split(), columns.split()
+        if not single:
+            shown = ", ".join(f"{text} AS {c}" for c, text in map(_coarse, listed))
+            last = ", ".join(map(_pseudonym, listed))
+            out[f"generalized_export_{name}"] = (
+                cte(name) + f", cut AS (SELECT {shown} FROM {name})\nSELECT {last} FROM cut")
+            continue
+        every = range(len(single))
+
+        def each(text: str) -> str:
+            return ", ".join(text.format(i=i, c=single[i]) for i in every)
+
+        options = ", ".join(
+            f"CASE WHEN {n}{i} BETWEEN {k} AND n - {k}"
+            f" THEN {{'o': -s{i}, 'j': {i}, 'w': {w}, 'up': x{i} {sign} m{i}}} END"
+            for i in every for n, w, sign in (("above", "false", ">"), ("from", "true", ">="))
+        )
+        coded = ", ".join(f"{_order(c, kinds[c])} AS x{i}" for i, c in enumerate(single))
+        shown, named = [], []
+        for c in listed:
+            column = _coarse(c)[0]
+            if column not in single:
+                shown.append(f"{_coarse(c)[1]} AS {column}")
+                named.append(_pseudonym(c))
+            elif ":" in c or kinds[column] == "string":
+                shown.append(
+                    f"CASE WHEN min({column}) OVER g = max({column}) OVER g"
+                    f" AND count({column}) OVER g = count(*) OVER g THEN {column} END AS {column}")
+                named.append(_pseudonym(c))
+            else:
+                ends = [f"{column}_from", f"{column}_to"]
+                shown += [f"{f}({column}) OVER g AS {e}" for f, e in zip(("min", "max"), ends)]
+                named += ends
+        out[f"generalized_export_{name}"] = cte(name) + f"""
+        , coded AS (SELECT *, row_number() OVER () AS r, {coded} FROM {name}),
+        ends AS (SELECT {each("coalesce(min(x{i}), 0) AS a{i}, coalesce(max(x{i}), 0) AS b{i},"
+                              " coalesce(bool_or(x{i} IS NULL), false) AS n{i}")} FROM coded),
+        nulls AS (SELECT *, {each("a{i} - greatest((b{i} - a{i}) / 16, 1.0) AS z{i}")} FROM ends),
+        filled AS (
+          SELECT r, {each("coalesce(x{i}, z{i}) AS x{i}")},
+                 {each("coalesce(nullif(b{i} - if(n{i}, z{i}, a{i}), 0), 1.0) AS w{i}")}
+          FROM coded, nulls),
+        parts AS (
+          FROM (
+            WITH RECURSIVE cuts AS (
+              SELECT *, '' AS part, true AS open FROM filled
+              UNION ALL
+              SELECT r, {each("x{i}")}, {each("w{i}")},
+                     CASE WHEN best IS NULL THEN part ELSE part || best.up::INT END,
+                     best IS NOT NULL
+              FROM (
+                SELECT *, list_sort(list_filter([{options}], lambda o: o IS NOT NULL))[1] AS best
+                FROM (
+                  SELECT *, {each("count(*) FILTER (x{i} > m{i}) OVER p AS above{i},"
+                                  " count(*) FILTER (x{i} >= m{i}) OVER p AS from{i}")}
+                  FROM (
+                    SELECT *, count(*) OVER p AS n,
+                           {each("(max(x{i}) OVER p - min(x{i}) OVER p) / w{i} AS s{i},"
+                                 " quantile_disc(x{i}, 0.5) OVER p AS m{i}")}
+                    FROM cuts WHERE open WINDOW p AS (PARTITION BY part))
+                  WINDOW p AS (PARTITION BY part))))
+            SELECT r, part FROM cuts WHERE NOT open)),
+        cut AS (SELECT {", ".join(shown)} FROM coded JOIN parts USING (r)
+                WINDOW g AS (PARTITION BY part)
+                QUALIFY count(*) OVER g >= {k})
+        SELECT {", ".join(named)} FROM cut"""
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     reports = {name: cte(*tables.split()) + text for name, (tables, text) in REPORTS.items()}
-    return reports | _checks() | _loads() | _files() | _exports()
+    return reports | _checks() | _loads() | _files() | _exports() | _generalized()

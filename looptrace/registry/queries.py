@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from looptrace.operators import quality
-from looptrace.operators.anonymize import anonymize
+from looptrace.operators.anonymize import anonymize, generalize
 from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import apply_delete, ref_delete
 from looptrace.plans import audit, customers, cycles, incidents, movements, packaging, places
@@ -32,6 +32,11 @@ SALT = "pepper"  # fixed value: the checks hash with the same one
 KNN_K, KNN_KM = 3, 2.0
 
 
+def _loops(t: Loop) -> DataFrame:
+    return trace.loop_conformance(
+        t.packaging_instances, t.checkouts, t.returns, t.inspections, t.wash_cycles)
+
+
 def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
     now, then = TELEMETRY_AS_OF, LOANS_AS_OF
     lat, lng = POINT
@@ -118,6 +123,9 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
             t.packaging_instances, t.movements, t.checkouts, t.returns,
             t.contamination_incidents, t.locations, then),
         "match_returns": lambda t: trace.match_returns(t.checkouts, t.returns),
+        "match_returns_nested": lambda t: trace.match_returns_nested(t.checkouts, t.returns),
+        "loop_conformance": _loops,
+        "loop_breaks": lambda t: trace.loop_breaks(_loops(t)),
         "alerts": lambda t: trace.alerts(
             t.checkouts, t.returns, t.sensor_readings, t.inspections,
             t.contamination_incidents, now),
@@ -212,14 +220,20 @@ def _loads() -> dict[str, Callable[[Loop], DataFrame]]:
 
 
 def _exports() -> dict[str, Callable[[Loop], DataFrame]]:
-    """The tables that the named exports leave out, by month in groups of five or more."""
+    """All tables by month in groups of five or more: without the rows of smaller groups, where no
+    named export does that, and with all rows in ranges."""
     named = ("checkouts", "customers", "returns")
-    return {
+    coarse = {
         f"anonymized_export_{name}": lambda t, name=name: anonymize(
             name, t[name], SALT, unit="month")
         for name in TABLES
         if name not in named
     }
+    return coarse | {
+        f"generalized_export_{name}": lambda t, name=name: generalize(
+            name, t[name], SALT, unit="month")
+        for name in TABLES
+    }
 
 
 def _bind(build: Callable[[Loop], DataFrame], **options) -> Query:
