@@ -20,9 +20,9 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -203,9 +203,9 @@ def _add_templates() -> None:
     conditions = TEMPLATES["BSD-2-Clause"][1]
     add("BSD-2-Clause", f"{conditions} {BSD_END}")
     add("BSD-3-Clause", f"{conditions} {BSD_THIRD}", f"{conditions} {BSD_THIRD} {BSD_END}")
-    folder = Path(__file__).parent / "licence_texts"
+    folder = resources.files(__package__).joinpath("licence_texts")  # also in a zip
     for name in FULL:
-        text = (folder / f"{name}.txt").read_text(encoding="utf-8")
+        text = folder.joinpath(f"{name}.txt").read_text(encoding="utf-8")
         add(name, text.split("For more information, please refer to")[0])
     affero = re.sub(r"GNU\s+General\s+Public", "GNU Affero General Public", TEMPLATES["GPL-3.0"][-1],
                     flags=re.I)
@@ -279,9 +279,10 @@ def dice(a: Bigrams, b: Bigrams) -> float:
 
 
 class Words:
-    """A sequence of words as numbered bigrams: where each stands before and next."""
+    """A sequence of words as numbered bigrams: where each stands before and next, and which of
+    the templates' marks (`bits`) each has; all marks of no template are one more bit."""
 
-    def __init__(self, words: list[str], places: list[int]):
+    def __init__(self, words: list[str], places: list[int], bits: dict[str, int]):
         self.words, self.places = words, places
         number: dict[tuple[str, str], int] = {}
         self.ids = np.array(
@@ -294,19 +295,14 @@ class Words:
         self.before, self.next = np.full(n, -1), np.full(n, n)
         self.before[order[1:][same]] = order[:-1][same]
         self.next[order[:-1][same]] = order[1:][same]
-        self.bits: dict[str, int] = {}
-        own = [
-            sum(1 << self.bits.setdefault(m, min(len(self.bits), 62)) for m in marks_of(p))
-            for p in self.pairs
-        ]
-        self.marked = np.array(own, np.int64)[self.ids]
+        self.bits = bits
+        own = [self.mask(marks_of(p)) for p in self.pairs]
+        self.marked = np.array(own, np.int64 if len(bits) < 63 else object)[self.ids]
 
-    def mask(self, template: Bigrams) -> int | None:
-        """The marks of a template as bits; None if some of them aren't in these words."""
-        wanted = marks(template)
-        if not wanted <= self.bits.keys():
-            return None
-        return sum(1 << self.bits[m] for m in wanted)
+    def mask(self, found: Iterable[str]) -> int:
+        """Marks as bits."""
+        places = {self.bits.get(m, len(self.bits)) for m in found}
+        return sum(1 << p for p in places)
 
     def windows(self, template: Bigrams, least: float) -> list[tuple[float, int, int, int]]:
         """(coefficient, bigrams in common, first, last bigram) of each start's best window.
@@ -315,9 +311,7 @@ class Words:
         stand in it again: without that it would be as good or better.
         """
         exact = len(template) <= LONG_TEXT
-        mask = self.mask(template) if exact else 0
-        if mask is None:
-            return []
+        mask = self.mask(marks(template)) if exact else 0
         size, most = len(template), len(template) * (2 - least) / least + 1e-9
         hits = np.array([p in template for p in self.pairs], bool)[self.ids]
         found = []
@@ -371,6 +365,8 @@ class Scanner:
             key=lambda x: (x[0], sorted(x[1])),
         )
         self.enough = [len(b) * least / (2 - least) - 1e-9 for _, b in self.known]
+        told = sorted({m for _, b in self.known if len(b) <= LONG_TEXT for m in marks(b)})
+        self.bits = {m: i for i, m in enumerate(told)}
         self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
         for k, (_, found) in enumerate(self.known):
             for pair in found:
@@ -400,10 +396,10 @@ class Scanner:
         claims = [bool(CLAIM.match(line)) for line in text.split("\n")]
         words = [w for line in found for w in line]
         line_of = [i for i, line in enumerate(found) for _ in line]
-        sequences = [Words(words, list(range(len(words))))]
+        sequences = [Words(words, list(range(len(words))), self.bits)]
         if any(claims):
             left = [k for k, i in enumerate(line_of) if not claims[i]]
-            sequences.append(Words([words[k] for k in left], left))
+            sequences.append(Words([words[k] for k in left], left, self.bits))
         chosen = []
         for k in sorted({k for q in sequences for k in self.possible(q.words)}):
             windows = [

@@ -72,7 +72,7 @@ def test_windows_against_all_windows():
             licences.dice(licences.bigrams(words[i:j]), template)
             for i in range(len(words)) for j in range(i + 2, len(words) + 1)
         )
-        found = licences.Words(words, list(range(len(words)))).windows(template, 0.5)
+        found = licences.Words(words, list(range(len(words))), {}).windows(template, 0.5)
         assert max((w[0] for w in found), default=0) == (pytest.approx(best) if best >= 0.5 else 0)
         for score, _, first, last in found:
             assert score == pytest.approx(
@@ -110,3 +110,33 @@ def test_full_texts_within_others(name):
     assert max(found, key=lambda x: x[2])[1] == name
     bsd = f"{licences.TEMPLATES['BSD-2-Clause'][1]}\n{licences.BSD_THIRD}\n{licences.BSD_END}"
     assert [n for _, n, _ in licences.Scanner().scan(bsd)] == ["BSD-3-Clause"]
+
+
+NOTICES = (
+    "Licensed under GPL v3.", "Licensed under the MIT License.", "Licensed under CC BY-NC 4.0.",
+    "Released under the BSD 2-Clause License.", "Licensed under the Apache License, Version 2.0.",
+    "Licensed under the Mozilla Public License 2.0.", "Under LGPLv2.1.", "Licensed under CC0 1.0 License.",
+    "SPDX-License-Identifier: AGPL-3.0-only", "This work is licensed under a Creative Commons"
+    " Attribution-ShareAlike 3.0 Unported License.",
+)
+
+
+@pytest.mark.parametrize("notice", NOTICES)
+def test_an_answer_does_not_hang_on_the_text_before(notice):
+    scanner = licences.Scanner()
+    alone = scanner.scan(notice)
+    assert len(alone) == 1
+    log = "\n".join(f"- v{i}.{i % 9}.{i % 5} fixes version {i}.0 of gpl{i}" for i in range(500))
+    for before in (log, "version " + " v".join(map(str, range(70)))):
+        got = scanner.scan(f"{before}\n{notice}\n{log}")
+        line = before.count("\n") + 1
+        assert [(n, name, score) for n, name, score in got if n == line] == [(line, *alone[0][1:])]
+
+
+def test_templates_with_more_marks_than_a_word_has_bits():
+    templates = {f"L{i}": [f"Licensed under the Own License, version {i}."] for i in range(90)}
+    scanner = licences.Scanner(templates)
+    assert len(scanner.bits) > 63
+    for i in (0, 61, 62, 63, 64, 89):
+        assert [x[1] for x in scanner.scan(templates[f"L{i}"][0])] == [f"L{i}"]
+    assert scanner.scan("Licensed under the Own License, version 900.") == []
