@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,24 @@ from looptrace.session import stored
 
 SENT_KEYS = 50_000  # frequent keys that are sent to every task, at most
 FREQUENT_ROWS = 500  # rows of a key that is never sent
-ROWS_AT_ONCE = 512  # texts that a Python function sees together; bounds its memory
+ROWS_AT_ONCE = 512  # texts that a Python function sees together, at most
+BYTES_AT_ONCE = 4_000_000  # of them, at most; a longer text is alone
+
+
+def parts_of(batch: pa.RecordBatch, columns: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that bound the memory of what is made of the columns' texts."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        kind = batch.schema.field(c).type
+        if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind):
+            sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        fits = int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right"))
+        stop = max(start + 1, min(fits, start + ROWS_AT_ONCE))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def append(
@@ -32,8 +51,7 @@ def append(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
+            for part in parts_of(batch, [read.index(c) for c in inputs]):
                 made = build(*(part.column(read.index(c)) for c in inputs))
                 columns = [part.column(read.index(f.name)) for f in kept] + made
                 yield pa.RecordBatch.from_arrays(

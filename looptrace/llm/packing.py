@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from looptrace.llm import tokens
-from looptrace.llm.common import ROWS_AT_ONCE
+from looptrace.llm.common import parts_of
 
 LONGEST = 2048
 END_ID = 1
@@ -60,8 +60,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokens.ids(path), end_id.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in parts_of(batch, [1]):
                 rows, made, pieces = [], [[], [], [], []], []
                 for row, text in enumerate(part.column(1).to_pylist()):
                     data = memoryview((encode.of(text) if text else b"") + end)

@@ -32,6 +32,7 @@ SAMPLE_DOCS = 2_000  # documents, about, whose windows join the labelled table
 WINDOWS = 200  # of them that do, at most, and of at most LONGEST_WINDOW characters
 LONGEST_WINDOW = 240
 MARGIN = 48  # characters beside a find that the CRF sees
+TOKENS_AT_ONCE = 100_000  # tokens that are labelled together; a longer window is alone
 Span = tuple[str, int, int]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,7 +82,8 @@ def only_digits(text: str) -> str:
 
 
 def small_parts(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    parts = [p.lstrip("0") or "0" for p in text.split(".")]
+    return all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def pattern_spans(text: str) -> list[Span]:
@@ -135,8 +137,9 @@ def holds(kind: str, found: str) -> bool:
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """A span without signs around it, but for brackets that close in it."""
+    closing = text.rfind(")", start, end)
     while start < end and not text[start].isalnum() and text[start] != "+" and not (
-        text[start] == "(" and ")" in text[start:end]
+        text[start] == "(" and start < closing
     ):
         start += 1
     while start < end and not text[end - 1].isalnum():
@@ -150,18 +153,38 @@ def balanced(text: str) -> bool:
 
 def added_spans(texts: list[str], base: list[list[Span]], model: crf.Model) -> list[list[Span]]:
     """The spans that the CRF adds to each text, decoded in one batch."""
-    places, rows, cut = [], [], []
+    out: list[list[Span]] = [[] for _ in texts]
+    waiting: list[tuple[int, int, list]] = []
+    held = 0
     for i, text in enumerate(texts):
         for start, end in windows(text):
             toks = crf.tokens(text[start:end])
             if toks:
-                places.append((i, start))
-                rows.append([t[2] for t in toks])
-                cut.append(toks)
-    out: list[list[Span]] = [[] for _ in texts]
-    if not rows:
-        return out
-    for (i, start), toks, labels in zip(places, cut, model.decode(rows)):
+                waiting.append((i, start, toks))
+                held += len(toks)
+            if held > TOKENS_AT_ONCE:
+                _add_decoded(texts, base, out, waiting, model)
+                waiting, held = [], 0
+    _add_decoded(texts, base, out, waiting, model)
+    return out
+
+
+def _add_decoded(
+    texts: list[str],
+    base: list[list[Span]],
+    out: list[list[Span]],
+    waiting: list[tuple[int, int, list]],
+    model: crf.Model,
+) -> None:
+    """Adds the spans of windows, as (text, start, tokens), to those of their texts."""
+    now, taken = -1, bytearray()
+    rows = [[t[2] for t in toks] for _, _, toks in waiting]
+    for (i, start, toks), labels in zip(waiting, model.decode(rows)):
+        text = texts[i]
+        if i != now:
+            now, taken = i, bytearray(len(text))
+            for _, a, b in base[i] + out[i]:
+                taken[a:b] = b"\1" * (b - a)
         names = [model.labels[k] for k in labels]
         t = 0
         while t < len(names):
@@ -172,15 +195,13 @@ def added_spans(texts: list[str], base: list[list[Span]], model: crf.Model) -> l
             t += 1
             while t < len(names) and names[t] == f"I-{kind}":
                 t += 1
-            a, b = trimmed(texts[i], start + toks[first][0], start + toks[t - 1][1])
-            if kind == "email" and holds(kind, texts[i][a:b]):
-                if m := WRITTEN.search(texts[i], a, b):  # without words beside the address
+            a, b = trimmed(text, start + toks[first][0], start + toks[t - 1][1])
+            if kind == "email" and holds(kind, text[a:b]):
+                if m := WRITTEN.search(text, a, b):  # without words beside the address
                     a, b = m.span() if holds(kind, m[0]) else (a, b)
-            if holds(kind, texts[i][a:b]) and not any(
-                a < y and x < b for _, x, y in base[i] + out[i]
-            ):
+            if holds(kind, text[a:b]) and taken.find(1, a, b) < 0:
                 out[i].append((kind, a, b))
-    return out
+                taken[a:b] = b"\1" * (b - a)
 
 
 def joined(spans: list[Span]) -> str:

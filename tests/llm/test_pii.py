@@ -113,3 +113,69 @@ def test_cue_words_in_plain_text_give_no_spans(model):
     for text in ("at that point she was at work", "el punto de partida fue la arroba",
                  "der punkt am ende", "le point de vue est au point", "point 3 at 10.5 of the list"):
         assert pii.added_spans([text], [[]], model) == [[]], text
+
+
+def digits_of_all_sorts():
+    import unicodedata
+
+    return [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nd")]
+
+
+def test_signs_that_only_look_like_digits(model):
+    signs = digits_of_all_sorts()
+    assert len(signs) > 1_000
+    texts = ["area 10² call 555 555 0199", *(f"call {s} or {s}7 5{s} 555 555 0142" for s in signs)]
+    base = [pii.pattern_spans(t) for t in texts]
+    added = pii.added_spans(texts, base, model)
+    assert all(t[a:b].strip() for t, spans in zip(texts, added) for _, a, b in spans)
+
+
+def test_a_part_of_many_zeros_is_a_part(model):
+    text = "0" * 5_000 + ".1.1.1"
+    assert pii.pattern_spans(text) == [("ip", 0, len(text))]
+    assert pii.pattern_spans("9" * 5_000 + ".1.1.1") == []
+    assert pii.added_spans([text], [pii.pattern_spans(text)], model) == [[]]
+
+
+def test_pieces_of_a_batch_change_no_span(model, monkeypatch):
+    texts = [t for t, _ in pii.written_rows(seed=3)][:300]
+    texts += [" ".join(texts[i : i + 9]) for i in range(0, 60, 9)]
+    base = [pii.pattern_spans(t) for t in texts]
+    whole = pii.added_spans(texts, base, model)
+    assert sum(map(len, whole)) > 50
+    monkeypatch.setattr(pii, "TOKENS_AT_ONCE", 40)
+    monkeypatch.setattr(pii.crf, "PADDED", 30)
+    monkeypatch.setattr(pii.crf, "STEPS", 5)
+    assert pii.added_spans(texts, base, model) == whole
+
+
+def test_a_long_table_of_numbers_stays_small(model):
+    import random
+    import tracemalloc
+
+    draw = random.Random(1)
+    text = " ".join(str(draw.randrange(10 ** draw.randrange(1, 8))) for _ in range(100_000))
+    base = pii.pattern_spans(text)
+    tracemalloc.start()
+    found = pii.added_spans([text, "call 555 555 0199", *["a@b.cc 1 2 3 4567"] * 255],
+                            [base, [], *[pii.pattern_spans("a@b.cc 1 2 3 4567")] * 255], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and len(found) == 257
+
+
+def test_many_finds_in_one_text_take_linear_time(model):
+    text = "the host is 10.0.0.1 in the office and please call 555 555 0199 before noon then\n" * 20_000
+    base = pii.pattern_spans(text)
+    assert len(base) == 20_000
+    assert len(pii.added_spans([text], [base], model)[0]) >= 19_000
+
+
+def test_gradient_steps_raise_the_likelihood_of_the_tags():
+    rows = pii.written_rows(seed=5)[::3]
+    model = pii.train(rows)
+    texts = [t for t, _ in rows]
+    found = pii.added_spans(texts, [[] for _ in texts], model)
+    right = sum({s for s in spans if pii.holds(s[0], t[s[1] : s[2]])} <= set(got)
+                for (t, spans), got in zip(rows, found))
+    assert right >= 0.95 * len(rows)
