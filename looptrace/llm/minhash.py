@@ -194,6 +194,14 @@ def near_classes(docs: DataFrame, rows: DataFrame, link: int = LINK, block: int
 
     `docs` has doc_id, text and text_hash, and `rows` the signatures of the same rows.
     """
+    edges = candidate_tasks(docs, rows, block).groupBy("task", "lo", "hi").applyInArrow(
+        lambda table: verify(table, link), "a binary, b binary"
+    )
+    return components(edges, "links").withColumnRenamed("node", "key")
+
+
+def candidate_tasks(docs: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The texts that a task (task, lo, hi) compares: one of each class of its candidate groups."""
     classes = stored(
         rows.where("n_shingles > 0")
         .groupBy("key")
@@ -224,16 +232,12 @@ def near_classes(docs: DataFrame, rows: DataFrame, link: int = LINK, block: int
         F.when(F.col("blocks").isNull(), -1).otherwise(F.least("side", "other")).alias("lo"),
         F.when(F.col("blocks").isNull(), -1).otherwise(F.greatest("side", "other")).alias("hi"),
     )
-    texts = docs.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "text"
-    )
-    tasks = placed.join(
-        texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    ).select("task", "lo", "hi", "grp", "side", "key", "text")
-    edges = tasks.groupBy("task", "lo", "hi").applyInArrow(
-        lambda table: verify(table, link), "a binary, b binary"
+    # a class has one row: equal rows are one before any text moves
+    texts = docs.groupBy(F.struct("doc_id", "text_hash").alias("row")).agg(
+        F.first("text").alias("text")
     )
-    return components(edges, "links").withColumnRenamed("node", "key")
+    placed = placed.withColumn("row", F.struct("doc_id", "text_hash"))
+    return placed.join(texts, "row").select("task", "lo", "hi", "grp", "side", "key", "text")
 
 
 def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from looptrace.llm import minhash
 
@@ -99,3 +100,16 @@ def test_one_row_of_each_component_stays(docs):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([
         (3, text.lower()), (None, None), (None, None), (1, ""), (None, "only without an id here")],
         key=str)
+
+
+def test_a_task_sees_one_row_of_each_class(docs):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = docs(*[(d, near[0]) for d in [None] * 1_500 + [7] * 1_500], *[(8, near[1])] * 40)
+    base = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = minhash.stored(minhash.signed(base).drop("text"), "signatures")
+    tasks = minhash.candidate_tasks(base, signed).collect()
+    assert sorted(r.text for r in tasks) == sorted(near)
+    got = minhash.near_duplicates(rows).collect()
+    assert len(got) == 3_040 and {r.component_id for r in got} == {7}
+    assert sorted(r.text for r in minhash.keep_one(rows).collect()) == [near[0]]
