@@ -17,7 +17,9 @@ SHARED bytes and what stands before the anchors agrees as far as the windows go.
 
 A place that more than HOT parts share sends every window as a suffix of its own instead, spread by
 their own hashes, so no task gets an unbounded group. Texts are compared as UTF-8; a null text is
-empty. Equal rows repeat each other. Empty tables give no rows; only doc_id and text are read.
+empty. Equal rows repeat each other: they are one row with a count, whose text is a repetition as a
+whole, and each gets the answer. Very long texts are a row of a part each, and are looked at in steps.
+Empty tables give no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -53,11 +55,13 @@ Record = tuple[bytes, bytes]  # a suffix, as far as its windows reach, and what
 
 
 def dealt(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, ids, sizes, blob): some texts of a part, compressed together."""
+    """Rows (part, ids, counts, sizes, blob): some texts of a part, compressed together. Equal rows of
+    a task travel once, with their count."""
     key = docs.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("part", T.IntegerType()),
         T.StructField("ids", T.ArrayType(key)),
+        T.StructField("counts", T.ArrayType(T.LongType())),
         T.StructField("sizes", T.ArrayType(T.LongType())),
         T.StructField("blob", T.BinaryType()),
     ])
@@ -67,29 +71,30 @@ def dealt(docs: DataFrame, parts: int) -> DataFrame:
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: dict[int, tuple[list, list]] = {}
+        pending: dict[int, Counter] = {}  # by part, rows (doc_id, text) and how often each was met
         waiting = 0
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def sent(part: int) -> pa.RecordBatch:
-            ids, texts = pending.pop(part)
-            id_type = ids_type[0]
+            rows = pending.pop(part)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([ids], pa.list_(id_type)),
-                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                 pa.array([squeeze(b"".join(texts))], pa.binary())],
-                names=["part", "ids", "sizes", "blob"],
+                [pa.array([part], pa.int32()),
+                 pa.array([[doc for doc, _ in rows]], pa.list_(ids_type[0])),
+                 pa.array([list(rows.values())], pa.list_(pa.int64())),
+                 pa.array([[len(t) for _, t in rows]], pa.list_(pa.int64())),
+                 pa.array([squeeze(b"".join(t for _, t in rows))], pa.binary())],
+                names=["part", "ids", "counts", "sizes", "blob"],
             )
 
         ids_type = [pa.int64()]
         for batch in batches:
             ids_type[0] = batch.schema.field(1).type
             for part, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, texts = pending.setdefault(part, ([], []))
-                ids.append(doc)
-                texts.append(text or b"")
-                waiting += len(texts[-1])
-                if waiting > 32 * SENT_BYTES or len(texts[-1]) > SENT_BYTES:
+                row, rows = (doc, text or b""), pending.setdefault(part, Counter())
+                size = 0 if row in rows else len(row[1])
+                rows[row] += 1
+                waiting += size
+                if waiting > 32 * SENT_BYTES or size > SENT_BYTES:
                     for p in list(pending):
                         yield sent(p)
                     waiting = 0
@@ -100,18 +105,23 @@ def dealt(docs: DataFrame, parts: int) -> DataFrame:
 
 
 class Part:
-    """The texts of a part in one buffer, ordered so that every attempt sees the same."""
+    """The texts of a part in one buffer, equal rows once, ordered so that every attempt sees the
+    same."""
 
     def __init__(self, table: pa.Table):
         unpack = zstandard.ZstdDecompressor().decompress
-        rows = []
-        for ids, sizes, blob in zip(*(table[c].to_pylist() for c in ("ids", "sizes", "blob"))):
+        met: Counter = Counter()
+        for i in range(len(table)):
+            ids, counts, sizes, blob = (
+                table[c][i].as_py() for c in ("ids", "counts", "sizes", "blob")
+            )
             raw, at = unpack(blob) if sum(sizes) else b"", 0
-            for doc, size in zip(ids, sizes):
-                rows.append((doc, raw[at : at + size]))
+            for doc, count, size in zip(ids, counts, sizes):
+                met[doc, raw[at : at + size]] += count
                 at += size
-        rows.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
+        rows = sorted(met, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
         self.ids = [r[0] for r in rows]
+        self.counts = [met[r] for r in rows]
         self.text = b"".join(r[1] for r in rows)
         self.ends = np.cumsum([len(r[1]) for r in rows], dtype=np.int64)
         self.codes = BYTE  # hashes of single bytes
@@ -491,15 +501,21 @@ def cleaned(table: pa.Table, replies: pa.Table, shares: int, id_type, texts: boo
         np.add.at(covered, at + SPAN, -1)
     gone = np.cumsum(covered)[:-1] > 0
     data = np.frombuffer(part.text, np.uint8)
-    rows = []
-    for doc, start, end in zip(part.ids, [0, *part.ends[:-1].tolist()], part.ends.tolist()):
+    rows, often = [], []
+    for doc, count, start, end in zip(
+        part.ids, part.counts, [0, *part.ends[:-1].tolist()], part.ends.tolist()
+    ):
         cut = gone[start:end]
+        if count > 1 and end - start >= SPAN:  # equal rows repeat all of each other
+            cut = np.ones(end - start, bool)
+        often.append(count)
         removed = int(cut.sum())
         kept = part.text[start:end] if not removed else data[start:end][~cut].tobytes()
         spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if removed else 0
         row = [doc, end - start, removed, spans, hashlib.sha256(kept).hexdigest()]
         rows.append(row + [kept.decode("utf-8", "replace")] * texts)
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    found = pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    return found.take(pa.array(np.repeat(np.arange(len(rows)), often)))
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT, part_bytes: int = PART_BYTES,

@@ -80,3 +80,16 @@ def test_merging_gives_the_sorted_order():
 def test_text_left_over(docs):
     df = suffixes.remove_repeats(docs((1, "x" + "ab" * 150), (2, "short")), with_text=True)
     assert {r.doc_id: r.text for r in df.collect()} == {1: "x", 2: "short"}
+
+
+def test_equal_rows_are_one_row_of_a_part(spark, docs):
+    draw = random.Random(6)
+    text = "".join(draw.choices("abcdefgh ", k=900))
+    other = text[300:700] + "".join(draw.choices("xyz", k=300))
+    rows = docs((None, text)).crossJoin(spark.range(20_000)).drop("id").unionByName(
+        docs((1, other), (2, "short"), (2, "short"), (3, "q" * 150)))
+    parts = suffixes.dealt(rows, 3).collect()
+    assert sum(len(r.ids) for r in parts) < 100 and sum(sum(r.counts) for r in parts) == 20_004
+    got = suffixes.remove_repeats(rows).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (None, 900, 900, 1, 20_000), (1, 700, 400, 1, 1), (2, 5, 0, 0, 2), (3, 150, 0, 0, 1)], key=str)
