@@ -322,25 +322,25 @@ def ids_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ids_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The SHA-256 of each node's pieces, joined by commas; one piece after the other."""
 
-    def row(key: tuple, state) -> pa.RecordBatch:
-        values = [pa.array([v], pa.int64()) for v in key] + [pa.array([state.hexdigest()])]
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * 4
+        values = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.string())]
         return pa.RecordBatch.from_arrays(values, names=["depth", "x", "y", "ends_sha256"])
 
-    now, state, done = None, None, []
+    now, state = None, None
     for batch in batches:
-        pieces = batch.column("ids")
+        pieces, done = batch.column("ids"), []
         for key, a, b in _runs(batch):
             if key != now:
                 if now is not None:
-                    done.append(row(now, state))
+                    done.append((*now, state.hexdigest()))
                 now, state = key, hashlib.sha256()
             else:
                 state.update(b",")
             state.update(",".join(pieces.slice(a, b - a).to_pylist()).encode())
-        yield from done
-        done = []
+        yield rows(done)
     if now is not None:
-        yield row(now, state)
+        yield rows([(*now, state.hexdigest())])
 
 
 def ends_hashed(steps: DataFrame, ids: DataFrame) -> DataFrame:
