@@ -12,7 +12,7 @@ NAMES = ["language", "near_copies", "personal_data", "mixing", "packing"]
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == NAMES
     assert set(queries.queries()) < set(entry.queries()) and "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_stages_one_by_one(spark, given):
