@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from looptrace.registry.queries import KNN_K, KNN_KM, SALT
+from looptrace.registry.queries import KNN_K, KNN_KM, LOAN_DAYS, READ_DAYS, SALT
 from looptrace.schemas import TABLES
 from looptrace.sources.fixtures import (
     JSON_PATH, LOANS_AS_OF, POINT, PROJECTIONS, RAW_CHECKOUTS, RAW_LEDGER, RAW_READINGS,
@@ -473,6 +473,31 @@ REPORTS: dict[str, tuple[str, str]] = {
         + """SELECT rule, count() AS loops, count() FILTER (complete) AS complete,
                     min(break_at) AS first_at, max(break_at) AS last_at FROM loops GROUP BY rule""",
     ),
+    "sen_percentiles_range": (
+        "sensor_readings",
+        f"""
+        SELECT sensor_type, count(value) AS readings,
+               quantile_disc(value::DOUBLE, 0.5) AS p50, quantile_disc(value::DOUBLE, 0.9) AS p90
+        FROM sensor_readings
+        WHERE measured_at::DATE BETWEEN '{READ_DAYS[0]}' AND '{READ_DAYS[1]}' GROUP BY ALL""",
+    ),
+    "kpi_dashboard_range": (
+        "checkouts returns retailers locations",
+        f"""
+        SELECT l.name AS retailer, count(DISTINCT checkout_id) AS checkouts,
+               count(DISTINCT checkout_id) FILTER (back) AS returned,
+               count(DISTINCT checkout_id) FILTER (NOT back) AS open_loans
+        FROM (SELECT checkout_id, retailer_id, checkout_id IN
+                (SELECT r.checkout_id FROM returns r WHERE r.checkout_id IS NOT NULL
+                 AND r.return_time::DATE <= '{LOAN_DAYS[1]}') AS back
+              FROM checkouts
+              WHERE checkout_time::DATE BETWEEN '{LOAN_DAYS[0]}' AND '{LOAN_DAYS[1]}')
+        JOIN retailers USING (retailer_id) JOIN locations l USING (location_id)
+        GROUP BY ALL""",
+    ),
+    "sink_batches": (
+        "movements", "SELECT *, moved_at::DATE AS event_date FROM movements",
+    ),
     "alerts": (
         "checkouts returns sensor_readings inspections contamination_incidents",
         f"""

@@ -12,9 +12,10 @@ from looptrace.operators.anonymize import anonymize, generalize
 from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import apply_delete, ref_delete
 from looptrace.plans import audit, customers, cycles, incidents, movements, packaging, places
-from looptrace.plans import sensors, trace, washing
+from looptrace.plans import rollups, sensors, trace, washing
 from looptrace.schemas import TABLES
 from looptrace.session import scratch_dir
+from looptrace.sources.commits import append_batch, read_days
 from looptrace.sources.fixtures import (
     JSON_PATH, LOANS_AS_OF, POINT, RAW_CHECKOUTS, RAW_LEDGER, RAW_PLACES, RAW_READINGS,
     TELEMETRY_AS_OF, Loop,
@@ -32,6 +33,27 @@ SALT = "pepper"  # fixed value: the checks hash with the same one
 KNN_K, KNN_KM = 3, 2.0
 
 
+# The ranges of days that the reports from sketches are asked for.
+READ_DAYS = ("2024-01-05", "2024-01-20")
+LOAN_DAYS = ("1994-01-01", "1996-12-31")
+
+
+def _rolled_up(t: Loop, rollup: DataFrame, schema: str) -> DataFrame:
+    """A rollup as it lies in its folders by day."""
+    path = scratch_dir(t.spark, "rollup")
+    rollups.write_rollup(rollup, path)
+    return rollups.read_rollup(t.spark, path, schema)
+
+
+def _by_batches(t: Loop) -> DataFrame:
+    """Movements that came in three batches of all days, one of them twice."""
+    path = scratch_dir(t.spark, "batches")
+    for batch in (2, 0, 2, 1):
+        rows = t.movements.filter(F.col("mv_id") % 3 == batch)
+        append_batch(t.spark, path, "movements", rows, f"batch {batch}")
+    return read_days(t.spark, path, "movements")
+
+
 def _loops(t: Loop) -> DataFrame:
     return trace.loop_conformance(
         t.packaging_instances, t.checkouts, t.returns, t.inspections, t.wash_cycles)
@@ -91,6 +113,9 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
         "sen_latest_reading": lambda t: sensors.sen_latest_reading(t.sensor_readings),
         "sen_temp_breaches": lambda t: sensors.sen_temp_breaches(t.sensor_readings, now),
         "sen_daily_pivot": lambda t: sensors.sen_daily_pivot(t.sensor_readings, now),
+        "sen_percentiles_range": lambda t: rollups.sensor_percentiles(
+            _rolled_up(t, rollups.sensor_rollup(t.sensor_readings), rollups.SENSOR_ROLLUP),
+            *READ_DAYS),
         # movements
         "mov_scan": lambda t: movements.mov_scan(t.movements),
         "mov_flow_matrix": lambda t: movements.mov_flow_matrix(t.movements, t.locations),
@@ -104,6 +129,9 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
         "kpi_state_rollup": lambda t: cycles.kpi_state_rollup(t.packaging_instances),
         "kpi_retailer_dashboard": lambda t: cycles.kpi_retailer_dashboard(
             t.checkouts, t.retailers, t.locations, t.returns),
+        "kpi_dashboard_range": lambda t: rollups.dashboard_in_days(
+            _rolled_up(t, rollups.loan_rollup(t.checkouts, t.returns), rollups.LOAN_ROLLUP),
+            t.retailers, t.locations, *LOAN_DAYS),
         "vw_checkout_enriched": lambda t: packaging.vw_checkout_enriched(
             t.checkouts, t.customers, t.packaging_instances, t.packaging_catalog,
             t.retailers, t.locations),
@@ -214,6 +242,7 @@ def _loads() -> dict[str, Callable[[Loop], DataFrame]]:
             "locations", LOANS_AS_OF),
         "ing_csv_ledger": lambda t: typed_rows(ledger(t), "deposit_transactions"),
         "ing_csv_ledger_rejects": lambda t: rejected_rows(ledger(t), "deposit_transactions"),
+        "sink_batches": _by_batches,
         "ing_json_checkouts": lambda t: typed_rows(loans(t), "checkouts"),
         "ing_json_checkouts_rejects": lambda t: rejected_rows(loans(t), "checkouts"),
     }
