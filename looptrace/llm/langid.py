@@ -2,30 +2,33 @@
 
 Texts are lowered, runs of anything but letters become one space, and every language gets a model
 of four-character strings. A gram is packed into 64 bits and mixed, which loses nothing within
-the basic plane; per order the grams of all languages lie in one sorted array with a row of log
-probabilities, in which every backoff is already added up. A text goes to the language of the
-lowest cross-entropy per character.
+the basic plane; per order the grams of all languages lie in one sorted array, each with the log
+probabilities of only those languages that have it. A language that lacks a gram backs off, by its own
+weight of the context if it has that. So the models' size is the sum of what the languages have. A
+text goes to the language of the lowest cross-entropy per character.
 
 The models are fitted on a sample of distinct labelled texts, taken in hash order up to about
-MAX_CHARS characters per language; of a very long text evenly spread windows are taken. Every
-language gives at least one text, and copies count once. Another part of the sample calibrates
-the models: the temperature of the score, and how far above a language's usual cross-entropy a text
-may lie before it is rejected. That limit comes from a high quantile of those texts whose best
-language is their label, so that a few wrong labels or odd texts don't move it.
+MAX_CHARS characters per language and TOTAL_CHARS in all; of a very long text evenly spread windows
+are taken. Every language gives at least one text, and copies count once; of more than MAX_LANGUAGES
+labels those with the most texts are learned. One in eight texts calibrates the models: the
+temperature of the score, and how far above a language's usual cross-entropy a text may lie before it
+is rejected. For that the models are fitted without those texts, and then anew with them. The limit
+comes from a high quantile of those texts whose best language is their label, so that a few wrong
+labels or odd texts don't move it.
 
 A null text, or one without a letter, is `und` with score 0 and is rejected. Ties go to the
-language first in code-point order. Repeated rows are judged each. With no labelled rows all are
-`und`. Empty tables give no rows; columns named like a result are replaced, others pass through.
+language first in code-point order. Texts of any length are judged whole, in pieces. Repeated rows are
+judged each. With no labelled rows all are `und`. Empty tables give no rows; columns named like a
+result are replaced, others pass through.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +36,11 @@ from looptrace.llm.common import append, stored
 
 ORDER = 4
 MAX_CHARS = 1_500_000  # per language, about, that the counts are taken from
-FEW_CHARS = 100_000  # a language with fewer is counted in full, calibrating texts included
-MAX_DOCS = 400  # per language, about, that calibrate
+TOTAL_CHARS = 60_000_000  # of all languages, about
+MAX_LANGUAGES = 1_000  # labels that are learned, at most
+CELLS = 4_000_000  # logs of grams and languages that are held at once
+MAX_DOCS = 400  # per language that calibrate, at most
+MAX_CHECKS = 20_000  # of all languages, about
 WINDOW = 2_000  # characters of a window of a long text
 WINDOWS = 50  # of a text, at most, evenly spread; shorter texts are taken whole
 SPACE = 32
@@ -91,22 +97,39 @@ def mixed(packed: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Grams of one order: their mixed hashes, sorted, and a row per gram of the languages' logs."""
+    """Grams of one order: their mixed hashes, sorted, and for each the languages that have it, as
+    numbers ascending, with their logs; those of gram i lie from starts[i] to starts[i + 1]."""
 
     hashes: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
     logs: np.ndarray
 
-    def find(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fill(self, packed: np.ndarray, out: np.ndarray, add: bool = False) -> None:
+        """Puts the logs of the grams' languages into the rows of `out`, or adds them."""
+        if not len(self.hashes):
+            return
         wanted = mixed(packed)
         at = np.searchsorted(self.hashes, wanted)
         at[at == len(self.hashes)] = 0
-        return at, (self.hashes[at] == wanted if len(self.hashes) else np.zeros(len(at), bool))
+        rows = np.flatnonzero(self.hashes[at] == wanted)
+        first, n = self.starts[at[rows]], np.diff(self.starts)[at[rows]]
+        row = np.repeat(rows, n)
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        if add:
+            out[row, self.languages[entry]] += self.logs[entry]
+        else:
+            out[row, self.languages[entry]] = self.logs[entry]
 
 
-def level(packed: np.ndarray, logs: np.ndarray) -> Level:
+def level(packed: np.ndarray, languages: np.ndarray, logs: np.ndarray) -> Level:
+    """Of rows (gram, language, log) in any order."""
     hashes = mixed(packed)
-    order = np.argsort(hashes)
-    return Level(hashes[order], logs[order].astype(np.float32))
+    order = np.lexsort((languages, hashes))
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return Level(hashes[starts], np.append(starts, len(hashes)).astype(np.int32),
+                 languages[order].astype(np.int16), logs[order].astype(np.float32))
 
 
 @dataclass
@@ -123,17 +146,10 @@ class Model:
         """Per gram and language the log probability of its last character after the others."""
         if not order:
             return np.full((len(packed), len(self.languages)), self.floor, np.float32)
-        at, hit = self.probabilities[order - 1].find(packed)
-        table = self.probabilities[order - 1].logs
-        out = table[at] if len(table) else np.zeros((len(at), len(self.languages)), np.float32)
-        if not hit.all():
-            missed = packed[~hit]
-            below = self.logs(suffix(missed, order), order - 1)
-            context = self.backoffs[order - 1]
-            where, known = context.find(missed >> np.uint64(16))
-            if len(context.logs):
-                below = below + np.where(known[:, None], context.logs[where], 0)
-            out[~hit] = below
+        shorter, place = np.unique(suffix(packed, order), return_inverse=True)
+        out = self.logs(shorter, order - 1)[place]
+        self.backoffs[order - 1].fill(packed >> np.uint64(16), out, add=True)
+        self.probabilities[order - 1].fill(packed, out)
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +157,17 @@ class Model:
         coded = [grams(c) if len(c) else c.astype(np.uint64) for c in map(normal, texts)]
         sizes = np.array([len(c) for c in coded], np.int64)
         out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            logs = self.logs(np.concatenate([coded[i] for i in full]))
-            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            sums = np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
-            out[full] = -sums / sizes[full, None]
+        every = np.concatenate([np.zeros(0, np.uint64), *coded])
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        step = max(1, CELLS // len(self.languages))
+        for start in range(0, len(every), step):
+            part, of = every[start : start + step], owner[start : start + step]
+            distinct, place = np.unique(part, return_inverse=True)
+            logs = self.logs(distinct)[place]
+            firsts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            out[of[firsts]] += np.add.reduceat(logs, firsts, axis=0, dtype=np.float64)
+        full = sizes > 0
+        out[full] = -out[full] / sizes[full, None]
         return sizes, out
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,39 +195,40 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     each order takes one discount, n1 / (n1 + 2 n2), off every count and gives it to the order below.
     """
     languages = sorted(counts)
-    per_order: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER)]
-    for name in languages:
-        packed, n = counts[name]
-        per_order[ORDER - 1].append((packed, n.astype(np.float64)))
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(ORDER)]
+    rests: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(ORDER)]
+    characters = []
+    tops = {name: counts[name] for name in languages}
+    per_language = {}
+    for name, (packed, n) in tops.items():
+        orders = [(packed, n.astype(np.float64))]
         for order in range(ORDER, 1, -1):
-            packed, n = np.unique(suffix(packed, order), return_counts=True)
-            per_order[order - 2].append((packed, n.astype(np.float64)))
-    seen = np.unique(np.concatenate([p for p, _ in per_order[0]]))
-    floor = -float(np.log(len(seen) + 1))
-    probabilities: list[Level] = []
-    backoffs: list[Level] = []
-    for order in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([p for p, _ in per_order[order - 1]]))
-        contexts = np.unique(union >> np.uint64(16))
-        model = Model(languages, probabilities, backoffs, floor)
-        below = np.exp(model.logs(suffix(union, order), order - 1).astype(np.float64))
-        table = np.zeros((len(union), len(languages)))
-        rest = np.zeros((len(contexts), len(languages)))
-        for k, (packed, n) in enumerate(per_order[order - 1]):
+            packed, kinds = np.unique(suffix(packed, order), return_counts=True)
+            orders.append((packed, kinds.astype(np.float64)))
+        per_language[name] = orders[::-1]
+        characters.append(packed)
+    floor = -float(np.log(len(np.unique(np.concatenate(characters))) + 1))
+    for k, name in enumerate(languages):
+        below_grams, below = np.zeros(1, np.uint64), np.array([np.exp(floor)])
+        for order, (packed, n) in enumerate(per_language[name], 1):
             ones, twos = (n == 1).sum(), (n == 2).sum()
             off = ones / (ones + 2 * twos) if ones and twos else 0.5
-            after = np.searchsorted(contexts, packed >> np.uint64(16))
+            contexts, after = np.unique(packed >> np.uint64(16), return_inverse=True)
             totals = np.bincount(after, n, len(contexts))
-            kinds = np.bincount(after, minlength=len(contexts))
-            left = np.where(totals > 0, off * kinds / np.maximum(totals, 1), 1.0)
-            spread = left[np.searchsorted(contexts, union >> np.uint64(16))]
-            own = np.zeros(len(union))
-            own[np.searchsorted(union, packed)] = (n - off) / totals[after]
-            table[:, k] = np.log(own + spread * below[:, k])
-            rest[:, k] = np.log(left)
-        probabilities = [*probabilities, level(union, table)]
-        backoffs = [*backoffs, level(contexts, rest)]
-    return Model(languages, probabilities, backoffs, floor)
+            left = off * np.bincount(after, minlength=len(contexts)) / totals
+            shorter = suffix(packed, order) if order > 1 else np.zeros(len(packed), np.uint64)
+            lower = below[np.searchsorted(below_grams, shorter)]  # a gram's suffix is in the model too
+            chances = (n - off) / totals[after] + left[after] * lower
+            here = np.full(len(packed), k)
+            found[order - 1].append((packed, here, np.log(chances)))
+            rests[order - 1].append((contexts, np.full(len(contexts), k), np.log(left)))
+            below_grams, below = packed, chances
+    return Model(
+        languages,
+        [level(*map(np.concatenate, zip(*rows))) for rows in found],
+        [level(*map(np.concatenate, zip(*rows))) for rows in rests],
+        floor,
+    )
 
 
 def share(levels: list[tuple[int, int, float]], max_chars: int) -> float:
@@ -225,8 +247,8 @@ def share(levels: list[tuple[int, int, float]], max_chars: int) -> float:
 def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_DOCS) -> Model | None:
     """A model of the labelled rows (text, lang). None if no row has both a text and a label.
 
-    Distinct texts are taken in order of a hash until a language has about `max_chars` characters,
-    the first in any case; one in eight of the others calibrates.
+    Distinct texts are taken in order of a hash until a language has about `max_chars` characters, or
+    its part of TOTAL_CHARS, the first in any case; one in eight of the others calibrates.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     key = F.xxhash64("text", F.lit(17))
@@ -234,24 +256,25 @@ def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_D
     level = F.floor(-F.log2(F.greatest("point", F.lit(2.0**-53)))).cast("int")
     chars = F.least(F.length("text"), F.lit(WINDOW * WINDOWS)).cast("long")
     distinct = rows.select("lang", key.alias("key"), chars.alias("chars")).groupBy("lang", "key")
-    levels = defaultdict(list)
-    for r in (
+    per_language = (
         distinct.agg(F.max("chars").alias("chars"))
         .select("lang", "chars", point.alias("point"))
         .groupBy("lang", level.alias("level"))
-        .agg(F.sum("chars").alias("chars"), F.min("point").alias("first"))
-        .collect()
-    ):
-        levels[r.lang].append((r.level, r.chars, r.first))
+        .agg(F.sum("chars").alias("chars"), F.min("point").alias("first"), F.count("*").alias("n"))
+        .groupBy("lang")
+        .agg(F.collect_list(F.struct("level", "chars", "first")).alias("levels"), F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "lang")
+        .limit(MAX_LANGUAGES)
+    )
+    levels = {r.lang: [tuple(x) for x in r.levels] for r in per_language.collect()}
     if not levels:
         return None
-    small = [k for k, found in levels.items() if sum(n for _, n, _ in found) < FEW_CHARS]
-
-    def by_language(values: dict[str, float]) -> F.Column:
-        return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("lang")]
+    max_chars = min(max_chars, TOTAL_CHARS // len(levels))
 
-    shares = {k: share(found, max_chars) for k, found in levels.items()}
-    firsts = {k: min(x for _, _, x in found) for k, found in levels.items()}
+    shares = labelled.sparkSession.createDataFrame(
+        [(k, share(found, max_chars), min(x for _, _, x in found)) for k, found in levels.items()],
+        "lang string, share double, first double",
+    )
     long = F.length("text") > WINDOW * WINDOWS
     step = (F.length("text") - WINDOW) / float(WINDOWS - 1)
     spread = F.concat_ws(" ", *(
@@ -260,54 +283,76 @@ def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_D
     sample = stored(
         rows.withColumn("key", key)
         .withColumn("point", point)
-        .where(F.col("point") <= by_language(shares))
-        .groupBy("lang", "key", "point")
+        .join(F.broadcast(shares), "lang")  # a row per language learned
+        .where("point <= share")
+        .groupBy("lang", "key", "point", "first")
         .agg(F.first("text").alias("text"))
         .select(
             F.when(long, spread).otherwise(F.col("text")).alias("text"),
             "lang",
             ((F.pmod(F.xxhash64("text", F.lit(29)), F.lit(8)) == 0)
-             & (F.col("point") > by_language(firsts))).alias("calibrates"),
+             & (F.col("point") > F.col("first"))).alias("calibrates"),
         ),
         "langid",
     )
 
     def count(batches):
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for text, lang, kept in zip(*(c.to_pylist() for c in batch.columns)):
                 codes = normal(text)
                 if len(codes):
-                    found.setdefault(lang, []).append(grams(codes))
-            for lang, parts in found.items():
+                    found.setdefault((lang, kept), []).append(grams(codes))
+            for (lang, kept), parts in found.items():
                 packed, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(packed)), pa.array(packed.view(np.int64)),
-                     pa.array(n.astype(np.int64))],
-                    names=["lang", "gram", "n"],
+                     pa.array(n * (not kept), pa.int64()), pa.array(n, pa.int64())],
+                    names=["lang", "gram", "learned", "n"],
                 )
 
     counted = (
-        sample.where(~F.col("calibrates") | F.col("lang").isin(small))
-        .select("text", "lang")
-        .mapInArrow(count, "lang string, gram long, n long")
+        sample.select("text", "lang", "calibrates")
+        .mapInArrow(count, "lang string, gram long, learned long, n long")
         .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
+        .agg(F.sum("learned").alias("learned"), F.sum("n").alias("n"))
+        .orderBy("lang")
+        .toArrow()  # as many as the sample's characters at most
     )
-    lang = np.array(counted["lang"].to_pylist(), object)
-    gram = counted["gram"].to_numpy().view(np.uint64)
-    n = counted["n"].to_numpy()
-    if not len(lang):  # no text has a letter
+    if not len(counted):  # no text has a letter
         return None
-    counts = {}
-    for name in sorted(set(lang)):
-        own = lang == name
-        order = np.argsort(gram[own])
-        counts[name] = (gram[own][order], n[own][order])
-    model = kneser_ney(counts)
-    checks = sample.where("calibrates").orderBy(F.xxhash64("text"), "text", "lang").limit(max_docs * len(levels)).select("text", "lang").collect()
-    calibrate(model, [r.text for r in checks], [r.lang for r in checks])
+    lang = counted["lang"].combine_chunks().dictionary_encode()
+    number, names = np.asarray(lang.indices), lang.dictionary.to_pylist()
+    edges = [*np.searchsorted(number, np.arange(len(names))), len(number)]  # numbered as they come
+
+    def counts(column: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        grams_of, all_n = counted["gram"].to_numpy().view(np.uint64), counted[column].to_numpy()
+        for name, a, b in zip(names, edges, edges[1:]):
+            own = np.flatnonzero(all_n[a:b]) + a
+            if len(own):
+                own = own[np.argsort(grams_of[own])]
+                out[name] = grams_of[own], all_n[own]
+        return out
+
+    learned = counts("learned")
+    checks = (
+        sample.where("calibrates")
+        .select("text", "lang", F.row_number().over(
+            Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")).alias("at"))
+        .where(F.col("at") <= min(max_docs, max(1, MAX_CHECKS // len(levels))))
+        .collect()
+    )
+    unseen = kneser_ney(learned) if learned else None
+    model = kneser_ney(counts("n"))
+    if unseen:
+        calibrate(unseen, [r.text for r in checks], [r.lang for r in checks])
+        usual = dict(zip(unseen.languages, unseen.usual))
+        model.temperature, model.limit = unseen.temperature, unseen.limit
+        typical = np.median(unseen.usual, axis=0)
+        model.usual = np.stack([usual.get(name, typical) for name in model.languages])
+    else:
+        calibrate(model, [], [])
     return model
 
 

@@ -156,3 +156,76 @@ def test_a_few_wrong_labels_leave_the_limit():
     langid.calibrate(model, *zip(*(known + wrong)))
     assert model.limit <= 1.1 * limit
     assert model.judge([foreign])[3][0] and not any(model.judge([t for t, _ in known])[3])
+
+
+def size_of(model):
+    levels = [*model.probabilities, *model.backoffs]
+    return sum(x.nbytes for v in levels for x in (v.hashes, v.starts, v.languages, v.logs))
+
+
+def test_the_models_grow_with_what_languages_have():
+    draw = np.random.default_rng(3)
+
+    def models(n):
+        out = {}
+        for i in range(n):
+            codes = draw.integers(1_000 + 90 * i, 1_090 + 90 * i, 20_000).astype(np.uint16)
+            out[f"l{i:02}"] = np.unique(langid.grams(codes), return_counts=True)
+        return langid.kneser_ney(out)
+
+    small, large = size_of(models(20)), size_of(models(40))
+    assert 1.8 < large / small < 2.2 and large < 60e6
+
+
+def test_languages_that_lack_a_gram_back_off_alone():
+    model = langid.kneser_ney({"en": counted([EN]), "fr": counted([FR]), "x": counted(["qq qq qqq"])})
+    floor = math.log(len({c for t in (EN, FR, "qq") for c in langid.normal(t).tolist()}) + 1)
+    for name, texts in (("en", [EN]), ("fr", [FR]), ("x", ["qq qq qqq"])):
+        alone = langid.kneser_ney({name: counted(texts)})
+        alone.floor = -floor
+        k = model.languages.index(name)
+        for text in (EN, FR, "qqq zz the"):
+            packed = langid.grams(langid.normal(text))
+            p = np.exp(model.logs(packed)[:, k].astype(float))
+            assert (p > 0).all() and (p <= 1).all()
+            size = len({c for t in texts for c in langid.normal(t).tolist()})
+            if math.isclose(floor, math.log(size + 1)):
+                assert np.allclose(p, np.exp(alone.logs(packed)[:, 0]), rtol=1e-4)
+
+
+def test_pieces_of_long_texts_change_nothing(monkeypatch):
+    model = langid.kneser_ney({"en": counted([EN]), "fr": counted([FR])})
+    texts = [EN, "", FR * 30, "12", EN[:7], FR]
+    sizes, nats = model.entropies(texts)
+    monkeypatch.setattr(langid, "CELLS", 26)
+    again = model.entropies(texts)
+    assert (again[0] == sizes).all() and np.allclose(again[1], nats, rtol=1e-6)
+
+
+def test_a_thousand_junk_labels(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    junk = [("".join(draw.choice(list("abcdefghij "), 60)), f"junk{i}") for i in range(1_000)]
+    good = [(" ".join(draw.choice(w.split(), 60)), k) for k, w in (("en", EN), ("fr", FR)) for _ in range(60)]
+    df = spark.createDataFrame(junk + good, "text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 400)
+    model = langid.train(df)
+    assert len(model.languages) == 400 and {"en", "fr"} <= set(model.languages)
+    assert size_of(model) < 20e6
+    assert [model.languages[b] for b in model.judge([EN, FR])[0]] == ["en", "fr"]
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_calibration_is_from_unseen_texts_at_every_size(spark, monkeypatch, copies):
+    learned, checked = [], []
+    monkeypatch.setattr(langid, "kneser_ney", lambda c, f=langid.kneser_ney: learned.append(c) or f(c))
+    monkeypatch.setattr(langid, "calibrate", lambda m, t, x, f=langid.calibrate: checked.append(t) or f(m, t, x))
+    draw = np.random.default_rng(copies)
+    rows = [(" ".join(draw.choice(w.split(), 30)), k) for k, w in (("en", EN), ("fr", FR))
+            for _ in range(80 * copies)]
+    langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    part, whole = learned
+    held = sum(len(langid.normal(t)) - 3 for t in checked[0])
+    total = [sum(n.sum() for _, n in c.values()) for c in (part, whole)]
+    assert checked[0] and total[1] > total[0]
+    if copies == 1:
+        assert total[1] - total[0] == held
