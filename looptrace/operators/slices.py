@@ -27,18 +27,22 @@ def sliced(df: DataFrame, key: str, order: list[str], slices: int | None = None)
     return stored(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices) -> DataFrame:
-    """``out``, rows of ``cut``, + ``_carry``: what the slices before the row's slice hand on.
+def with_carry(
+    cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices, after: bool = False
+) -> DataFrame:
+    """``out``, rows of ``cut``, + ``_carry``: what the slices before the row's slice (``after``: those
+    behind it) hand on.
 
     ``per_slice`` aggregates a slice of a key; ``over_slices`` makes of those, over a window of the
     key's slices in order, what goes on to the next (NULL: nothing)."""
+    along = F.desc("_slice") if after else F.asc("_slice")
     carry = (
         cut.groupBy(key, "_slice")
         .agg(per_slice)
         .select(
             F.col(key).alias("_key"),
             F.col("_slice").alias("_to"),
-            over_slices(Window.partitionBy(key).orderBy("_slice")).alias("_carry"),
+            over_slices(Window.partitionBy(key).orderBy(along)).alias("_carry"),
         )
         .filter("_carry IS NOT NULL")
     )
@@ -49,28 +53,31 @@ def with_carry(cut: DataFrame, out: DataFrame, key: str, per_slice, over_slices)
 RUNNING = {
     "sum": F.sum,
     "min": F.min,
+    "max": F.max,
     "last": lambda value: F.last(value, ignorenulls=True),
 }
 
 
-def scanned(cut: DataFrame, key: str, order: list[str], **values) -> DataFrame:
-    """``cut`` + a column per name: what its value comes to over the rows before, in ``order`` within
-    ``key``; the row itself and its ``_slice`` stay, so scans can follow each other.
+def scanned(cut: DataFrame, key: str, order: list[str], after: bool = False, **values) -> DataFrame:
+    """``cut`` + a column per name: what its value comes to over the rows before (``after``: behind),
+    in ``order`` within ``key``; the row itself and its ``_slice`` stay, so scans can follow each other.
 
-    A value is (kind, column): ``sum`` (0 before the first row), ``min`` or ``last`` (the newest that
-    is not NULL).  Each is a map that a slice hands on and the next composes with its own, so cut and
+    A value is (kind, column): ``sum`` (0 before the first row), ``min``, ``max`` or ``last`` (the
+    nearest that is not NULL).  Each is a map that a slice hands on and the next composes with its own, so cut and
     uncut groups agree.  Scans in a row make an automaton: ``last`` is a part of a state that events set
     or keep, and what they set may hang on the parts scanned before.
     """
     before = (Window.unboundedPreceding, -1)
     named = {name: f"_of_{name}" for name in values}
     cut = cut.withColumns({named[name]: column for name, (_, column) in values.items()})
-    within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*before)
+    along = [F.desc(c) if after else F.asc(c) for c in order]
+    within = Window.partitionBy(key, "_slice").orderBy(*along).rowsBetween(*before)
+    nearest = F.min_by if after else F.max_by
 
     def of_slice(name: str):
         kind, column = values[name][0], F.col(named[name])
         if kind == "last":
-            return F.max_by(column, F.when(column.isNotNull(), F.struct(*order)))
+            return nearest(column, F.when(column.isNotNull(), F.struct(*order)))
         return RUNNING[kind](column)
 
     def handed_on(slices):
@@ -84,10 +91,12 @@ def scanned(cut: DataFrame, key: str, order: list[str], **values) -> DataFrame:
         key,
         F.struct(*(of_slice(n).alias(n) for n in values)).alias("_all"),
         handed_on,
+        after,
     )
     joined = {
         "sum": lambda own, carry: F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0)),
         "min": F.least,
+        "max": F.greatest,
         "last": F.coalesce,
     }
     return found.withColumns(

@@ -498,6 +498,34 @@ REPORTS: dict[str, tuple[str, str]] = {
     "sink_batches": (
         "movements", "SELECT *, moved_at::DATE AS event_date FROM movements",
     ),
+    "exposed_items": (
+        "movements contamination_incidents",
+        f"""
+        , seen AS (
+          SELECT instance_id, to_loc_id AS place, moved_at AS came,
+                 coalesce(lead(moved_at) OVER (PARTITION BY instance_id ORDER BY moved_at, mv_id),
+                          {NOW}) AS gone
+          FROM movements WHERE moved_at <= {NOW} AND instance_id IS NOT NULL),
+        stays AS (SELECT * FROM seen WHERE place IS NOT NULL),
+        own AS (SELECT instance_id, min(detected_at) AS t FROM contamination_incidents
+                WHERE severity >= 4 AND detected_at <= {NOW} GROUP BY ALL),
+        hits AS (
+          FROM (
+            WITH RECURSIVE hit(instance_id, t) USING KEY (instance_id) AS (
+              SELECT instance_id, t FROM own
+              UNION
+              SELECT n.instance_id, n.t FROM (
+                SELECT j.instance_id, min(greatest(h.t, i.came, j.came)) AS t
+                FROM hit h JOIN stays i ON i.instance_id = h.instance_id AND i.gone >= h.t
+                JOIN stays j ON j.place = i.place
+                 AND greatest(h.t, i.came, j.came) <= least(i.gone, j.gone)
+                GROUP BY ALL) n
+              LEFT JOIN recurring.hit r ON r.instance_id = n.instance_id
+              WHERE r.t IS NULL OR n.t < r.t)
+            SELECT * FROM hit))
+        SELECT instance_id, hits.t AS exposed_at, coalesce(own.t <= hits.t, false) AS incident
+        FROM hits LEFT JOIN own USING (instance_id)""",
+    ),
     "alerts": (
         "checkouts returns sensor_readings inspections contamination_incidents",
         f"""

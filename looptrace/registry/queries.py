@@ -11,8 +11,8 @@ from looptrace.operators import quality
 from looptrace.operators.anonymize import anonymize, generalize
 from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import apply_delete, ref_delete
-from looptrace.plans import audit, customers, cycles, incidents, movements, packaging, places
-from looptrace.plans import rollups, sensors, trace, washing
+from looptrace.plans import audit, customers, cycles, exposure, incidents, movements, packaging
+from looptrace.plans import places, rollups, sensors, trace, washing
 from looptrace.schemas import TABLES
 from looptrace.session import scratch_dir
 from looptrace.sources.commits import append_batch, read_days
@@ -157,6 +157,8 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
         "alerts": lambda t: trace.alerts(
             t.checkouts, t.returns, t.sensor_readings, t.inspections,
             t.contamination_incidents, now),
+        "exposed_items": lambda t: exposure.exposed_items(
+            t.movements, t.contamination_incidents, now),
         "knn_places": lambda t: knn_places(
             t.locations.filter("kind <> 'retailer'").select(
                 F.col("location_id").alias("point_id"), "lat", "lng"),
