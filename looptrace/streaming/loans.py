@@ -12,13 +12,13 @@ def st_overdue(
     checkouts: DataFrame,
     returns: DataFrame,
     delay: str = "90 minutes",
-    longest_days: int | None = None,
+    longest_days: int | None = 366,
 ) -> DataFrame:
     """(checkout_id, instance_id, due_date): loans with no return by their own due date.
 
     A loan comes out once the watermark has passed its due date.  Loans wait until then;
-    returns, two numbers each, are kept for loans yet to come, for good unless
-    ``longest_days`` tells that no loan runs longer.
+    returns, two numbers each, wait for loans yet to come, until the watermark is ``longest_days``
+    past them.  So no loan may run longer (its return could be forgotten); None keeps them for good.
     """
     loans = (
         checkouts.withColumn("checkout_time", F.col("checkout_time").cast("timestamp"))
