@@ -57,10 +57,22 @@ def test_pieces_give_the_documents_back(docs, whole):
 
 
 def test_buckets_by_length(spark, docs, tmp_path):
-    pieces = packing.pack(docs((1, "some words here"), (2, "more")))
-    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    rows = [(i, "some words here " * (i % 40)) for i in range(400)]
+    pieces = packing.pack(docs(*rows).repartition(5)).collect()
+    assert all(r.length == 1 << r.bucket for r in pieces)
+    places = {(r.bucket, r.bucket_place) for r in pieces}
+    assert len(places) == len(pieces)
+    for bucket in {r.bucket for r in pieces}:
+        own = sorted(p for b, p in places if b == bucket)
+        tasks = [p >> packing.PLACE_BITS for p in own]
+        for task in set(tasks):  # without gaps in each task
+            inside = [p for p, t in zip(own, tasks) if t == task]
+            first = task << packing.PLACE_BITS
+            assert inside == list(range(first, first + len(inside)))
+    packing.write_buckets(packing.pack(docs(*rows)), str(tmp_path / "buckets"))
     back = spark.read.parquet(str(tmp_path / "buckets"))
-    assert all(len(r.ids) == r.length for r in back.collect()) and back.count() == pieces.count()
+    assert all(len(r.ids) == r.length == 1 << r.bucket for r in back.collect())
+    assert back.count() == len(pieces)
 
 
 def test_counts_with_any_table_sent(docs, whole, monkeypatch):

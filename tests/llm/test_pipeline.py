@@ -57,6 +57,19 @@ def test_odd_documents(spark, docs, rows):
     assert table.count() == 0
 
 
+def test_texts_that_look_like_numbers_pass_all_stages(spark, docs):
+    odd = ["area 10² call 555 555 0199", "0" * 5_000 + ".1.1.1", "①② ٣٤ 555 555 0142 ½ x³"]
+    words = "the quick brown fox jumps over the lazy dog and runs away from there again"
+    rows = [(i, f"{words} {i} " * 3 + odd[i % 3] * (i < 6), "en", "web") for i in range(40)]
+    table = docs(*rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = common.stored(stage(spark, table, ""), "odd")
+        if name == "personal_data":
+            texts = [r.text for r in table.collect()]
+            assert any("10²" in t and "<PHONE>" in t for t in texts) or any("<IP>" in t for t in texts)
+    assert table.count() > 0 and corpus_pipeline.packed(spark, table, "").count() > 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 199), (199, 200)]
     got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
