@@ -236,7 +236,9 @@ def candidate_tasks(docs: DataFrame, rows: DataFrame, block: int = BLOCK) -> Dat
     texts = docs.groupBy(F.struct("doc_id", "text_hash").alias("row")).agg(
         F.first("text").alias("text")
     )
-    placed = placed.withColumn("row", F.struct("doc_id", "text_hash"))
+    # the hash is never null; saying so gives both sides one type, and their join one shuffle
+    hashed = F.coalesce("text_hash", F.lit(0).cast("long")).alias("text_hash")
+    placed = placed.withColumn("row", F.struct("doc_id", hashed))
     return placed.join(texts, "row").select("task", "lo", "hi", "grp", "side", "key", "text")
 
 
