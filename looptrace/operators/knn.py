@@ -1,11 +1,12 @@
 """The k nearest places for each of many points, within a distance, exactly.
 
 Points and places are put into space.  The places are counted in cubes at several levels, each
-eight times as fine as the one above.  A point starts with the occupied cubes around it and
+four times as fine as the one above.  A point starts with the occupied cubes around it and
 goes down: at each level the counts tell how far its k-th place can be at most, cubes whose
-nearest corner lies beyond that are left out, and only the others are split.  At the last
-level the places in the cubes that are left are compared themselves.  So the work per point
-follows k, wherever the places lie: beside a dense cluster only its near edge is opened.
+nearest corner lies beyond that are left out, and only the others are split.  At the first
+level at which no cube holds more than k places, those in the cubes that are left are compared
+themselves.  So the work per point follows k, wherever the places lie: beside a dense cluster
+only its near edge is opened.
 
 Before that, equal coordinates are folded: points with one position share an answer, and of
 the places at one position only the k lowest ids can be in any answer.  Space cubes have no
@@ -23,7 +24,7 @@ from looptrace.functions.geofn import EARTH_KM, sphere_xyz
 from looptrace.session import stored
 
 FINEST_KM = 0.002
-FINER = 8  # times, from level to level
+FINER = 4  # times, from level to level
 TIE_KM = 1e-6  # distances are ranked to the millimetre
 AXES = ["x", "y", "z"]
 CUBE = ["cx", "cy", "cz"]
@@ -62,12 +63,21 @@ def _counts(sites: DataFrame, max_km: float) -> DataFrame:
     return stored(held.select("at.*", "n"), "cubes")
 
 
+def _deepest(counts: DataFrame, k: int) -> int:
+    """The first level at which no cube holds more than k places, or the last one: a finer one would
+    tell nothing more."""
+    most = counts.groupBy("level").agg(F.max("n").alias("n")).collect()  # a row per level
+    crowded = [r.level for r in most if r.n > k]
+    return min(max(crowded, default=-1) + 1, max((r.level for r in most), default=0))
+
+
 def _length(parts: list[Column]) -> Column:
     return F.sqrt(sum(p * p for p in parts))
 
 
 def _within_reach(pairs: DataFrame, size: float, k: int, max_km: float) -> DataFrame:
-    """Of (spot, cube, n) the cubes that may hold one of the spot's k nearest places."""
+    """Of (spot, cube, n, and the reach that the level above left) the cubes that may hold one of the
+    spot's k nearest places."""
     low = {a: F.col(c) * size for a, c in zip(AXES, CUBE)}
     apart = [F.greatest(low[a] - F.col(a), F.col(a) - low[a] - size, F.lit(0.0)) for a in AXES]
     across = [F.greatest(F.abs(F.col(a) - low[a]), F.abs(low[a] + size - F.col(a))) for a in AXES]
@@ -75,7 +85,7 @@ def _within_reach(pairs: DataFrame, size: float, k: int, max_km: float) -> DataF
     by = Window.partitionBy(*SPOT)
     upto = by.orderBy("far", *CUBE).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        measured.filter(F.col("near") <= max_km + 2 * TIE_KM)
+        measured.filter(F.col("near") <= F.col("reach"))  # before anything is sorted
         .withColumn("places", F.sum("n").over(upto))
         .withColumn("reach", F.min(F.when(F.col("places") >= k, F.col("far"))).over(by))
         .withColumn("reach", F.least("reach", F.lit(max_km)) + 2 * TIE_KM)
@@ -87,21 +97,23 @@ def _within_reach(pairs: DataFrame, size: float, k: int, max_km: float) -> DataF
 def candidates(spots: DataFrame, sites: DataFrame, k: int, max_km: float) -> DataFrame:
     """(lat, lng, location_id, straight_km): the pairs that are compared, a few times k per spot."""
     counts = _counts(sites, max_km)
+    last = _deepest(counts, k)
     pairs = _around(spots.select(*SPOT, *AXES, *_cube(0, max_km)))
-    for level in range(_finest(max_km) + 1):
+    pairs = pairs.withColumn("reach", F.lit(max_km + 2 * TIE_KM))
+    for level in range(last + 1):
         held = counts.filter(F.col("level") == level).drop("level")
         if level:  # from the cubes kept to their parts
             held = held.select(
                 *CUBE, "n", *(F.floor(F.col(c) / FINER).alias(f"in_{c}") for c in CUBE)
             )
-            above = pairs.select(*SPOT, *AXES, *(F.col(c).alias(f"in_{c}") for c in CUBE))
+            above = pairs.select(*SPOT, *AXES, "reach", *(F.col(c).alias(f"in_{c}") for c in CUBE))
             pairs = above.join(held, [f"in_{c}" for c in CUBE])
         else:
             pairs = pairs.join(held, CUBE)
         pairs = _within_reach(pairs, max_km / FINER**level, k, max_km)
     targets = sites.select(
         "location_id",
-        *_cube(_finest(max_km), max_km),
+        *_cube(last, max_km),
         *(F.col(a).alias(f"to_{a}") for a in AXES),
     )
     straight = _length([F.col(f"to_{a}") - F.col(a) for a in AXES])
