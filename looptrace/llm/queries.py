@@ -87,7 +87,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    label = F.col("label").cast("long")  # one more than the greatest int is a label too
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
