@@ -790,15 +790,22 @@ def _checks() -> dict[str, str]:
         )
 
     not_null, primary, unique, check, foreign, role = [], [], [], [], [], []
+    newest = []
+
+    def is_new(key: str) -> str:
+        return f"coalesce({key} % 7 = 0, true)"
+
     for t, key, *others in _lines(REQUIRED):
         not_null += [
             branch("not_null", t, key, f"'{c}'", f"WHERE {c} IS NULL") for c in (key, *others)
         ]
         primary.append(branch("primary_key", t, key, "count() || ' rows'",
                               f"WHERE {key} IS NOT NULL GROUP BY {key} HAVING count() > 1"))
+        newest.append(f"{primary[-1]} AND {is_new(key)}")
     for t, column in _lines(UNIQUE):
         unique.append(branch("unique", t, column, f"'{column}: ' || count() || ' rows'",
                              f"GROUP BY {column} HAVING count() > 1"))
+        newest.append(f"{unique[-1]} AND bool_or({is_new(keys[t])})")
     for line in ONE_ROW.strip().split("\n"):
         t, name, rule = line.split(" ", 2)
         check.append(branch("check", t, keys[t], f"'{name}'", f"WHERE NOT ({rule})"))
@@ -811,6 +818,7 @@ def _checks() -> dict[str, str]:
             known = f"SELECT {keys[parent]} FROM {parent} WHERE {keys[parent]} IS NOT NULL"
             foreign.append(branch("foreign_key", t, keys[t], f"'{column} -> {parent}: ' || {column}",
                                   f"WHERE {column} IS NOT NULL AND {column} NOT IN ({known})"))
+            newest.append(f"{foreign[-1]} AND {is_new(keys[t])}")
     for t, *kinds in _lines(ROLES):
         listed = ", ".join(f"'{k}'" for k in kinds)
         role.append(branch("role_kind", t, keys[t], "'at a ' || kind",
@@ -829,7 +837,7 @@ def _checks() -> dict[str, str]:
         for name, parts in {
             "dq_not_null": not_null, "dq_primary_key": primary, "dq_unique": unique,
             "dq_check": check, "dq_foreign_key": foreign, "dq_role_kind": role,
-            "dq_temporal": temporal,
+            "dq_temporal": temporal, "dq_increment": newest,
         }.items()
     }
 

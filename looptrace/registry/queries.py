@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from looptrace.operators import quality
+from looptrace.operators import increments, quality
 from looptrace.operators.anonymize import anonymize, generalize
 from looptrace.operators.knn import knn_places
 from looptrace.operators.refdelete import apply_delete, ref_delete
@@ -187,6 +187,15 @@ def _reports() -> dict[str, Callable[[Loop], DataFrame]]:
     }
 
 
+def _increment(t: Loop) -> DataFrame:
+    """What the newest seventh of the rows violates, by the index of the others."""
+    path = scratch_dir(t.spark, "index")
+    new = {name: F.coalesce(F.col(TABLES[name].key) % 7 == 0, F.lit(True)) for name in TABLES}
+    increments.create_index(t.spark, path, {n: t[n].filter(~is_new) for n, is_new in new.items()})
+    return increments.check_increment(
+        t.spark, path, {n: t[n].filter(is_new) for n, is_new in new.items()})
+
+
 def _checks() -> dict[str, Callable[[Loop], DataFrame]]:
     return {
         "dq_not_null": lambda t: quality.dq_not_null(t),
@@ -194,6 +203,7 @@ def _checks() -> dict[str, Callable[[Loop], DataFrame]]:
         "dq_unique": lambda t: quality.dq_unique(t),
         "dq_check": lambda t: quality.dq_check(t),
         "dq_foreign_key": lambda t: quality.dq_foreign_key(t),
+        "dq_increment": _increment,
         "dq_role_kind": lambda t: quality.dq_role_kind(t),
         "dq_temporal": lambda t: quality.dq_temporal(t),
     }
