@@ -191,7 +191,8 @@ def _increment(t: Loop) -> DataFrame:
     """What the newest seventh of the rows violates, by the index of the others."""
     path = scratch_dir(t.spark, "index")
     new = {name: F.coalesce(F.col(TABLES[name].key) % 7 == 0, F.lit(True)) for name in TABLES}
-    increments.create_index(t.spark, path, {n: t[n].filter(~is_new) for n, is_new in new.items()})
+    old = {n: t[n].filter(~is_new) for n, is_new in new.items()}
+    increments.create_index(t.spark, path, old, buckets=16)
     return increments.check_increment(
         t.spark, path, {n: t[n].filter(is_new) for n, is_new in new.items()})
 
