@@ -6,9 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from looptrace.plans import rollups
-from looptrace.sources.fixtures import Loop
-
-FOLDER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
