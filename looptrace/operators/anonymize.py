@@ -123,7 +123,9 @@ def generalize(
     rows = df.select(*(f.name for f in fields)).withColumn("_row", F.monotonically_increasing_id())
     rows = stored(rows, "export")  # numbers that stay
     groups = grouped(rows, "_row", single, k, leaf)
-    member = stored(groups.join(rows.select("_row", *single), "_row"), "groups")
+    # files of rows and groups are far smaller than they are in memory: their size must not make them
+    # be broadcast
+    member = stored(groups.join(rows.hint("merge"), "_row"), "groups")
     shown = []
     for c in single:
         if _is_range(table, c, rows.schema[c].dataType):
@@ -133,12 +135,8 @@ def generalize(
             shown.append(F.when(same, F.min(c)).alias(c))
     ranges = member.groupBy("part", "grp").agg(*shown)
     others = [_coarse(f.name, f.dataType, unit).alias(f.name) for f in fields if f.name not in single]
-    out = (
-        rows.select("_row", *others)
-        .join(member.select("_row", "part", "grp"), "_row")
-        .join(ranges, ["part", "grp"])
-        .drop("_row", "part", "grp")
-    )
+    out = member.select("part", "grp", *others).join(ranges.hint("merge"), ["part", "grp"])
+    out = out.drop("part", "grp")
     return _pseudonymous(table, out, salt)
 
 

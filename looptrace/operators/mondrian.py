@@ -6,7 +6,8 @@ the upper half. Else the next widest column is tried; a part that no column cuts
 
 Large parts are cut all at once, a level at a time, by counts and approximate medians per part: only a
 row's number, its columns and its part move, and parts leave the table as soon as they are small or
-cannot be cut. Parts of up to LEAF rows are cut to the end inside a task, with exact medians. So a
+cannot be cut. What is broadcast is a row per part of more than LEAF rows, never the rows, whose files are
+far smaller than the rows in memory. Parts of up to LEAF rows are cut to the end inside a task, with exact medians. So a
 table takes about log2(rows / LEAF) passes, and no task holds more than LEAF rows, however many
 of them are equal.
 
@@ -98,7 +99,8 @@ def _level(open_rows: DataFrame, codes: list[str], widths: list[float], k: int,
         ),
         "medians",
     )
-    beside = open_rows.join(stats.select("part", *(f"m_{c}" for c in codes)), "part")
+    medians = stats.select("part", *(f"m_{c}" for c in codes))
+    beside = open_rows.join(F.broadcast(medians), "part")
     counts = beside.groupBy("part").agg(
         *(F.count_if(F.col(c) > F.col(f"m_{c}")).alias(f"above_{c}") for c in codes),
         *(F.count_if(F.col(c) >= F.col(f"m_{c}")).alias(f"from_{c}") for c in codes),
@@ -123,7 +125,7 @@ def _level(open_rows: DataFrame, codes: list[str], widths: list[float], k: int,
     ]
     best = F.array_min(F.array_compact(F.array(*options)))
     cuts = stats.join(counts, "part").select("part", "n", best.alias("cut"))
-    rows = open_rows.join(cuts, "part")
+    rows = open_rows.join(F.broadcast(cuts), "part")
     value = reduce(lambda a, b: F.coalesce(a, b), (F.when(F.col("cut.at") == i, F.col(c)) for i, c in enumerate(codes)))
     upper = F.when(F.col("cut.whole"), value >= F.col("cut.value")).otherwise(value > F.col("cut.value"))
     size = F.when(upper, F.col("cut.upper")).otherwise(F.col("n") - F.col("cut.upper"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from looptrace.operators import anonymize as exports
 from looptrace.operators import mondrian
 from looptrace.operators.anonymize import (
     SINGLED_OUT_BY, anonymize, export_loss, generalize, generalized_export,
@@ -121,3 +122,35 @@ def test_pseudonyms_nulls_and_small_tables(spark, table):
     assert generalize("locations", df.where("false"), "s").collect() == []
     copies = df.where("location_id = 1").crossJoin(spark.range(9)).drop("id")
     assert [r.kind for r in generalize("locations", copies, "s").collect()] == ["hub"] * 9
+
+
+def under_broadcasts(df):
+    """The lines of a plan's broadcast parts."""
+    out, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            depth = at
+    return out
+
+
+def test_rows_and_groups_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, purpose, kept=mondrian.stored):
+        plans.append((purpose, under_broadcasts(df)))
+        return kept(df, purpose)
+
+    monkeypatch.setattr(mondrian, "stored", recorded)
+    monkeypatch.setattr(exports, "stored", recorded)
+    items = Loop(spark, FOLDER).packaging_instances
+    out = generalize("packaging_instances", items, "s", unit="month", leaf=100)
+    plans.append(("out", under_broadcasts(out)))
+    assert {p for p, _ in plans} >= {"medians", "cuts", "groups", "out"}
+    for purpose, lines in plans:
+        assert not (lines if purpose in ("groups", "out") else [x for x in lines if "_row#" in x]), purpose
+    assert out.count() == items.count()
