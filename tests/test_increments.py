@@ -93,3 +93,30 @@ def test_nulls_and_rows_that_repeat_within_a_batch(spark, table, tmp_path):
         ("foreign_key", "deposit_accounts", "3", "customer_id -> customers: 9")])
     nothing = {"customers": batch["customers"].where("false")}
     assert rows(inc.check_increment(spark, path, nothing)) == []
+
+
+def test_tables_are_read_once_and_values_never_broadcast(spark, table, tmp_path, monkeypatch):
+    plans = []
+
+    def recorded(df, purpose, kept=inc.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, purpose)
+
+    def given(name, *lines):
+        table(name, *lines).write.parquet(str(tmp_path / name))
+        return spark.read.schema(TABLES[name].struct).parquet(str(tmp_path / name))
+
+    day, index = "2025-01-01", str(tmp_path / "index")
+    old = {name: given(name) for name in ("packaging_instances", "locations", "checkouts")}
+    old["customers"] = given("customers", *[(i, "a", f"{i}@x", None, day) for i in range(500)])
+    new = {"returns": given("returns", *[(i, i, i, i, day, i) for i in range(600)])}
+    monkeypatch.setattr(inc, "stored", recorded)
+    inc.create_index(spark, index, old, buckets=16)
+    out = inc.check_increment(spark, index, new)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    for column in ("email", "return_id"):
+        scans = [x for plan in plans for x in plan.splitlines() if "FileScan" in x and f"{column}#" in x]
+        assert len(scans) == 1, column
+    broadcast = [plan for plan in plans if "BroadcastExchange" in plan]
+    assert all("bits" in plan for plan in broadcast)  # of filters alone
+    assert out.count() == 600 * 3 + 100
