@@ -26,6 +26,7 @@ Tables = Mapping[str, DataFrame]
 BUCKETS = 256
 BITS = 1 << 20  # of a bucket's filter
 PROBES = 3
+WORDS = 1 << 18  # of all filters together that are broadcast, some 25 MB
 KEYS = "name string, value string, n bigint, bucket int"
 FILTERS = "bucket int, word int, bits bigint"
 
@@ -133,6 +134,8 @@ def maybe_known(spark: SparkSession, path: str, values: DataFrame) -> DataFrame:
     about = _about(spark, path)
     filters = spark.read.schema(FILTERS).parquet(f"{path}/filters")
     filters = filters.groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
+    # the filters' size is fixed; that of the values' files must not make them be broadcast
+    filters = filters.hint("broadcast" if about.buckets * about.bits // 64 <= WORDS else "merge")
     asked = values.select("name", "value", _bucket(about.buckets))
     for i in range(PROBES):  # one after the other: what a bit rules out is not asked for the next
         probe = asked.withColumn("bit", _bit(i, about.bits))
