@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,18 @@ SENT_KEYS = 50_000  # frequent keys that are sent to every task, at most
 FREQUENT_ROWS = 500  # rows of a key that is never sent
 ROWS_AT_ONCE = 512  # texts that a Python function sees together, at most
 BYTES_AT_ONCE = 4_000_000  # of them, at most; a longer text is alone
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python functions batches of about BYTES_AT_ONCE, unless it has a
+    limit of its own. Without one a batch has 10,000 rows of any length, which the executor holds
+    outside its heap and the Python worker a second time.
+
+    The limit holds for a query when it runs, so it stays in the session.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(BYTES_AT_ONCE))
 
 
 def parts_of(batch: pa.RecordBatch, columns: Sequence[int]) -> Iterator[pa.RecordBatch]:
@@ -58,6 +70,7 @@ def append(
                     columns, names=[f.name for f in kept] + [f.name for f in fields]
                 )
 
+    bounded_batches(docs.sparkSession)
     return docs.select(*(f"`{c}`" for c in read)).mapInArrow(
         run, T.StructType([*kept, *fields])
     )

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from looptrace.llm.common import append, stored
+from looptrace.llm.common import append, bounded_batches, stored
 
 ORDER = 4
 MAX_CHARS = 1_500_000  # per language, about, that the counts are taken from
 TOTAL_CHARS = 60_000_000  # of all languages, about
 MAX_LANGUAGES = 1_000  # labels that are learned, at most
-CELLS = 4_000_000  # logs of grams and languages that are held at once
+CELLS = 1_000_000  # logs of grams and languages that are held at once
 MAX_DOCS = 400  # per language that calibrate, at most
 MAX_CHECKS = 20_000  # of all languages, about
 WINDOW = 2_000  # characters of a window of a long text
@@ -311,6 +311,7 @@ def train(labelled: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_D
                     names=["lang", "gram", "learned", "n"],
                 )
 
+    bounded_batches(labelled.sparkSession)
     counted = (
         sample.select("text", "lang", "calibrates")
         .mapInArrow(count, "lang string, gram long, learned long, n long")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from looptrace.llm import tokens
-from looptrace.llm.common import parts_of
+from looptrace.llm.common import bounded_batches, parts_of
 
 LONGEST = 2048
 END_ID = 1
@@ -100,6 +100,7 @@ def pack(
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), flat))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
+    bounded_batches(docs.sparkSession)
     pieces = docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn(
         "offset", F.lit(0).cast("long")

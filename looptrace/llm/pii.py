@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from looptrace.llm import crf
-from looptrace.llm.common import append
+from looptrace.llm.common import append, bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 2_000  # documents, about, whose windows join the labelled table
@@ -383,6 +383,7 @@ def sampled_rows(docs: DataFrame) -> list[tuple[str, list[Span]]]:
                 [pa.array([m[i] for m in made], pa.string()) for i in (0, 1)], names=["w", "s"]
             )
 
+    bounded_batches(docs.sparkSession)
     found = (
         sample.mapInArrow(cut, "w string, s string")
         .where(F.length("w") <= LONGEST_WINDOW)

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -89,3 +93,47 @@ def test_frequent_keys_are_sent(spark, monkeypatch):
         monkeypatch.setattr(common, "FREQUENT_ROWS", often)
         got = common.join_counted(rows, per_key, "k")
         assert sorted((r.k, r.v, r.least) for r in got.collect()) == want
+
+
+@pytest.fixture
+def long_texts(spark):
+    """12 MB of texts in one partition, in a session without a limit of its own."""
+    kept = spark.conf.get(common.BATCH_BYTES, None)
+    spark.conf.unset(common.BATCH_BYTES)
+    yield spark.range(0, 3_000, 1, 1).selectExpr("id AS doc_id", "repeat('word', 1000) AS text", "'en' AS lang")
+    spark.conf.unset(common.BATCH_BYTES)
+    if kept is not None:
+        spark.conf.set(common.BATCH_BYTES, kept)
+
+
+def test_python_gets_batches_of_bounded_bytes(long_texts, monkeypatch):
+    real = common.parts_of
+
+    def checked(batch, columns):
+        assert batch.nbytes < 1.1 * common.BYTES_AT_ONCE, batch.nbytes
+        return real(batch, columns)
+
+    for module in (common, packing):
+        monkeypatch.setattr(module, "parts_of", checked)
+    assert minhash.signed(long_texts).count() == 3_000
+    assert packing.pack(long_texts).agg(F.countDistinct("doc_id")).first()[0] == 3_000
+
+
+def test_a_limit_of_the_session_stays(long_texts):
+    spark = long_texts.sparkSession
+    spark.conf.set(common.BATCH_BYTES, "1m")
+    packing.pack(long_texts)
+    assert spark.conf.get(common.BATCH_BYTES) == "1m"
+
+
+def test_judging_holds_few_logs_at_once():
+    texts = [chr(0x4E00 + i) * 3 + chr(0x5000 + i * 7 % 5_000) * 2 for i in range(4_000)]
+    counts = {x: np.unique(np.concatenate([langid.grams(langid.normal(t)) for t in texts[k::4]]),
+                           return_counts=True) for k, x in enumerate("abcd")}
+    model = langid.kneser_ney(counts)
+    text = " ".join(texts * 60)
+    tracemalloc.start()
+    model.entropies([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 70_000_000, most
